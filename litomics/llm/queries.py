@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .packing import op7_grouped_packing
+from .pii import op5_bilstm_crf_pii
+from .quality import op2_isolation_rules
 from .secrets import op9_entropy_secrets
 from .sharding import op6_virtual_slots
+from .toxicity import op4_viterbi_toxicity
 from .url_filter import op10_bloom_cascade
 
-QUERIES = {f.__name__: f for f in (op6_virtual_slots, op9_entropy_secrets, op10_bloom_cascade)}
+QUERIES = {f.__name__: f for f in (
+        op2_isolation_rules, op4_viterbi_toxicity, op5_bilstm_crf_pii, op6_virtual_slots, op7_grouped_packing, op9_entropy_secrets, op10_bloom_cascade,
+    )}
 
 ORACLES: dict[str, str] = {}
