@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from .minhash import op8_circulant_minhash
 from .packing import op7_grouped_packing
 from .pii import op5_bilstm_crf_pii
 from .quality import op2_isolation_rules
 from .secrets import op9_entropy_secrets
 from .sharding import op6_virtual_slots
+from .templates import op3_template_decontamination
 from .toxicity import op4_viterbi_toxicity
+from .substrings import op1_suffix_automata
 from .url_filter import op10_bloom_cascade
 
 QUERIES = {f.__name__: f for f in (
-        op2_isolation_rules, op4_viterbi_toxicity, op5_bilstm_crf_pii, op6_virtual_slots, op7_grouped_packing, op9_entropy_secrets, op10_bloom_cascade,
+        op1_suffix_automata, op2_isolation_rules, op3_template_decontamination, op4_viterbi_toxicity, op5_bilstm_crf_pii, op6_virtual_slots, op7_grouped_packing, op8_circulant_minhash, op9_entropy_secrets, op10_bloom_cascade,
     )}
 
 ORACLES: dict[str, str] = {}

@@ -57,7 +57,7 @@ LOWER = bytes((c + 32 if 65 <= c <= 90 else c) for c in range(256))
 
 #: A text without this has only words of one path.
 DISGUISED = re.compile(rb"[a-z][0-9@$!|+(*#._~'-]+[a-z]|\b[0-9@$!|+(]+[a-z]|[a-z][0-9]|(?:([a-z])\1\1)|(?:(?<![^\s])[a-z0-9@$!][ .*_-]+){3}")
-SPACED = re.compile(r"(?<!\S)(?:[a-z0-9@$!*#][ .*_-]{1,2}){2,}[a-z0-9@$!*#](?!\S)")
+SPACED = re.compile(r"(?<!\S)(?:[a-z0-9@$!*#][ .*_-]{1,2}){2,}[a-z0-9@$!*#](?=[\s.,;:?\"')]|$)")
 ODD = re.compile(r"[^\sa-z]*[a-z][^\s]*|[0-9@$!|+(][^\s]*[a-z][^\s]*")
 
 
