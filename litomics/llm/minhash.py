@@ -6,9 +6,10 @@ probability (1 - 0.8^ROWS)^BANDS, about 1e-7.
 
 Equal sets are one representative from the start. Candidates of a band are never expanded into all pairs:
 1. Each member is verified against its band's least member (a star); links merge into components.
-2. A pair in one component needs no look. In bands that still hold several components, members outside the largest one are verified
-   against the members of other components. The distance 1 - Jaccard is a metric and both distances to the least member are known, so
-   only pairs whose distances differ by no more than the limit can be links; the rest is never made.
+2. A pair in one component needs no look. Documents of bands that still hold several components are compared across
+   components by their rarest shingles: in one order of all shingles, rare ones first, two sets that are similar enough share one
+   among the first n - need + 1 of each, where need is the overlap that they must have. That is exact under any order; this one comes from
+   a fixed number of counters. At a shingle, documents outside its largest component meet those of other components.
 Both steps verify on full sets, 40 bits of hash a shingle. No bucket or candidate list has a cap.
 
 Nulls: a null or empty text has no shingles and is linked with nothing. A null doc_id is linked with nothing and has a null
@@ -33,8 +34,8 @@ SIMILARITY = 80  # per cent
 WORDS = 5  # of a shingle
 BLOCK = 2048
 SET_BYTES = 5
-#: Added to the largest distance of a link, for hashes that meet.
-SLACK = 0.005
+#: Counters of shingle frequencies; more of them order shingles better, none makes the order inexact.
+COUNTERS = 1 << 17
 LOWER = bytes((c + 32 if 65 <= c <= 90 else c) for c in range(256))
 
 
@@ -139,6 +140,42 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}, inter long, whole long")
 
 
+def rare_prefixes(rows: DataFrame, similarity: int) -> DataFrame:
+    """token, place (from 0), doc_id, comp, n of the first shingles of each set, in an order of all shingles with rare ones first."""
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for raw in batch.column("shingles").to_pylist():
+                np.add.at(total, (unpacked(raw) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["counter", "n"])
+
+    counters = np.zeros(COUNTERS, np.int64)
+    found = rows.select("shingles").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
+    counters[found["counter"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    sent = rows.sparkSession.sparkContext.broadcast(counters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sent.value
+        for batch in batches:
+            tokens, places_, owner, sizes = [], [], [], []
+            for i, raw in enumerate(batch.column("shingles").to_pylist()):
+                s = unpacked(raw)
+                n = len(s)
+                first = s[np.lexsort((s, often[(s % np.uint64(COUNTERS)).astype(np.int64)]))[: n - -(-n * similarity // 100) + 1]]
+                tokens.append(first.view(np.int64))
+                places_.append(np.arange(len(first)))
+                owner.append(np.full(len(first), i))
+                sizes.append(np.full(len(first), n))
+            joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tokens, places_, owner, sizes)]
+            at = pa.array(joined[2])
+            yield pa.RecordBatch.from_arrays([pa.array(joined[0]), pa.array(joined[1]), batch.column("doc_id").take(at), batch.column("comp").take(at), pa.array(joined[3])], names=["token", "place", "doc_id", "comp", "n"])
+
+    return rows.select("doc_id", "comp", "shingles").mapInArrow(run, f"token long, place long, doc_id {kind}, comp {kind}, n long")
+
+
 def classes(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`."""
     small_batches(docs.sparkSession)
@@ -156,18 +193,20 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
     is_link = F.col("inter") * 100 >= F.col("whole") * similarity
     found = staged(roots(seen.where(is_link).select("a", "b")), "roots")
 
-    # bands that hold several components, and how far their members are from the least one
+    # documents of bands that hold several components
     placed = members.join(found.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("comp", F.coalesce("root", "b")).drop("root")
-    mixed = placed.groupBy("band", "comp").count().groupBy("band").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
-    known = seen.select(F.col("a").alias("pivot"), "b", (1 - F.col("inter") / F.col("whole")).alias("d"))
-    open_ = staged(placed.join(mixed, "band").join(known, ["pivot", "b"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))), "open")
-    limit = 1 - similarity / 100 + SLACK
-    cell = F.floor(F.col("d") / limit)
-    outside = open_.where("comp <> main").select("band", F.col("b").alias("x"), F.col("comp").alias("cx"), F.col("n_shingles").alias("nx"), F.col("d").alias("dx"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    inside = open_.select("band", F.col("b").alias("y"), F.col("comp").alias("cy"), F.col("n_shingles").alias("ny"), F.col("d").alias("dy"), cell.alias("cell"))
+    mixed = placed.groupBy("band").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("band")
+    open_ = staged(placed.join(mixed, "band").select(F.col("b").alias("doc_id"), "comp").distinct().join(sets, "doc_id"), "open")
+    prefixes = staged(rare_prefixes(open_, similarity), "prefixes")
+    main = prefixes.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("n_comps")).where("n_comps > 1").drop("n_comps")
+    told = prefixes.join(main, "token")
+    outside = told.where("comp <> main").select("token", F.col("doc_id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    inside = told.select("token", F.col("doc_id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    # shingles that both must share to be similar enough
+    need = F.ceil(similarity * (F.col("nx") + F.col("ny")) / (100 + similarity))
     pairs = (
-        outside.join(inside, ["band", "cell"])
-        .where((F.col("cx") != F.col("cy")) & (F.abs(F.col("dx") - F.col("dy")) <= limit) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * similarity))
+        outside.join(inside, "token")
+        .where((F.col("cx") != F.col("cy")) & (F.col("px") <= F.col("nx") - need) & (F.col("py") <= F.col("ny") - need))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     )
     more = overlaps(pairs, sets).where(is_link).select("a", "b")
