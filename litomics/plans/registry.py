@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import omics  # noqa: F401  registers its queries
+from .relational import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
