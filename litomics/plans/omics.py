@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, genomics, text
-from ..operators import disease, entities, matrices, scoring, seeds, upsert
+from ..operators import curation, disease, entities, matrices, readouts, scoring, seeds, upsert
 from .relational import SCORES, edges, mentions, nodes, papers, query, t, EDGES, MENTIONS, QUERIES, ORACLES  # noqa: F401
 
 # --- texts ------------------------------------------------------------------------------------------------------------
@@ -322,3 +322,103 @@ def j2_pathway_scores(spark, sf):
 def b13_row_totals(spark, sf):
     rows = t(spark, sf, "orders")
     return upsert.order_free_checksum(rows.select("o_orderkey")).select("n_rows").join(rows.agg(F.sum("o_orderkey").cast("string").alias("keys")))
+
+
+# --- readouts and curation --------------------------------------------------------------------------------------------
+
+
+@query("""SELECT CAST(r AS BIGINT) AS pathway_id, CAST(n_nationkey AS BIGINT) AS node_id, upper(n_name) AS feature_key FROM nation, (VALUES (1), (2), (3)) v(r) WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 3000)""")
+def d13_symbol_readouts(spark, sf):
+    features = t(spark, sf, "supplier").where("s_acctbal > 3000").join(t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.lower("n_name").alias("feature_key"))
+    return readouts.by_symbol(nodes(spark, sf), features)
+
+
+@query("""WITH g AS (SELECT a.n_name AS tf, b.n_name AS target, max(CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE -1 END) AS sign FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON c_custkey % 25 = b.n_nationkey GROUP BY 1, 2)
+ SELECT CAST(1 AS BIGINT) AS pathway_id, CAST(n_nationkey AS BIGINT) AS node_id, upper(target) AS feature_key, sign FROM g JOIN nation ON tf = n_name WHERE target IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0)""")
+def d14_regulon_readouts(spark, sf):
+    n = t(spark, sf, "nation")
+    c = t(spark, sf, "customer").join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("tf")), "c_nationkey").withColumn("k", F.col("c_custkey") % 25)
+    regulon = c.join(n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("target")), "k").select("tf", "target", F.when(F.col("c_custkey") % 2 == 0, 1).otherwise(-1).alias("sign"))
+    return readouts.by_regulon(nodes(spark, sf), regulon, n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("feature_key")))
+
+
+@query(f"""WITH {MENTIONS}, g AS (SELECT paper_id, symbol, sum(n) AS m FROM mentions GROUP BY 1, 2), l AS (SELECT DISTINCT l_orderkey AS paper_id, l_suppkey AS dataset_id FROM lineitem WHERE l_linenumber = 1)
+ SELECT dataset_id, symbol AS gene_symbol, CAST(sum(m) AS BIGINT) AS mention_count, count(*) AS n_papers FROM g JOIN l USING (paper_id) GROUP BY 1, 2""")
+def d15_dataset_genes(spark, sf):
+    found = t(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("paper_id"), F.col("l_suppkey").alias("dataset_id"))
+    return readouts.genes_of_datasets(mentions(spark, sf).withColumnRenamed("symbol", "gene_symbol"), found)
+
+
+@query("""WITH p AS (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50) SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM p LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0""")
+def d19_annotated_page(spark, sf):
+    page = t(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "o_custkey")
+    notes = t(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
+    return readouts.annotated_page(page, notes, "o_custkey")
+
+
+@query("""SELECT CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS used_bytes FROM lineitem WHERE (l_linenumber % 2 = 0 AND l_suppkey % 3 = 0) OR (l_linenumber % 2 = 1 AND l_partkey % 5 = 0)""")
+def d20_used_bytes(spark, sf):
+    even = F.col("l_linenumber") % 2 == 0
+    files = t(spark, sf, "lineitem").select(F.when(even, F.col("l_suppkey")).alias("dataset_id"), F.when(~even, F.col("l_partkey")).alias("sample_id"), F.col("l_quantity").cast("long").alias("size_bytes"))
+    return readouts.used_bytes(files, t(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("dataset_id")), t(spark, sf, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("sample_id")))
+
+
+@query()
+def e26_manifest(spark, sf):
+    return readouts.manifest(j2_pathway_scores(spark, sf))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'complex' ELSE c_mktsegment END AS axis, CASE WHEN c_custkey % 4 = 0 THEN '1.0' ELSE '0.2' END AS score, CASE WHEN c_custkey % 4 = 0 THEN c_name || chr(10) || '[2026-01-02 03:04 ann] seen' ELSE c_name END AS notes FROM customer""")
+def c20_resolved(spark, sf):
+    c = t(spark, sf, "customer")
+    rows = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("axis"), F.create_map(F.lit("score"), F.lit("0.2")).alias("confidence"), F.col("c_name").alias("notes"))
+    decisions = c.where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("id"), F.lit("complex").alias("axis"), F.lit("seen").alias("note"), F.lit("ann").alias("user"), F.lit("2026-01-02 03:04:00").cast("timestamp").alias("at"))
+    return curation.resolve(rows, "id", decisions).select("id", "axis", F.col("confidence")["score"].alias("score"), "notes")
+
+
+@query("""WITH d AS (SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'sra' WHEN 1 THEN 'geo' ELSE 'pride' END AS db FROM supplier), n AS (SELECT l_suppkey AS id, count(*) AS n, max(CASE WHEN l_orderkey % 997 = 0 THEN 1 ELSE 0 END) AS r FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY 1)
+ SELECT id AS dataset_id, CASE WHEN db = 'sra' THEN 'fastq' WHEN db = 'geo' AND r = 1 THEN 'fastq' WHEN db = 'geo' THEN 'supplementary' ELSE 'processed' END AS kind, n AS n_samples FROM d JOIN n USING (id)""")
+def c21_download_targets(spark, sf):
+    k = F.col("s_suppkey") % 3
+    d = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("dataset_id"), F.when(k == 0, "sra").when(k == 1, "geo").otherwise("pride").alias("source_db"))
+    s = t(spark, sf, "lineitem").where("l_suppkey % 7 <> 0").select(F.col("l_suppkey").alias("dataset_id"), F.col("l_orderkey").alias("sample_id"))
+    return curation.download_targets(d, s, t(spark, sf, "orders").where("o_orderkey % 997 = 0").select(F.col("o_orderkey").alias("sample_id")))
+
+
+@query("""SELECT DISTINCT l_orderkey AS paper_id, l_returnflag AS category FROM lineitem WHERE l_linenumber < 3 AND NOT (l_orderkey, l_returnflag) IN (SELECT (l_orderkey, l_returnflag) FROM lineitem WHERE l_quantity > 48)""")
+def c22_categories(spark, sf):
+    rows = t(spark, sf, "lineitem").withColumnsRenamed({"l_orderkey": "paper_id", "l_returnflag": "category"})
+    return curation.categorise(rows.where("l_linenumber = 1"), rows.where("l_linenumber = 2"), rows.where("l_quantity > 48"))
+
+
+@query("""SELECT s_suppkey AS dataset_id, 'included' AS curation_status FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT DISTINCT l_suppkey, 'pending' FROM lineitem WHERE l_quantity > 49 AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)""")
+def c23_accepted_suggestions(spark, sf):
+    have = t(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("dataset_id"), F.lit("included").alias("curation_status"))
+    return curation.accept_suggestion(have, t(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("dataset_id")), "dataset_id")
+
+
+@query("""WITH d AS (SELECT s_suppkey AS dataset_id, CASE WHEN s_suppkey % 3 = 0 THEN 'PRJNA' || s_suppkey END AS b, CASE WHEN s_suppkey % 4 = 0 THEN '10.1000/x' || s_suppkey END AS o FROM supplier), k AS (SELECT dataset_id, b AS k, 0.9 AS s FROM d UNION ALL SELECT dataset_id, o, 0.65 FROM d UNION ALL
+ SELECT DISTINCT l_suppkey, CAST(l_orderkey AS VARCHAR), 0.7 FROM lineitem WHERE l_quantity > 49) SELECT dataset_id, string_agg(DISTINCT k, ',' ORDER BY k) AS keys, CAST(max(s) AS DOUBLE) AS score FROM k WHERE k IS NOT NULL GROUP BY 1""")
+def i11_sample_join_keys(spark, sf):
+    k = F.col("s_suppkey")
+    d = t(spark, sf, "supplier").select(k.alias("dataset_id"), F.when(k % 3 == 0, F.concat(F.lit("prjna"), k)).alias("bioproject"), F.when(k % 4 == 0, F.concat(F.lit("https://doi.org/10.1000/X"), k)).alias("doi"), F.lit("none").alias("summary"))
+    pmids = t(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("dataset_id"), F.concat(F.lit("PMID: "), F.col("l_orderkey")).alias("pmid"))
+    return curation.sample_join_keys(d, pmids)
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'genomics' WHEN 1 THEN 'proteomics,genomics' WHEN 2 THEN '' ELSE 'transcriptomics' END AS layers FROM part""")
+def i31_omics_layers(spark, sf):
+    k = F.col("p_partkey") % 4
+    p = t(spark, sf, "part").select("p_partkey", F.when(k == 0, "Genomic, genomic").when(k == 1, "proteomic,genomic,other").when(k == 2, "other").otherwise(" transcriptomic").alias("o"))
+    return p.select("p_partkey", F.array_join(curation.omics_layers(F.col("o")), ",").alias("layers"))
+
+
+@query("""SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY 2, 3""")
+def b24_first_of_repeats(spark, sf):
+    return curation.first_of_repeats(t(spark, sf, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], "event_id")
+
+
+@query("""SELECT DISTINCT user_id AS sample_id, trim(r) AS run FROM (SELECT user_id, unnest([event_type || ' ', ' SRR' || event_id, ' ']) AS r FROM events) WHERE trim(r) <> ''""")
+def b25_run_rows(spark, sf):
+    runs = F.to_json(F.array(F.concat("event_type", F.lit(" ")), F.concat(F.lit(" SRR"), F.col("event_id").cast("string")), F.lit(" ")))
+    return curation.run_rows(t(spark, sf, "events").select(F.col("user_id").alias("sample_id"), runs.alias("sra_runs")))
