@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table, text_chunks
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 6000
 #: Most words with a weight; the heaviest stay.
 MOST_WORDS = 5000
 LEAST_DOCS = 3
