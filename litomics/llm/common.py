@@ -10,12 +10,16 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 #: Bytes of text that one numpy pass inside a task takes at once; a longer document is a pass of its own.
 CHUNK_BYTES = 4_000_000
 #: Rows of an Arrow batch. Documents can be very long, so batches stay short.
 BATCH_ROWS = 512
+#: Bits of the filter that spares documents a shuffle. Its size is fixed; a full filter spares none and loses none.
+FILTER_BITS = 1 << 24
+LISTED = "_lt_listed"
 
 _own_dirs: dict[str, str] = {}
 
@@ -111,6 +115,30 @@ def places(starts: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(ok[:-1]) > 0)
 
 
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """`docs` with LISTED: true for every doc_id in `ids`, and for few others while the filter is not full.
+
+    The filter is FILTER_BITS bits, FILTER_BITS / 64 rows of 16 bytes at most, whatever the number of ids; it is broadcast."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = ids.select(bit.alias("_lt_bit")).groupBy(F.floor(F.col("_lt_bit") / 64).alias("_lt_word"))
+    bits = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(_lt_bit % 64 as int))")).alias("_lt_bits"))
+    found = docs.withColumn("_lt_bit", bit).join(F.broadcast(bits), F.floor(F.col("_lt_bit") / 64) == F.col("_lt_word"), "left")
+    listed = F.expr("coalesce((shiftrightunsigned(_lt_bits, cast(_lt_bit % 64 as int)) & 1L) = 1L, false)")
+    return found.withColumn(LISTED, listed).select(*docs.columns, LISTED)
+
+
+def within(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id is in `ids`; rows that a filter of fixed size rules out are not shuffled."""
+    return marked(docs, ids).where(LISTED).join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id is not in `ids`; rows that a filter of fixed size rules out are not shuffled."""
+    every = marked(docs, ids)
+    doubtful = every.where(LISTED).join(ids.select("doc_id"), "doc_id", "left_anti")
+    return every.where(~F.col(LISTED)).select(docs.columns).union(doubtful.select(docs.columns))
+
+
 def bound_rows(df: DataFrame, most: int) -> int | None:
     """The number of rows if it is at most `most`, else None."""
     n = df.limit(most + 1).count()

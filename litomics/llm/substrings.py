@@ -4,7 +4,7 @@ A window is WINDOW words of one document. Every word under a window that also st
 
 The whole corpus is the reference, so it cannot be broadcast; shards of it are routed to where they are needed instead:
 1. Anchors. Of the GRAM-word grams in a window the one with the least hash is the window's anchor, so equal windows have equal
-   anchors. Anchors that occur in one text only (equal texts count as one) leave; no window of theirs repeats.
+   anchors. Anchors that occur in one document only, copies of whole documents aside, leave; no window of theirs repeats.
 2. Regions. For documents with shared anchors, each run of windows with one shared anchor is a region. Equal regions are one, with the smallest doc_id that has it.
    A document whose words equal a smaller doc_id's is all removed and has no regions.
 3. Shards. The regions of an anchor meet in one place, at most SHARD_WORDS words of them in one suffix automaton, whose states
@@ -12,8 +12,8 @@ The whole corpus is the reference, so it cannot be broadcast; shards of it are r
    statistics; wherever WINDOW words match, the state says where they occur first.
 4. Windows that occur first elsewhere are joined back to their documents, and their words are removed.
 
-Hot passages: anchors are counted before they are shuffled, equal regions merge before and in the shuffle, and joins are on keys that
-Spark splits. No group is capped.
+Hot passages: anchors are counted before they are shuffled, equal regions merge in each pass over texts before they are shuffled, and
+joins are on keys that Spark splits. No group is capped. Documents without a repeat are told by a bit filter of fixed size and skip the joins.
 
 Nulls: a null text has no words. A null doc_id has no order: nothing is removed from such a row and it is no reference. Rows that share a doc_id
 are judged alike, as one document that has all their windows. An empty table gives an empty result.
@@ -28,12 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
-from .common import gram_hashes, mix, places, small_batches, staged, table, text_chunks, word_hashes
+from .common import LISTED, gram_hashes, marked, mix, places, small_batches, staged, table, text_chunks, without, word_hashes
 
 WINDOW = 13
-GRAM = 6
+GRAM = 5
 SHARD_WORDS = 50_000
 #: Bytes of hash that stand for a word in a region.
 WORD_BYTES = 5
@@ -53,13 +52,8 @@ def anchors_of(hashes: np.ndarray, starts: np.ndarray, window: int, gram: int) -
     return at, mix(least[at]).view(np.int64)
 
 
-def text_key(words: list[bytes]) -> int:
-    """A hash of a word sequence; words hold no space."""
-    return xxh3_64_intdigest(b" ".join(words)) & FAR
-
-
 def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc_id, text_key and the distinct anchors of each document."""
+    """doc_id and the distinct anchors of each document."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,10 +70,9 @@ def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
             new = np.ones(len(anchor), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
             anchor, owner = anchor[new], owner[new]
-            keys = np.fromiter(map(text_key, words), np.int64, len(words))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), pa.array(keys[owner]), pa.array(anchor)], names=["doc_id", "text_key", "anchor"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), pa.array(anchor)], names=["doc_id", "anchor"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_key long, anchor long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, anchor long")
 
 
 def text_keys(docs: DataFrame) -> DataFrame:
@@ -169,16 +162,32 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def settled(docs: DataFrame) -> DataFrame:
+    """Documents that lose nothing."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_chunks(batches):
+            words = [t.split() for t in texts]
+            columns = [part.column("doc_id"), pa.array(list(map(len, words)), pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array(list(map(_digest, words)), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+
+
 def cut_regions(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Documents (doc_id, text, is_copy, shared: their shared anchors) with what is settled and the regions of the rest."""
+    """Documents (doc_id, text, is_copy, shared: their shared anchors) with what is settled and the regions of the rest.
+
+    A region is (anchor, start, two hashes, words); of equal regions in one pass only the smallest document's has its words."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
             words = [t.split() for t in texts]
-            copies, shared = part.column("is_copy").to_pylist(), part.column("shared").to_pylist()
+            ids, copies, shared = (part.column(c).to_pylist() for c in ("doc_id", "is_copy", "shared"))
+            holder: dict[tuple[int, bytes], dict] = {}
             out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "text": [], "regions": []}
-            for w, t, copy, own in zip(words, texts, copies, shared, strict=True):
+            for doc, w, t, copy, own in zip(ids, words, texts, copies, shared, strict=True):
                 regions = []
                 if own and not copy:
                     hashes, starts = word_hashes([w])
@@ -187,21 +196,40 @@ def cut_regions(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     edge = np.ones(len(at) + 1, bool)
                     edge[1:-1] = anchor[1:] != anchor[:-1]
                     cuts, raw = np.flatnonzero(edge), _shrunk(hashes)
-                    regions = [(int(anchor[a]), int(at[a]), raw[at[a] : at[b - 1] + window].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if hit[a]]
+                    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                        if not hit[a]:
+                            continue
+                        content = raw[at[a] : at[b - 1] + window].tobytes()
+                        key = (int(anchor[a]), content)
+                        r1, r2 = (int.from_bytes(x, "little", signed=True) for x in _halves(key))
+                        region = {"anchor": key[0], "start": int(at[a]), "r1": r1, "r2": r2, "words": content, "doc": doc}
+                        first = holder.get(key)
+                        if first is None or doc < first["doc"]:
+                            if first is not None:
+                                first["words"] = None
+                            holder[key] = region
+                        else:
+                            region["words"] = None
+                        regions.append(region)
                 open_ = bool(regions)
                 out["n_words"].append(len(w))
                 out["n_removed"].append(None if open_ else len(w) if copy else 0)
                 out["kept_sha256"].append(None if open_ else _digest([] if copy else w))
                 out["text"].append(t if open_ else None)
-                out["regions"].append([{"anchor": a, "start": s, "words": x} for a, s, x in regions])
-            region = pa.struct([("anchor", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
+                out["regions"].append(regions)
+            region = pa.struct([("anchor", pa.int64()), ("start", pa.int32()), ("r1", pa.int64()), ("r2", pa.int64()), ("words", pa.binary())])
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(region))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], names=["doc_id", *out])
 
-    schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, text binary, regions array<struct<anchor:long,start:int,words:binary>>"
+    schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, text binary, regions array<struct<anchor:long,start:int,r1:long,r2:long,words:binary>>"
     return docs.select("doc_id", "text", "is_copy", "shared").mapInArrow(run, schema)
 
 
+def _halves(key: tuple[int, bytes]) -> tuple[bytes, bytes]:
+    d = hashlib.blake2b(key[1], digest_size=16, salt=key[0].to_bytes(8, "little", signed=True)).digest()
+    return d[:8], d[8:]
+
+
 def first_documents(regions: DataFrame, window: int) -> DataFrame:
     """For each distinct region, by its two hashes, the smallest document of each of its windows. Rows of an anchor stand together."""
 
@@ -226,21 +254,25 @@ def first_documents(regions: DataFrame, window: int) -> DataFrame:
             yield r1, r2, mins
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, last = [], None
+        group: dict[tuple[int, int], tuple[bytes, int]] = {}
+        last = None
         out: list[tuple[int, int, list[int]]] = []
         as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.list_(pa.int64()))], names=["r1", "r2", "firsts"])
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("anchor", "words", "first", "r1", "r2")]
             for anchor, words, first, r1, r2 in zip(*columns, strict=True):
                 if anchor != last and group:
-                    out += answers(group)
-                    group = []
+                    out += answers([(w, d, *k) for k, (w, d) in group.items()])
+                    group = {}
                     if len(out) > 2000:
                         yield as_batch(out)
                         out = []
                 last = anchor
-                group.append((words, first, r1, r2))
-        out += answers(group) if group else []
+                known = group.get((r1, r2))
+                if known is None or first < known[1]:
+                    group[r1, r2] = (words, first)
+        if group:
+            out += answers([(w, d, *k) for k, (w, d) in group.items()])
         yield as_batch(out)
 
     return (
@@ -283,29 +315,30 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
     keys = staged(text_keys(known), "keys").where(F.col("n_words") >= window)
     first = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
-    copies = keys.join(first, ["k1", "k2"]).groupBy("doc_id").agg(F.min(F.col("doc_id") > F.col("first")).alias("is_copy")).where("is_copy")
-
-    shared = anchor_rows(known, window, gram).groupBy("anchor").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low < high").select("anchor")
-    hits = anchor_rows(known, window, gram).select("doc_id", "anchor").join(shared, "anchor").join(copies.select("doc_id"), "doc_id", "left_anti")
-    hits = hits.groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
-    told = hits.join(copies, "doc_id", "full_outer").select("doc_id", "shared", F.coalesce("is_copy", F.lit(False)).alias("is_copy"))
-    cut = staged(cut_regions(docs.join(told, "doc_id", "left").withColumn("is_copy", F.coalesce("is_copy", F.lit(False))), window, gram), "cut")
-
-    regions = (
-        cut.select("doc_id", F.explode("regions").alias("r")).select("doc_id", "r.*")
-        .withColumn("r1", F.xxhash64("words", "anchor")).withColumn("r2", F.xxhash64(F.lit(7), "words"))
-    )
-    distinct = regions.groupBy("anchor", "words", "r1", "r2").agg(F.min("doc_id").alias("first"))
-    firsts = staged(first_documents(distinct, window), "firsts")
+    copies = staged(keys.join(first, ["k1", "k2"]).groupBy("doc_id").agg(F.min(F.col("doc_id") > F.col("first")).alias("is_copy")).where("is_copy"), "copies")
+
+    # copies give no anchors: what their texts repeat is all of them
+    anchors = staged(anchor_rows(without(known, copies), window, gram), "anchors")
+    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    hits = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
+    told = staged(hits.withColumn("is_copy", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast("array<long>").alias("shared"), F.lit(True).alias("is_copy"))), "told")
+    parts = marked(docs, told.select("doc_id"))
+    quiet = settled(parts.where(~F.col(LISTED)))
+    loud = parts.where(LISTED).drop(LISTED).join(told, "doc_id", "left").withColumn("is_copy", F.coalesce("is_copy", F.lit(False)))
+    cut = staged(cut_regions(loud, window, gram), "cut")
+
+    regions = cut.select("doc_id", F.explode("regions").alias("r"))
+    contents = regions.where("r.words is not null").select(F.col("r.anchor").alias("anchor"), F.col("r.words").alias("words"), F.col("doc_id").alias("first"), F.col("r.r1").alias("r1"), F.col("r.r2").alias("r2"))
+    firsts = staged(first_documents(contents, window), "firsts")
     windows = F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("start") + i))
     gone = (
-        regions.select("doc_id", "start", "r1", "r2").join(firsts, ["r1", "r2"])
+        regions.select("doc_id", F.col("r.start").alias("start"), F.col("r.r1").alias("r1"), F.col("r.r2").alias("r2")).join(firsts, ["r1", "r2"])
         .select("doc_id", F.filter(windows, lambda w: w.isNotNull()).alias("w")).where(F.size("w") > 0)
         .groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("starts"))
     )
-    settled = cut.where("text is null").select("doc_id", "n_words", "n_removed", "kept_sha256")
+    whole = cut.where("text is null").select("doc_id", "n_words", "n_removed", "kept_sha256")
     opened = cut.where("text is not null").select("doc_id", "n_words", "text").join(gone, "doc_id", "left")
-    return settled.unionByName(remove_windows(opened.select("doc_id", "n_words", "text", "starts"), window))
+    return quiet.unionByName(whole).unionByName(remove_windows(opened.select("doc_id", "n_words", "text", "starts"), window))
 
 
 def op1_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
