@@ -2,6 +2,8 @@ import corpus_pipeline
 from litomics.llm import minhash, packing, pii, quality, templates
 from litomics.llm.common import table
 
+from .cases import docs, sample
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -29,3 +31,14 @@ def test_stages_take_effect(spark):
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
         docs = out
     assert packing.pack(docs).count() == corpus_pipeline.run(spark, SF).count()
+
+
+def test_awkward_rows_pass_every_stage(spark):
+    frame = docs(spark, sample("documents", 80))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, SF)
+        assert out.columns == frame.columns
+        rows = out.collect()
+        assert len(rows) <= frame.count() and {r["kept"] for r in rows} <= {"k"}
+        assert stage(spark, frame.limit(0), SF).collect() == []
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, SF).count() >= frame.count()
