@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
-from .common import gram_hashes, mix, small_batches, staged, table, text_chunks, word_hashes
+from .common import gram_hashes, mix, small_batches, staged, table, text_chunks, within, without, word_hashes
 from .components import roots
 
 ROWS, BANDS = 5, 40
@@ -185,8 +185,8 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
     reps = some.join(first, ["h1", "h2"]).where("doc_id = rep").select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     shared = reps.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("band", "pivot")
     members = staged(reps.join(shared, "band").select("band", "pivot", F.col("doc_id").alias("b"), "n_shingles").distinct(), "members")
-    named = members.select(F.col("b").alias("doc_id")).distinct()
-    sets = staged(packed_sets(docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
+    named = staged(members.select(F.col("b").alias("doc_id")).distinct(), "named")
+    sets = staged(packed_sets(within(docs.select("doc_id", "text"), named).dropDuplicates(["doc_id"]), words), "sets")
 
     star = members.where("b <> pivot").select(F.col("pivot").alias("a"), "b").distinct()
     seen = staged(overlaps(star, sets), "seen")
@@ -223,8 +223,8 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """One row of `docs` for each class, that with the least doc_id; of rows that share it, one. Rows without doc_id stay."""
     every = staged(classes(docs, words, similarity), "classes")
-    gone = every.where(~F.col("kept")).select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = staged(every.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    stay = without(docs, gone)
     twice = every.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return stay

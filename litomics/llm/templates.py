@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import bound_rows, gram_hashes, places, small_batches, staged, table, text_chunks
+from .common import bound_rows, gram_hashes, places, small_batches, staged, table, text_chunks, without
 
 WINDOW = 8
 COVER = 0.5
@@ -175,8 +175,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, cover: float = COVER)
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that contain no item."""
-    gone = contained_items(docs, benchmark).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, staged(contained_items(docs, benchmark).select("doc_id").distinct(), "gone"))
 
 
 def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
