@@ -38,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         app = spark.sparkContext.applicationId
-        root = _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="litomics-"))
+        if app not in _own_dirs:
+            _own_dirs[app] = tempfile.mkdtemp(prefix="litomics-")
+        root = _own_dirs[app]
     return root.rstrip("/")
 
 
