@@ -3,10 +3,11 @@
 Training spans come from the texts themselves: windows around matches of the base patterns, and the same windows with
 the match rewritten in forms that the patterns miss (no plus sign, spelt-out signs), at most TRAIN_WINDOWS of them, taken by a hash.
 
-Tagging: every kind of personal data here holds a digit or an `@`, so every such character of the whole text is a trigger; windows of
-WINDOW characters, half of each shared with the next, cover the surroundings of all triggers. The emissions of
+Tagging: every kind of personal data here holds a digit, an `@` or a spelt-out sign such as `[at]` or `(dot)`, so each of these in the whole
+text is a trigger. Around a sign of an address the whole run of address characters on both sides belongs to the surroundings, however
+long. Windows of WINDOW characters, half of each shared with the next, cover the surroundings of all triggers. The emissions of
 overlapping windows are averaged, weighted towards each window's middle, and one Viterbi pass decodes the whole stretch. Tagged spans
-that overlap no base span, and whose form fits their kind, are added.
+that overlap no base span, and whose form fits their kind, are added; a tagged address grows to the ends of its run first.
 
 Nulls: a null text is empty and has no spans. Repeated rows stay. An empty table gives an empty result. Without training matches
 nothing is added. No text is cut: memory follows the longest text.
@@ -38,7 +39,11 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
-TRIGGER = re.compile("[0-9@]")
+SIGN = re.compile("[0-9@]")
+#: Signs of an address that are spelt out.
+AT, DOT = r"[\[(]\s?(?i:at)\s?[\])]", r"[\[(]\s?(?i:dot)\s?[\])]"
+TRIGGER = re.compile(f"[0-9@]|{AT}|{DOT}")
+ADDRESS = re.compile(f"@|{AT}")
 
 
 def luhn(digits: str) -> bool:
@@ -218,21 +223,43 @@ class Tagger:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Merged surroundings of all triggers."""
+    """Merged surroundings of all triggers. Those of a sign of an address hold the runs of address characters beside it."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.start() + AROUND)
+        a, b = m.start(), m.start()
+        if not m[0].isdigit():
+            # what an earlier stretch holds, or an earlier run passed, is not walked again
+            done, b = (out[-1][1] if out else 0), m.end()
+            while a > done and text[a - 1].isspace() and m.start() - a < 2:
+                a -= 1
+            while a > done and text[a - 1] in LOCAL:
+                a -= 1
+            while b < len(text) and text[b].isspace() and b - m.end() < 2:
+                b += 1
+            b = max(b, min(done - AROUND, len(text)))
+            while b < len(text) and text[b] in LOCAL:
+                b += 1
+        a, b = max(0, a - AROUND), min(len(text), b + AROUND)
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
 
 
+def grown(text: str, a: int, b: int) -> tuple[int, int]:
+    """A tagged address, up to the ends of the runs that it lies in."""
+    while a > 0 and text[a - 1] in LOCAL:
+        a -= 1
+    while b < len(text) and (text[b] == "-" or text[b] in LOCAL and text[b].isalnum() or text[b] == "." and text[b + 1 : b + 2] in LOCAL and text[b + 1 : b + 2].isalnum()):
+        b += 1
+    return a, b
+
+
 _WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(float)
 #: Forms that a tagged span must have.
 FITS = {
-    "email": lambda s: bool(re.search(r"[^\s@](@|\s?[\[(]at[\])]\s?)[A-Za-z0-9-]+(\.|\s?[\[(]dot[\])]\s?)[A-Za-z]", s)),
+    "email": lambda s: bool(re.search(rf"[^\s@](@|\s?{AT}\s?)[A-Za-z0-9-]+(\.|\s?{DOT}\s?)[A-Za-z]", s)),
     "ip": lambda s: bool(re.fullmatch(r"[0-9]{1,3}([.,:-][0-9]{1,3}){3}", s)),
     "card": lambda s: 14 <= sum("0" <= c <= "9" for c in s) <= 19 and not re.search(r"[^0-9 .-]", s) and luhn(re.sub("[^0-9]", "", s)),
     "phone": lambda s: 10 <= sum("0" <= c <= "9" for c in s) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][ ().0-9-]+[0-9]", s)) and bool(re.search(r"[ ().-]", s)) and not re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s),
@@ -265,9 +292,12 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
             tags, start, kind = tagger.decode(s / w), 0, -1
             for k, tag in enumerate([*tags, 0]):
                 if kind >= 0 and tag != 2 * kind + 2:
-                    text = texts[i][a + start : a + k]
-                    if FITS[KINDS[kind]](text):
-                        out[i].append((a + start, a + k, KINDS[kind]))
+                    span = (a + start, a + k)
+                    # runs end at signs, so only a piece with one can fit once grown
+                    if KINDS[kind] == "email" and ADDRESS.search(texts[i][span[0] : span[1]]):
+                        span = grown(texts[i], *span)
+                    if FITS[KINDS[kind]](texts[i][span[0] : span[1]]) and not (out[i] and span[0] < out[i][-1][1]):
+                        out[i].append((*span, KINDS[kind]))
                     kind = -1
                 if tag % 2 == 1:
                     kind, start = int(tag) // 2, k
@@ -293,7 +323,7 @@ def training_windows(texts: list[str], most: int = TRAIN_WINDOWS, seed: int = 3)
     for text in texts:
         spans = base_spans(text)
         taken = {p for s, e, _ in spans for p in range(s, e)}
-        free = [m.start() for m in TRIGGER.finditer(text) if m.start() not in taken]
+        free = [m.start() for m in SIGN.finditer(text) if m.start() not in taken]
         for p in free[:: max(1, len(free) // 4)]:
             add(text, spans, p)
         for s, e, k in spans:
@@ -303,7 +333,10 @@ def training_windows(texts: list[str], most: int = TRAIN_WINDOWS, seed: int = 3)
             if k == "phone":
                 new = [f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}", f"{digits[-10:-7]}-{digits[-7:-4]}-{digits[-4:]}", f"{digits[-10:-7]}.{digits[-7:-4]}.{digits[-4:]}"][int(rng.integers(3))]
             elif k == "email":
-                new = found.replace("@", "[at]" if rng.integers(2) else " (at) ")
+                new = found.replace("@", ["[at]", " (at) ", " [at] "][int(rng.integers(3))])
+                if rng.integers(3) == 0:
+                    at = re.search(AT, new)
+                    new = new[: at.end()] + new[at.end() :].replace(".", [" [dot] ", "(dot)"][int(rng.integers(2))])
             elif k == "card":
                 new = ".".join(digits[j : j + 4] for j in range(0, len(digits), 4))
             if new:

@@ -79,3 +79,27 @@ def test_redaction(spark):
     texts = {r["doc_id"]: r["text"] for r in frame.collect()}
     assert all((rows[i]["text"] is None) == (t is None) for i, t in texts.items())
     assert pii.redact(frame).schema == frame.schema
+
+
+def test_addresses_with_spelt_out_signs():
+    rng = np.random.default_rng(2)
+    name = lambda: "".join(rng.choice(list("abcdefghilmnorstu"), rng.integers(3, 9)))
+    few = lambda: " ".join(name() for _ in range(rng.integers(4, 12)))
+    texts = [f"{few()} {name()}.{name()}{i % 50}@{name()}.com {few()} +1 ({200 + i}) 555-{1000 + i} {few()} {name()}@mail.{name()}.org, {few()} {i} {few()}" for i in range(300)]
+    tagger = pii.Tagger()
+    tagger.train(*pii.training_windows(texts), steps=300)
+    for form in ("{}.{} [at] {}.com", "{}.{}[at]{}.org", "{}_{} (at) {}.net", "{}.{} [at] {} [dot] com"):
+        asked = [form.format(name(), name(), name()) for _ in range(40)]
+        held = [f"{few()} please write to {x} when there is time {few()}" for x in asked]
+        found = [[t[a:b] for a, b, k in f if k == "email"] for t, f in zip(held, pii.tagged_spans(tagger, held), strict=True)]
+        assert sum(x in f for x, f in zip(asked, found, strict=True)) >= 30, (form, found[:5])
+    assert not any(pii.tagged_spans(tagger, ["we met (at) noon and stayed [at] home, as one does (dot) and so on"]))
+
+
+def test_stretches_hold_whole_addresses():
+    long = "a" * 70 + "." + "b" * 50 + " [AT] " + "c" * 90 + " (dot) org"
+    text = "words " * 30 + long + " words" * 30
+    at = text.index(long)
+    assert any(a <= at and at + len(long) <= b for a, b in pii.stretches(text))
+    assert pii.stretches("no sign stands in this text at all") == []
+    assert pii.grown(text, at + 60, at + 130) == (at, at + 121 + 6 + 90)
