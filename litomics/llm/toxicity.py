@@ -3,7 +3,8 @@
 The character model is a trigram model counted over all documents. A word is disguised if digits or signs stand among its
 letters, a letter repeats three times or more, or single characters stand in a row. Its lattice has, for each character, the letters
 it may stand for, the skip of a separator, and the skip of a repeated letter; the best path under channel and model replaces it. Words
-with one path only (letters, no repeats) are what they are, without a lattice.
+with one path only (letters, no repeats) are what they are, without a lattice. Signs at a word's edge may be letters or punctuation, so
+such a word is decoded with and without them. In words longer than LONGEST, runs of one character are folded to three first.
 
 Word weights and the final logistic function are learned from at most TRAIN_ROWS labelled documents, taken by a hash of
 doc_id, whose crc32(doc_id) mod 4 is not 2. Labels, lang, source and doc_id are no inputs of a score.
@@ -34,8 +35,10 @@ LEAST_DOCS = 3
 #: Standard errors taken off a log odds ratio before it counts.
 CAUTION = 2.5
 THRESHOLD = 0.3
-#: A disguised word is at most this long; longer runs are codes, not words.
+#: In a longer word, runs of one character are folded before it is decoded.
 LONGEST = 32
+#: Longer words are decoded anew each time, so that the memo stays small.
+MEMO_LONGEST = 64
 
 # What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "aeiou"}
@@ -55,10 +58,13 @@ for _i in range(128):
 FOLD = bytes(_FOLD)
 LOWER = bytes((c + 32 if 65 <= c <= 90 else c) for c in range(256))
 
-#: A text without this has only words of one path.
-DISGUISED = re.compile(rb"[a-z][0-9@$!|+(*#._~'-]+[a-z]|\b[0-9@$!|+(]+[a-z]|[a-z][0-9]|(?:([a-z])\1\1)|(?:(?<![^\s])[a-z0-9@$!][ .*_-]+){3}")
 SPACED = re.compile(r"(?<!\S)(?:[a-z0-9@$!*#][ .*_-]{1,2}){2,}[a-z0-9@$!*#](?=[\s.,;:?\"')]|$)")
-ODD = re.compile(r"[^\sa-z]*[a-z][^\s]*|[0-9@$!|+(][^\s]*[a-z][^\s]*")
+OUTER = ".,;:?\"'()[]{}<>%&=/\\"
+#: Signs that are letters or punctuation at a word's beginning and end.
+OPENING, CLOSING = "(", "!*#$|+("
+SIGN = re.compile(r"[0-9@$!|+(*#._~'-]")
+LETTER = re.compile("[a-z]")
+STRETCHED = re.compile(r"([a-z])\1\1")
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -97,8 +103,9 @@ class CharModel:
     def decode(self, seen: str) -> str:
         """The best word behind `seen`: Viterbi over states of the last two letters."""
         start = (0, 0)
-        best: dict[tuple[int, int], tuple[float, str]] = {start: (0.0, "")}
-        last = ""
+        # a path's word is linked from its last letter back, so that a step takes the same time in words of any length
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {start: (0.0, None)}
+        last, closing = "", len(seen.rstrip("!"))
         for i, c in enumerate(seen):
             options: list[tuple[str, float]] = []
             if "a" <= c <= "z" or c >= "\x80":
@@ -107,27 +114,33 @@ class CharModel:
                     options.append(("", -0.7))
             else:
                 options += [(x, -1.5) for x in LEET.get(c, "")]
-                if c in SEPARATORS or c == last:
+                # a closing exclamation mark may be one
+                if c in SEPARATORS or c == last or i >= closing:
                     options.append(("", -0.7))
                 if not options or c.isdigit():
                     options.append((c, -3.0))
             last = c
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, word) in best.items():
                 row = self.log[a][b]
                 for letter, cost in options:
-                    if letter == "" and not word:
+                    if letter == "" and word is None:
                         continue
                     if letter == "":
                         state, value, grown = (a, b), score + cost, word
                     else:
                         k = self.code(letter)
-                        state, value, grown = (b, k), score + cost + row[k], word + letter
+                        state, value, grown = (b, k), score + cost + row[k], (word, letter)
                     if state not in new or value > new[state][0]:
                         new[state] = (value, grown)
             if new:
                 best = new
-        return max((score + self.log[a][b][0], word) for (a, b), (score, word) in best.items())[1]
+        word = max(((score + self.log[a][b][0], word) for (a, b), (score, word) in best.items()), key=lambda x: x[0])[1]
+        letters = []
+        while word is not None:
+            word, letter = word
+            letters.append(letter)
+        return "".join(reversed(letters))
 
 
 def squeezed(word: str) -> str:
@@ -135,28 +148,45 @@ def squeezed(word: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1", word)
 
 
-def restored_words(text: bytes, model: CharModel, memo: dict[str, str]) -> set[bytes]:
+def disguised(raw: str) -> set[str]:
+    """The readings of a word between blanks that have to be decoded: without signs at its edges, and with those that may be letters."""
+    if not LETTER.search(raw) or raw.isalpha() and not STRETCHED.search(raw):
+        return set()
+    bare = raw.strip(OUTER)
+    left = raw.lstrip(OUTER.replace(OPENING, ""))
+    out = set()
+    for w in (bare, left.rstrip(OUTER)):
+        w = w.rstrip(OUTER.replace("(", ""))
+        out |= {w, w.rstrip(CLOSING + OUTER)}
+    out = {w for w in out if LETTER.search(w) and (not w.isalpha() and SIGN.search(w) or STRETCHED.search(w))}
+    return {w if len(w) <= LONGEST else re.sub(r"(.)\1{3,}", r"\1\1\1", w) for w in out}
+
+
+def readings(seen: set[str], model: CharModel) -> frozenset[bytes]:
+    out = set()
+    for w in seen:
+        word = model.decode(re.sub(r"\s+", " ", w))
+        if word:
+            out |= {word.encode(), squeezed(word).encode()}
+    return frozenset(out)
+
+
+def restored_words(text: bytes, model: CharModel, memo: dict[str, frozenset[bytes]]) -> set[bytes]:
     """The distinct words of a text, disguised ones replaced by what they stand for (and kept as they stand)."""
     words = set(text.translate(FOLD).split())
-    low = text.translate(LOWER)
-    if not DISGUISED.search(low):
-        return words
-    line = low.decode("utf-8", "replace")
-    odd = {m[0] for m in SPACED.finditer(line)}
+    line = text.translate(LOWER).decode("utf-8", "replace")
+    for w in {m[0] for m in SPACED.finditer(line)}:
+        words |= readings({w}, model)
     for w in set(line.split()):
-        w = w.strip(".,;:?\"'()[]{}<>%&=/\\").rstrip("!*#$|+")
-        if len(w) <= LONGEST and not w.isalpha() and re.search("[a-z]", w) and re.search(r"[0-9@$!|+(*#._~'-]", w):
-            odd.add(w)
-        elif len(w) <= LONGEST and re.search(r"([a-z])\1\1", w):
-            odd.add(w)
-    for w in odd:
-        if w not in memo:
-            if len(memo) > 200_000:
-                memo.clear()
-            memo[w] = model.decode(re.sub(r"\s+", " ", w))
-        if memo[w]:
-            words.add(memo[w].encode())
-            words.add(squeezed(memo[w]).encode())
+        found = memo.get(w)
+        if found is None:
+            found = readings(disguised(w), model)
+            if len(w) <= MEMO_LONGEST:
+                if len(memo) > 200_000:
+                    memo.clear()
+                memo[w] = found
+        if found:
+            words |= found
     return words
 
 
@@ -172,7 +202,7 @@ class Scorer:
         labels = np.array([y for _, y in docs], float)
         if not 0 < labels.sum() < len(labels):
             return
-        memo: dict[str, str] = {}
+        memo: dict[str, frozenset[bytes]] = {}
         bags = [restored_words(t, model, memo) for t, _ in docs]
         every, toxic = Counter(), Counter()
         for bag, y in zip(bags, labels, strict=True):
@@ -195,7 +225,7 @@ class Scorer:
         hits = [self.weights[w] for w in bag & self.weights.keys()]
         return (max(hits, default=0.0), min(sum(hits), 20.0), 1.0)
 
-    def score(self, text: bytes, memo: dict[str, str]) -> float:
+    def score(self, text: bytes, memo: dict[str, frozenset[bytes]]) -> float:
         z = float(np.dot(self.coefficients, self.inputs(restored_words(text, self.model, memo))))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 

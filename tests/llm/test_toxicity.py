@@ -36,3 +36,14 @@ def test_awkward(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
     assert toxicity.score_documents(frame.limit(0), labels).collect() == []
     assert {r["predicted"] for r in toxicity.score_documents(frame, labels.limit(0)).collect()} == {0}
+
+
+def test_signs_at_edges_and_long_words(spark):
+    text = " ".join(["you are an idiot and a moron", "what a stupid loser", "such an asshole or ass", "an insane clown", "the nazi party", "the weather is fine today"] * 50)
+    m = toxicity.CharModel(toxicity.trigram_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")))
+    long = "idi" + "o" * 40 + "t"
+    for seen, word in [("$tupid", "stupid"), ("@sshole", "asshole"), ("a$$", "ass"), ("(lown", "clown"), ("naz!", "nazi"), (long, "idiot"), ("1d1" + "0" * 60 + "t", "idiot"), ("1d10t!", "idiot")]:
+        for around in ("so you {} really", "{}", "so you {}."):
+            words = toxicity.restored_words(around.format(seen).encode(), m, {})
+            assert word.encode() in words, (seen, around, words)
+    assert len(m.decode("ab1" * 20_000)) >= 40_000
