@@ -54,3 +54,23 @@ def test_empty_tables(spark):
     frame = docs(spark, ["a b c " * 9])
     assert templates.contained_items(frame, bench(spark, [])).collect() == []
     assert templates.keep_clean(frame, bench(spark)).count() == frame.count()
+
+
+def test_openers_short_items_and_numbers(spark):
+    items = [
+        "Tom has 5 apples. Tom buys 3 more. Tom eats 2. How many apples does Tom have?",
+        "Who wrote the great novel of Spain?",
+        "12 7 9 30 45 81 3 66 52 10",
+        "4 times 5 is 20",
+    ]
+    texts = [
+        "Before. " + items[0].replace("Tom", "Anna").replace("5", "8").replace("3", "6") + " After.",
+        "A heading line\nWho wrote the great novel of Spain? Nobody knows.",
+        "the numbers " + items[2] + " stand here",
+        "the numbers 12 7 9 30 45 81 3 66 and no more",
+        "we say 4 times 5 is 20 here",
+        "Tom has no pears. Anna buys one. Who wrote that?",
+    ]
+    got = found(spark, texts, items)
+    assert got.keys() == {(0, 0), (1, 1), (2, 2), (4, 3)}, got
+    assert got[0, 0] == 3 and got[2, 2] == 0
