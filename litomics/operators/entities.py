@@ -82,13 +82,15 @@ def recognise_genes(papers: DataFrame, symbols: DataFrame, stop_words: list[str]
     return direct.unionByName(more).groupBy("paper_id", "symbol").agg(F.sum("count").alias("mention_count"))
 
 
-def recognise_phrases(papers: DataFrame, names: DataFrame, most_words: int = 5) -> DataFrame:
+def recognise_phrases(papers: DataFrame, names: DataFrame) -> DataFrame:
     """(paper_id, name, mention_count) of dictionary phrases by whole words; where phrases overlap at a word, the longest counts.
 
-    Word n-grams are hash-joined with the dictionary, so texts are not scanned once per name."""
+    Word n-grams of the lengths that the dictionary has are hash-joined with it, so texts are not scanned once per name."""
+    known = names.select(F.lower("name").alias("name")).where("name is not null").distinct()
+    lengths = F.array(*[F.lit(r["n"]) for r in known.select(F.size(F.split("name", " ")).alias("n")).distinct().orderBy("n").collect()]).cast("array<int>")
     words = papers.select("paper_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)([\w\-]+)"), F.lit(1)).alias("w"))
-    grams = words.select("paper_id", F.explode(F.flatten(F.transform("w", lambda x, i: F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.when(i + n <= F.size("w"), F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("w", i + 1, n), " ").alias("name"))))))).alias("g")).where("g is not null")
-    met = grams.select("paper_id", "g.*").join(names.select(F.lower("name").alias("name")).distinct(), "name")
+    grams = words.select("paper_id", F.explode(F.flatten(F.transform("w", lambda x, i: F.transform(lengths, lambda n: F.when(i + n <= F.size("w"), F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("w", i + 1, n), " ").alias("name"))))))).alias("g")).where("g is not null")
+    met = grams.select("paper_id", "g.*").join(known, "name")
     per_paper = met.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(F.col("at"), (-F.col("n")).alias("minus"), F.col("name")))).alias("m"))
     start = F.expr("named_struct('until', 0, 'names', cast(array() as array<string>))")
     kept = F.aggregate("m", start, lambda a, x: F.when(x["at"] >= a["until"], F.struct((x["at"] - x["minus"]).alias("until"), F.array_append(a["names"], x["name"]).alias("names"))).otherwise(a), lambda a: a["names"])

@@ -54,6 +54,13 @@ def test_phrases_longest_first(spark):
     assert {r["name"]: r["mention_count"] for r in entities.recognise_phrases(papers, names).collect()} == {"folic acid": 2, "acid": 1, "aspirin": 1}
 
 
+def test_phrases_of_many_words(spark):
+    papers = spark.createDataFrame([(1, "Given one two three four five six SEVEN daily, and three four.")], "paper_id int, text string")
+    names = spark.createDataFrame([("one two three four five six seven",), ("three four",), (None,)], "name string")
+    assert {r["name"]: r["mention_count"] for r in entities.recognise_phrases(papers, names).collect()} == {"one two three four five six seven": 1, "three four": 1}
+    assert entities.recognise_phrases(papers, names.limit(0)).collect() == []
+
+
 def test_benjamini_hochberg(spark):
     p = {1: [(0.01, 1), (0.04, 1), (1.0, 0)], 2: [(0.02, 1), (0.02, 1), (0.06, 1)], 3: [(0.10, 1), (0.30, 1), (1.0, 0)], 5: [(1.0, 0)] * 3}
     rows = [(k, s, 10 * k + s, v, float(sd), 0.0) for k, vs in p.items() for s, (v, sd) in enumerate(vs)]
