@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,15 +12,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
 #: Bytes of text that one numpy pass inside a task takes at once; a longer document is a pass of its own.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 #: Rows of an Arrow batch. Documents can be very long, so batches stay short.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 #: Bits of the filter that spares documents a shuffle. Its size is fixed; a full filter spares none and loses none.
 FILTER_BITS = 1 << 24
 LISTED = "_lt_listed"
+#: A key with more than this part of all rows is hot; there are fewer than 1 / HOT of them, which bounds what is broadcast.
+HOT = 1 / 4096
+#: Rows that one task numbers.
+BUCKET_ROWS = 200_000
 
 _own_dirs: dict[str, str] = {}
 
@@ -34,9 +40,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where none is set, as in local tests."""
+    """The folder of spark.checkpoint.dir; one of our own only where none is set and all runs on this machine, as in local tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: staged tables need a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = tempfile.mkdtemp(prefix="litomics-")
@@ -52,6 +61,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Remove staged frames that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {posixpath.dirname(f) for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null text is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -117,28 +135,55 @@ def places(starts: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(ok[:-1]) > 0)
 
 
-def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` with LISTED: true for every doc_id in `ids`, and for few others while the filter is not full.
+def marked(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """`rows` with LISTED: true for every key in `ids`, and for few others while the filter is not full.
 
     The filter is FILTER_BITS bits, FILTER_BITS / 64 rows of 16 bytes at most, whatever the number of ids; it is broadcast."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
     words = ids.select(bit.alias("_lt_bit")).groupBy(F.floor(F.col("_lt_bit") / 64).alias("_lt_word"))
     bits = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(_lt_bit % 64 as int))")).alias("_lt_bits"))
-    found = docs.withColumn("_lt_bit", bit).join(F.broadcast(bits), F.floor(F.col("_lt_bit") / 64) == F.col("_lt_word"), "left")
+    found = rows.withColumn("_lt_bit", bit).join(F.broadcast(bits), F.floor(F.col("_lt_bit") / 64) == F.col("_lt_word"), "left")
     listed = F.expr("coalesce((shiftrightunsigned(_lt_bits, cast(_lt_bit % 64 as int)) & 1L) = 1L, false)")
-    return found.withColumn(LISTED, listed).select(*docs.columns, LISTED)
+    return found.withColumn(LISTED, listed).select(*rows.columns, LISTED)
+
+
+def within(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows whose key is in `ids`; rows that a filter of fixed size rules out are not shuffled."""
+    return marked(rows, ids, key).where(LISTED).join(ids.select(key), key, "left_semi").select(rows.columns)
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows whose key is not in `ids`; rows that a filter of fixed size rules out are not shuffled."""
+    every = marked(rows, ids, key)
+    doubtful = every.where(LISTED).join(ids.select(key), key, "left_anti")
+    return every.where(~F.col(LISTED)).select(rows.columns).union(doubtful.select(rows.columns))
+
+
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], copies: str, total: int) -> DataFrame:
+    """`rows` joined with `found` (one row for each value of `keys`; `copies` is how many of `rows` have it).
 
+    The rows of hot keys, fewer than 1 / HOT of them, meet a broadcast table and stay where they are; the others are shuffled by key."""
+    rest = [c for c in found.columns if c not in (*keys, copies)]
+    hot = found.where(F.col(copies) > total * HOT).select(*keys, *rest, F.lit(True).alias("_lt_hot"))
+    near = rows.join(F.broadcast(hot), keys, "left")
+    far = near.where("_lt_hot is null").select(rows.columns).join(found.where(F.col(copies) <= total * HOT).select(*keys, *rest), keys)
+    columns = [*rows.columns, *rest]
+    return near.where("_lt_hot").select(columns).union(far.select(columns))
 
-def within(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id is in `ids`; rows that a filter of fixed size rules out are not shuffled."""
-    return marked(docs, ids).where(LISTED).join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
 
+def numbered(rows: DataFrame, key: str, counts: dict[int, int], order: str) -> DataFrame:
+    """Adds `number`, from 0 on in each value of the integer column `key`, by no order that matters. `order` tells rows apart.
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id is not in `ids`; rows that a filter of fixed size rules out are not shuffled."""
-    every = marked(docs, ids)
-    doubtful = every.where(LISTED).join(ids.select("doc_id"), "doc_id", "left_anti")
-    return every.where(~F.col(LISTED)).select(docs.columns).union(doubtful.select(docs.columns))
+    `counts` has the rows of each value, few values for all. A value is cut into buckets of about BUCKET_ROWS rows, each numbered in a task of its own."""
+    spark = rows.sparkSession
+    shares = spark.createDataFrame([(int(k), 1 + int(n) // BUCKET_ROWS) for k, n in counts.items()], f"{key} long, _lt_buckets long")
+    dealt = rows.join(F.broadcast(shares), key).withColumn("_lt_bucket", F.pmod(F.xxhash64(order), "_lt_buckets"))
+    before = Window.partitionBy(key).orderBy("_lt_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each value, and one more for every BUCKET_ROWS rows
+    firsts = dealt.groupBy(key, "_lt_bucket").count().select(key, "_lt_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_lt_first"))
+    own = F.row_number().over(Window.partitionBy(key, "_lt_bucket").orderBy(order))
+    found = dealt.withColumn("_lt_own", own).join(firsts, [key, "_lt_bucket"])
+    return found.select(*rows.columns, (F.col("_lt_first") + F.col("_lt_own") - 1).alias("number"))
 
 
 def bound_rows(df: DataFrame, most: int) -> int | None:

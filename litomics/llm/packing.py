@@ -7,7 +7,7 @@ longest first, where they fit best, so that the room that rounding left is used
 
 The plan needs only how many pieces there are of each length, CAPACITY numbers at most, so the driver's work does not grow with the corpus. It is
 a list of (lengths in a sequence, how many such sequences); a piece finds its sequence from its length and its number
-among the pieces of that length. Numbers are given in parallel: a length has a bucket for every BUCKET_ROWS pieces.
+among the pieces of that length. Numbers are given in parallel, a common length's in buckets.
 
 A document is its byte-level BPE ids and then END. Longer ones are cut into pieces of CAPACITY; the first piece may be shorter.
 
@@ -26,21 +26,28 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import small_batches, staged, table, text_chunks
+from .common import numbered, small_batches, staged, table, text_chunks
 
 CAPACITY = 1024
 END = 2
 SMALL = 128
 GROUPS = 96
-BUCKET_ROWS = 200_000
 #: Column generation ends when its bound says that no packing of the rounded sizes is better by more than this part.
 CLOSE = 0.0005
 TOKENIZER = "byte_bpe_50k"
-#: Special strings of the vocabulary, and runs without a break that the faster encoder takes long over, go to the slower one.
+#: Special strings of the vocabulary, and runs of blanks or of other bytes that the faster encoder takes long over or fails at, go to the slower
+#: one. Both give the same ids.
 SPECIAL = b"<|endoftext|>"
 LONG_RUN = 2000
+_BLANK = np.isin(np.arange(256), [*range(9, 14), 32])
+
+
+def longest_run(text: bytes) -> int:
+    """Most bytes in a row that are all blanks or all not."""
+    blank = _BLANK[np.frombuffer(text, np.uint8)]
+    edges = np.flatnonzero(np.diff(blank)) + 1
+    return int(np.diff(np.concatenate([[0], edges, [len(blank)]])).max())
 
 
 class Encoder:
@@ -55,15 +62,15 @@ class Encoder:
         self.name, self.slow = name, None
 
     def __call__(self, text: bytes) -> np.ndarray:
-        if SPECIAL not in text and (len(text) < LONG_RUN or max(map(len, text.split()), default=0) < LONG_RUN):
-            ids = self.fast.encode_ordinary(text.decode())
+        if SPECIAL not in text and (len(text) < LONG_RUN or longest_run(text) < LONG_RUN):
+            ids = self.fast.encode_to_numpy(text.decode(), disallowed_special=())
         else:
             if self.slow is None:
                 from tokenizers import Tokenizer
 
                 self.slow = Tokenizer.from_file(public_tokenizers.path(f"{self.name}.json"))
             ids = self.slow.encode(text.decode(), add_special_tokens=False).ids
-        return np.array([*ids, END], "<u4")
+        return np.append(np.asarray(ids, "<u4"), np.array([END], "<u4"))
 
 
 def tokenised(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -252,22 +259,11 @@ def slots_of(runs: Runs) -> dict[str, np.ndarray]:
     return {"key": (a[:, 0] << 48) + a[:, 1], "first": a[:, 1], "base": a[:, 2], "at": a[:, 3]}
 
 
-def numbered(pieces: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Adds number, from 0 in each length. Buckets hold about BUCKET_ROWS pieces, so a common length is many tasks' work."""
-    spark = pieces.sparkSession
-    shares = spark.createDataFrame([(n, 1 + int(counts[n]) // BUCKET_ROWS) for n in range(len(counts))], "length long, n_buckets long")
-    dealt = pieces.join(F.broadcast(shares), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "n_buckets"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = dealt.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    # at most one row for each length, and one more for every BUCKET_ROWS pieces
-    return dealt.withColumn("own", F.row_number().over(own)).join(firsts, ["length", "bucket"]).withColumn("number", F.col("first") + F.col("own") - 1)
-
-
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     spark = docs.sparkSession
-    pieces = staged(tokenised(docs, capacity), "pieces")
+    # `row` tells pieces apart that are equal in all else; once written it stays
+    pieces = staged(tokenised(docs, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most `capacity` rows
         counts[r["length"]] = r["count"]
@@ -283,7 +279,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(sequence), pa.array(slots["at"][at])], names=[*columns, "sequence_id", "offset"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return numbered(pieces, counts).select(*columns, "number").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    by_length = {n: int(counts[n]) for n in np.flatnonzero(counts).tolist()}
+    return numbered(pieces, "length", by_length, "row").select(*columns, "number").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op7_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import defaultdict
 
@@ -5,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from litomics.llm import packing
+from litomics.llm import common, packing
 
 from .cases import docs, sample
 
@@ -53,10 +54,20 @@ def test_plan_is_whole_and_close():
 
 
 def test_numbers_have_no_gap(spark, monkeypatch):
-    monkeypatch.setattr(packing, "BUCKET_ROWS", 10)
-    pieces = spark.createDataFrame([(i, 0, 0, i % 3 + 1, i) for i in range(100)], "doc_id long, piece int, start long, length long, ids_crc32 long")
-    counts = np.bincount([i % 3 + 1 for i in range(100)], minlength=1025)
+    monkeypatch.setattr(common, "BUCKET_ROWS", 10)
+    pieces = spark.createDataFrame([(i % 3 + 1, i) for i in range(100)] + [(7, i) for i in range(3)], "length long, row long")
     by = defaultdict(list)
-    for r in packing.numbered(pieces, counts).collect():
+    for r in common.numbered(pieces, "length", {1: 34, 2: 33, 3: 33, 7: 3}, "row").collect():
         by[r["length"]].append(r["number"])
-    assert {k: sorted(v) for k, v in by.items()} == {k: list(range(int(counts[k]))) for k in (1, 2, 3)}
+    assert {k: sorted(v) for k, v in by.items()} == {k: list(range(n)) for k, n in ((1, 34), (2, 33), (3, 33), (7, 3))}
+
+
+def test_long_runs_and_repeated_rows(spark):
+    encode, slow = packing.Encoder(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("a" + " " * 5000 + "b", "\n" * 4000, "\u00a0" * 3000, " \n" * 2000 + "x", "1" * 3000, "word " * 900, "x" + " " * 1999, ""):
+        assert packing.longest_run(b"x" + text.encode()) == max(map(len, re.findall(rb"[ \t-\r]+|[^ \t-\r]+", b"x" + text.encode())))
+        assert encode(text.encode()).tolist() == [*slow.encode(text, add_special_tokens=False).ids, 2]
+    assert len(encode(b" " * 1_000_000)) > 1
+    frame = spark.createDataFrame([(1, "same text")] * 50, "doc_id long, text string")
+    rows = packing.pack(frame).collect()
+    assert len(rows) == len({(r["sequence_id"], r["offset"]) for r in rows}) == 50
