@@ -24,18 +24,52 @@ def test_law_places_and_groups(spark):
     assert max(loads.values()) - min(loads.values()) <= longest
 
 
-def test_equal_texts_share_a_shard_unless_heavy(spark):
-    texts = [f"text {i % 50} " * 9 for i in range(400)]
-    of = defaultdict(set)
-    for r in sharding.shard_documents(docs(spark, texts, extra=False)).collect():
-        of[r["text_crc32"]].add(r["shard"])
-    assert len(of) == 50
-    heavy = ["same " * 50] * 300 + [f"other {i}" for i in range(300)]
-    rows = sharding.shard_documents(docs(spark, heavy, extra=False)).collect()
-    loads = defaultdict(int)
+def loads_and_homes(spark, texts):
+    loads, homes = defaultdict(int), defaultdict(set)
+    rows = sharding.shard_documents(docs(spark, texts, extra=False)).collect()
     for r in rows:
         loads[r["shard"]] += r["size"]
-    assert max(loads.values()) < 1.1 * sum(loads.values()) / 8
+        homes[r["text_crc32"]].add(r["shard"])
+    by_shard = defaultdict(list)
+    for r in rows:
+        by_shard[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+    mean = sum(loads.values()) / 8
+    return [loads[s] / mean for s in range(8)], homes
+
+
+def test_equal_texts_share_a_shard_unless_they_cannot_fit(spark):
+    _, homes = loads_and_homes(spark, [f"text {i % 50} " * 9 for i in range(400)])
+    assert len(homes) == 50
+    fill = [f"some other text {i}" for i in range(3000)]
+    # half of a shard: stays whole, and the shards are even all the same
+    shares, homes = loads_and_homes(spark, [*["same " * 20] * 40, *fill])
+    assert len(homes[zlib.crc32(b"same " * 20)]) == 1 and max(shares) < 1.02
+    # a third of all bytes: cannot fit a shard
+    shares, homes = loads_and_homes(spark, [*["same " * 20] * 300, *fill])
+    assert len(homes[zlib.crc32(b"same " * 20)]) == 8 and max(shares) < 1.05
+    # a third of all rows, empty: few bytes, many places
+    shares, homes = loads_and_homes(spark, [*[""] * 1500, *fill])
+    assert len(homes[0]) == 1 and max(shares) < 1.02
+
+
+def test_split_groups_are_as_few_as_will_do():
+    even = dict.fromkeys(range(64), 100)
+    assert sharding.split_groups(even, [], 8, 64) == []
+    assert sharding.split_groups(even | {3: 700}, [(9, 3, 650)], 8, 64) == []
+    assert sharding.split_groups(even | {3: 4000}, [(9, 3, 3900), (8, 5, 90)], 8, 64) == [9]
+    nine = {i: 900 for i in range(9)}
+    assert sharding.split_groups(nine, [(i, i, 900) for i in range(9)], 8, 64) == list(range(9))
+
+
+def test_stored_map_is_what_rows_follow(spark, tmp_path):
+    path = str(tmp_path / "maps")
+    frame = docs(spark, sample("documents"))
+    for version in (1, 2):
+        rows = sharding.shard_documents(frame, map_path=path).collect()
+        stored = {r["slot"]: r["shard"] for r in sharding.load_map(spark, path).collect()}
+        assert {r["map_version"] for r in rows} == {version}
+        assert all(stored[r["virtual_slot"]] == r["shard"] for r in rows)
 
 
 def test_versions_and_rebalancing(spark, tmp_path):
