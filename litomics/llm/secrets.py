@@ -36,24 +36,47 @@ CLASSES = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.75),
 )
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
-#: What is random but no secret: UUIDs, digests named as such, paths of words, placeholders.
-ALLOWED = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$|^(sha(1|256|384|512)|md5)[-=_]|^(/?[a-z]+[/_-])+[a-z0-9]{0,12}$|EXAMPLE|example|xxxx|XXXX"
+#: What is random but no secret: UUIDs, digests named as such, paths of words, placeholders. Repeats of groups are possessive: the matcher walks them
+#: in a loop, while it would go one call deeper for each round of an ordinary one.
+ALLOWED = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$|^(sha(1|256|384|512)|md5)[-=_]|^(?:/?[a-z]++[/_-])++[a-z0-9]{0,12}$|EXAMPLE|example|xxxx|XXXX"
 
 KINDS = ("assign", "access", "hex", "entropy")
 
 
+#: Matches whose places are summed up together.
+BLOCK = 128
+
+
 def matches_at(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, found>> of a pattern's matches, leftmost and non-overlapping, in code points."""
+    """array<struct<start, end, found>> of a pattern's matches, leftmost and non-overlapping, in code points.
+
+    Places are running sums over gaps and matches, in blocks: a sum over all matches by appending would copy the list at each of them."""
     gaps = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, found: F.struct(F.length(gap).alias("gap"), found.alias("found")))
-    empty = F.expr("struct(0 as at, array() as spans)").cast("struct<at:int,spans:array<struct<start:int,end:int,found:string>>>")
+    span = "struct<start:int,end:int,found:string>"
+
+    def in_block(part: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            end = start + F.length(x["found"])
+            return F.struct(end.alias("at"), F.array_append(acc["spans"], F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found"))).alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["found"])
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found"))).alias("spans"))
+        return F.aggregate(part, F.expr("struct(0 as at, array() as spans)").cast(f"struct<at:int,spans:array<{span}>>"), step)
 
-    some = F.filter(gaps, lambda x: x["found"].isNotNull())
-    return F.aggregate(some, empty, step, lambda acc: acc["spans"])
+    def moved(acc: Column, block: Column) -> Column:
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts"))
+
+    def joined(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.expr("struct(0 as at, array() as starts)").cast("struct<at:int,starts:array<int>>"), moved, lambda acc: acc["starts"])
+        shift = lambda block, by: F.transform(block["spans"], lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["found"].alias("found")))
+        return F.flatten(F.zip_with(blocks, starts, shift))
+
+    def of(some: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(some), F.lit(BLOCK)), lambda k: k < F.size(some))
+        # transform over an array of one binds what is used twice
+        return F.get(F.transform(F.array(F.transform(firsts, lambda k: in_block(F.slice(some, k + 1, BLOCK)))), joined), F.lit(0))
+
+    # the last piece has no match after it
+    return F.get(F.transform(F.array(F.filter(gaps, lambda x: x["found"].isNotNull())), of), F.lit(0))
 
 
 NONE = "array<struct<start:int,end:int,found:string>>"
@@ -65,24 +88,28 @@ def guarded(text: Column, test: str, pattern: str) -> Column:
 
 
 def best_entropy(found: Column, alphabet: str) -> Column:
-    """Most bits of any window of WINDOW characters; null if the string is shorter or holds other characters."""
+    """Most bits of any window of WINDOW characters; null if the string is shorter or holds other characters.
+
+    The counts are a string with one letter for each character of the class, A for none; a step overlays two of its letters."""
     w = WINDOW
     table_ = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(w + 2)])
-    code = F.transform(F.split(found, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
+    code = F.transform(F.split(found, ""), lambda c: F.instr(F.lit(alphabet), c))
     f = lambda count: F.get(table_, count)
+    count_of = lambda counts, k: F.ascii(F.substring(counts, k, F.lit(1))) - 65
+    with_count = lambda counts, k, n: F.overlay(counts, F.char(n + 65), k, F.lit(1))
 
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("weight"), F.lit(-1.0).alias("best"))
+    start = F.struct(F.lit("A" * len(alphabet)).alias("counts"), F.lit(0.0).alias("weight"), F.lit(-1.0).alias("best"))
 
     def over(codes: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             new, old = F.get(codes, i), F.get(codes, i - w)
-            up = F.get(acc["counts"], new)
+            up = count_of(acc["counts"], new)
+            counts = with_count(acc["counts"], new, up + 1)
             added = acc["weight"] + f(up + 1) - f(up)
-            down = F.get(acc["counts"], old) + F.when(old == new, 1).otherwise(0)
+            down = count_of(acc["counts"], old) + F.when(old == new, 1).otherwise(0)
             weight = F.when(i >= w, added + f(down - 1) - f(down)).otherwise(added)
-            counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == new, 1).otherwise(0) - F.when((i >= w) & (k == old), 1).otherwise(0))
             best = F.when(i >= w - 1, F.greatest(acc["best"], F.lit(math.log2(w)) - weight / w)).otherwise(acc["best"])
-            return F.struct(counts.alias("counts"), weight.alias("weight"), best.alias("best"))
+            return F.struct(F.when(i >= w, with_count(counts, old, down - 1)).otherwise(counts).alias("counts"), weight.alias("weight"), best.alias("best"))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda acc: acc["best"])
 

@@ -45,3 +45,9 @@ def test_against_plain(spark):
         assert ((r["n_assign"], r["n_access"], r["n_hex"]), r["base_sha256"], r["spans"]) == plain(given[r["doc_id"]]), given[r["doc_id"]][:200]
     assert any("entropy" in r["spans"] for r in rows) and any("assign" in r["spans"] for r in rows)
     assert secrets.find_secrets(frame.limit(0)).collect() == []
+
+
+def test_many_matches_and_paths(spark):
+    texts = ["ab/" * 400 + "1", "é " + " ".join(f"{i:016x}z" for i in range(700)), "token=" + "Ab1" * 900, " ".join(f"secret: aB3dE5gH7jK9mN{i:04d}" for i in range(300))]
+    for r in secrets.find_secrets(docs(spark, texts, extra=False)).collect():
+        assert ((r["n_assign"], r["n_access"], r["n_hex"]), r["base_sha256"], r["spans"]) == plain(texts[r["doc_id"]])
