@@ -3,7 +3,8 @@
 Level 1 encodes the listed keys, level 2 those keys of the universe that level 1 takes wrongly, level 3 the listed keys
 that level 2 takes wrongly, and so on until a level takes none wrongly. The universe is every key that any url of the
 corpus yields, so for these urls the answer of the cascade is exact. Level 1's rate follows from an estimate of the
-universe's size, so that about as many keys pass wrongly as are listed: what is collected and broadcast is bounded by the list.
+universe's size, so that about as many keys pass wrongly as are listed. Levels are built in tasks, from tables of keys: the driver only sees
+their bits, about 2 bytes for a listed key at the estimated rate, which is what is broadcast. No length of list is refused.
 
 Keys of a url: each suffix of its host at a label's boundary, alone (listed domains) and followed by the path's first
 characters for each length that a rule's path has (rules).
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
-from .common import table
+from .common import discard, staged, table
 
 #: (verdict, host, path) of the rules; the longest that fits wins.
 RULES = (
@@ -36,8 +37,8 @@ RULES = (
 )
 #: Domains blocked where no rule fits.
 LISTED = tuple(f"{name}.example.{end}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org"))
-#: Most listed keys, and most keys wrongly taken by level 1, that the driver builds from; a longer list is refused.
-MOST_KEYS = 5_000_000
+#: Level 1 is sharpened while it takes more than this many times the listed keys wrongly (and more than a thousand).
+SHARPEN = 64
 
 
 def url_parts(url: str | None) -> tuple[str, str]:
@@ -58,9 +59,13 @@ def url_parts(url: str | None) -> tuple[str, str]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def url_keys(host: str, path: str, lengths: Iterable[int]) -> Iterator[tuple[str, int, str]]:
-    """(key, length of the path in it, host suffix)."""
+def url_keys(host: str, path: str, lengths: Iterable[int], longest: int) -> Iterator[tuple[str, int, str]]:
+    """(key, length of the path in it, host suffix); suffixes longer than `longest`, the longest listed key, can't be listed."""
     at = 0
+    if len(host) > longest:
+        at = host.find(".", len(host) - longest - 1) + 1
+        if not at:
+            return
     while host:
         suffix = host[at:]
         yield suffix, 0, suffix
@@ -76,23 +81,43 @@ def url_keys(host: str, path: str, lengths: Iterable[int]) -> Iterator[tuple[str
 class Bloom:
     """A Bloom filter over strings; each level has a seed of its own."""
 
-    def __init__(self, keys: Iterable[str], rate: float, seed: int) -> None:
-        keys = list(keys)
+    def __init__(self, n_keys: int, rate: float, seed: int) -> None:
         self.seed = seed
-        self.n_bits = max(64, math.ceil(-len(keys) * math.log(rate) / math.log(2) ** 2))
+        self.n_bits = max(64, math.ceil(-n_keys * math.log(rate) / math.log(2) ** 2))
         self.n_hashes = max(1, round(-math.log2(rate)))
-        bits = np.zeros(self.n_bits, bool)
-        for k in keys:
-            bits[self._bits(k)] = True
-        self.bits = np.packbits(bits).tobytes()
+        self.bits = np.zeros(-(-self.n_bits // 8), np.uint8)
 
-    def _bits(self, key: str) -> list[int]:
+    def places(self, key: str) -> list[int]:
         h = xxh3_128_intdigest(key.encode("utf-8", "surrogatepass"), self.seed)
         a, b = h >> 64, (h & 0xFFFFFFFFFFFFFFFF) | 1
         return [(a + i * b) % self.n_bits for i in range(self.n_hashes)]
 
     def __contains__(self, key: str) -> bool:
-        return all(self.bits[i >> 3] & (128 >> (i & 7)) for i in self._bits(key))
+        return all(self.bits[i >> 3] & (128 >> (i & 7)) for i in self.places(key))
+
+    def filled(self, keys: DataFrame) -> Bloom:
+        """With all of `keys`; tasks send the bytes of the filter that are not empty."""
+        places = self.places
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                at = np.array([i for k in f["key"] for i in places(k)], np.int64)
+                yield pd.DataFrame({"byte": at >> 3, "bit": (128 >> (at & 7)).astype(np.int32)})
+
+        rows = keys.mapInPandas(run, "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bits")).toPandas()  # n_bits / 8 rows at most
+        self.bits[rows["byte"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.uint8)
+        return self
+
+
+def taken(keys: DataFrame, level: Bloom) -> DataFrame:
+    """The keys that a level takes."""
+    sent = keys.sparkSession.sparkContext.broadcast(level)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"key": [k for k in f["key"] if k in sent.value]}, dtype=object)
+
+    return keys.mapInPandas(run, "key string")
 
 
 class Cascade:
@@ -108,48 +133,44 @@ class Cascade:
         return len(self.levels) % 2 == 1
 
     @classmethod
-    def build(cls, listed: set[str], first: Bloom, wrong: set[str]) -> Cascade:
-        """wrong: the universe's keys, not listed, that `first` takes."""
-        levels, inside, outside = [first], set(wrong), set(listed)
-        while inside:
-            level = Bloom(inside, 0.5, len(levels))
-            levels.append(level)
-            inside, outside = {k for k in outside if k in level}, inside
+    def build(cls, listed: DataFrame, universe: DataFrame, n_universe: int) -> Cascade:
+        """`listed` and `universe` have a column `key`; `listed` has each key once, `n_universe` is a guess."""
+        n_listed = listed.count()
+        rate = min(0.5, max(1e-9, math.sqrt(0.5) * n_listed / max(n_universe, 1)))
+        while True:
+            levels = [Bloom(n_listed, rate, 0).filled(listed)]
+            # while building, what is listed is told by a join; afterwards by the cascade alone
+            wrong = staged(taken(universe, levels[0]).distinct().join(listed, "key", "left_anti"), "wrong")
+            n = wrong.count()
+            if n <= max(1000, SHARPEN * n_listed) or rate <= 1e-9:
+                break
+            discard(wrong)
+            rate = max(1e-9, rate / SHARPEN)  # the guess was low: a sharper first level, not fewer keys
+        inside, outside = wrong, listed
+        while n:
+            levels.append(Bloom(n, 0.5, len(levels)).filled(inside))
+            inside, outside = staged(taken(outside, levels[-1]), "level"), inside
+            n = inside.count()
         return cls(levels)
 
 
-def filter_urls(pages: DataFrame, rules: tuple = RULES, listed: tuple[str, ...] = LISTED) -> DataFrame:
-    """page_id, host, path, rule, verdict for each row of `pages`."""
+def filter_urls(pages: DataFrame, rules: tuple = RULES, listed: tuple[str, ...] | DataFrame = LISTED) -> DataFrame:
+    """page_id, host, path, rule, verdict for each row of `pages`. A long list of domains can be a DataFrame with a column `key`."""
     spark = pages.sparkSession
     lengths = sorted({len(p) for _, _, p in rules})
     verdicts = {h + p: v for v, h, p in rules}
-    keys = set(verdicts) | set(listed)
-    if len(keys) > MOST_KEYS:
-        raise ValueError(f"{len(keys)} keys are listed; at most {MOST_KEYS} can be encoded on the driver")
+    domains = listed if isinstance(listed, DataFrame) else spark.createDataFrame([(k,) for k in listed], "key string")
+    every = spark.createDataFrame([(k,) for k in verdicts], "key string").union(domains.select("key")).where("key is not null")
+    keys = staged(every.distinct(), "keys")
+    longest = keys.agg(F.max(F.length("key"))).first()[0] or 0
 
     def all_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"key": [k for u in f["url"] for k, _, _ in url_keys(*url_parts(u), lengths)]}, dtype=object)
+            yield pd.DataFrame({"key": [k for u in f["url"] for k, _, _ in url_keys(*url_parts(u), lengths, longest)]}, dtype=object)
 
     universe = pages.select("url").mapInPandas(all_keys, "key string")
     n = universe.agg(F.approx_count_distinct("key")).first()[0]
-    rate = min(0.5, max(1e-9, math.sqrt(0.5) * len(keys) / max(n, 1)))
-    while True:
-        first = Bloom(keys, rate, 0)
-        sent = spark.sparkContext.broadcast((first, keys))
-
-        def wrongly_taken(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            level, known = sent.value
-            for f in frames:
-                found = {k for u in f["url"] for k, _, _ in url_keys(*url_parts(u), lengths) if k in level and k not in known}
-                yield pd.DataFrame({"key": sorted(found)}, dtype=object)
-
-        most = max(1000, min(MOST_KEYS, 64 * len(keys)))
-        wrong = pages.select("url").mapInPandas(wrongly_taken, "key string").distinct().limit(most + 1).collect()
-        if len(wrong) <= most:
-            break
-        rate /= 64  # the estimate was low: a sharper first level, not fewer keys
-    cascade = spark.sparkContext.broadcast(Cascade.build(keys, first, {r.key for r in wrong}))
+    cascade = spark.sparkContext.broadcast(Cascade.build(keys, universe, n))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         member = cascade.value
@@ -158,7 +179,7 @@ def filter_urls(pages: DataFrame, rules: tuple = RULES, listed: tuple[str, ...]
             for u in batch.column("url").to_pylist():
                 host, path = url_parts(u)
                 rule, verdict = None, "allow"
-                for key, n_path, _ in url_keys(host, path, lengths):
+                for key, n_path, _ in url_keys(host, path, lengths, longest):
                     if key in member:
                         if not n_path:
                             verdict = "block" if rule is None else verdict

@@ -36,10 +36,30 @@ def test_table_against_plain(spark):
     assert got == {r["page_id"]: plain(r["url"]) for r in pages.collect()}
 
 
-def test_cascade_is_exact():
+def frame_of(spark, keys):
+    return spark.createDataFrame([(k,) for k in keys], "key string")
+
+
+def test_cascade_is_exact(spark):
     listed = {f"k{i}" for i in range(0, 3000, 3)}
     universe = {f"k{i}" for i in range(3000)}
-    first = Bloom(listed, 0.3, 0)
-    cascade = Cascade.build(listed, first, {k for k in universe - listed if k in first})
-    assert len(cascade.levels) > 2
+    for guess in (1, 3000, 10**6):
+        cascade = Cascade.build(frame_of(spark, listed), frame_of(spark, universe), guess)
+        assert {k for k in universe if k in cascade} == listed
+        assert len(cascade.levels) > (2 if guess == 3000 else 0)
+
+
+def test_a_low_guess_sharpens_the_first_level(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "SHARPEN", 2)
+    listed, universe = {f"k{i}" for i in range(0, 9000, 20)}, {f"k{i}" for i in range(9000)}
+    cascade = Cascade.build(frame_of(spark, listed), frame_of(spark, universe), 1)
+    assert cascade.levels[0].n_hashes > Bloom(len(listed), 0.5, 0).n_hashes
     assert {k for k in universe if k in cascade} == listed
+
+
+def test_list_as_a_table_and_odd_rows(spark):
+    rows = [(None, u, "v") for u in URLS] + [(1, "http://" + "a." * 300_000 + "listed.test/" + "p" * 200_000, "v"), (2, "http://listed.test", "v"), (3, "http://listed.test/fr/", "v")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    got = url_filter.filter_urls(pages, listed=frame_of(spark, ["listed.test", None, "listed.test"])).collect()
+    assert len(got) == len(rows)
+    assert {r["page_id"]: r["verdict"] for r in got if r["page_id"]} == {1: "block", 2: "block", 3: "block"}
