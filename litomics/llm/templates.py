@@ -1,10 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose case and outer punctuation; numbers, units after a number and names become typed placeholders. Names are capitalised words,
-in one reading only those inside a sentence (CLOSED), in another those that open one as well (OPEN). The windows of both readings are joined. Windows of WINDOW template words of the benchmark are joined by hash with those of the documents, so a question whose numbers
+in one reading only those inside a sentence (CLOSED), in another those that open one as well (OPEN). The windows of both readings are
+joined. Windows of WINDOW template words of the benchmark are joined by hash with those of the documents, so a question whose numbers
 or names were changed still meets its source. Matches are then lined up: along one alignment of a document with an
 item each value of the item must stand for one value of the document. Where it does not, only windows without
-placeholders count. A document whose counting windows cover at least COVER of an item's windows contains it.
+placeholders count. A document contains an item if the counting windows of one stretch of it, of about the item's length, cover at least COVER
+of the item's windows; windows scattered over a document do not add up.
 
 Windows that are mostly placeholders say nothing and are left out. An item with fewer words than WINDOW is one window. An item with at most
 one closed window that says something has its windows of plain words too (PLAIN), numbers and names as they stand, and is contained where all
@@ -32,6 +34,8 @@ from .common import bound_rows, gram_hashes, places, small_batches, staged, tabl
 WINDOW = 8
 COVER = 0.5
 MOST_WINDOWS = 1_000_000
+#: Words that a task remembers; then it starts anew.
+MEMO_WORDS = 50_000
 
 NUMBER = re.compile(rb"[+\-]?(?:[$]|\xe2\x82\xac|\xc2\xa3)?[0-9](?:[0-9.,:/]*[0-9])?%?")
 NUMBER_WORDS = frozenset(b"two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
@@ -52,15 +56,20 @@ class Canon(dict):
     """Ids of raw words; by id: the hash of the plain word, its kind, whether it may be a unit or a name, whether a sentence ends."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[int, bool, bool, bool, bool]] = []
-        self.hashes, self.flags = np.zeros(0, np.uint64), np.zeros((0, 4), bool)
+        self.new: list[tuple[int, bool, bool, bool, bool]] = []
+        self.size, self.hashes, self.flags = 0, np.zeros(1024, np.uint64), np.zeros((1024, 4), bool)
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and flags by id; rows that came since the last call are appended."""
-        new = self.rows[len(self.hashes) :]
-        if new:
-            self.hashes = np.concatenate([self.hashes, np.fromiter((r[0] for r in new), np.uint64, len(new))])
-            self.flags = np.concatenate([self.flags, np.array([r[1:] for r in new], bool)])
+        """Hashes and flags by id."""
+        size = self.size + len(self.new)
+        if size > len(self.hashes):
+            room = max(size, 2 * len(self.hashes)) - self.size
+            self.hashes = np.concatenate([self.hashes[: self.size], np.zeros(room, np.uint64)])
+            self.flags = np.concatenate([self.flags[: self.size], np.zeros((room, 4), bool)])
+        if self.new:
+            self.hashes[self.size : size] = [r[0] for r in self.new]
+            self.flags[self.size : size] = [r[1:] for r in self.new]
+            self.size, self.new = size, []
         return self.hashes, self.flags
 
     def __missing__(self, raw: bytes) -> int:
@@ -68,8 +77,8 @@ class Canon(dict):
         word = bare.lower() or raw
         number = bool(NUMBER.fullmatch(raw.strip(b".,;:!?\"'()[]{}"))) or word in NUMBER_WORDS
         capital = bare[:1].isupper() and not bare[1:].isupper()
-        self[raw] = i = len(self.rows)
-        self.rows.append((xxh3_64_intdigest(word), number, capital and not number, word in UNITS, raw.rstrip(b"\"')]*")[-1:] in b".!?" and bool(bare)))
+        self[raw] = i = self.size + len(self.new)
+        self.new.append((xxh3_64_intdigest(word), number, capital and not number, word in UNITS, raw.rstrip(b"\"')]*")[-1:] in b".!?" and bool(bare)))
         return i
 
 
@@ -81,7 +90,7 @@ class Templates:
 
     def __call__(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of all plain words, their kinds in the closed and the open reading, and where each text begins."""
-        if len(self.canon) > 400_000:
+        if len(self.canon) > MEMO_WORDS:
             self.canon = Canon()
         counts = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
@@ -120,7 +129,7 @@ def _slots(words: list[bytes], kinds: np.ndarray, at: int, n: int) -> list[str]:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, n (words in the window), place, hash, slots, n_windows, reading of every item."""
+    """item_id, n (words in the window), place, hash, slots, n_windows, reading, words of every item."""
     kind = dict(benchmark.dtypes)["item_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,12 +153,12 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                         h = h ^ _PLAIN_SALT
                     for a, x in zip(at, h, strict=True):
                         owner.append(i)
-                        rows.append((n, int(a), int(x.view(np.int64)), _slots(words, kinds, a, n), len(at) if reading == PLAIN else few, reading))
-            kinds_ = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int32())
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([part.column("item_id").take(pa.array(owner, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds_, strict=True))], names=["item_id", "n", "item_at", "hash", "item_slots", "n_windows", "reading"])
+                        rows.append((n, int(a), int(x.view(np.int64)), _slots(words, kinds, a, n), len(at) if reading == PLAIN else few, reading, len(words)))
+            kinds_ = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32())
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([part.column("item_id").take(pa.array(owner, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds_, strict=True))], names=["item_id", "n", "item_at", "hash", "item_slots", "n_windows", "reading", "item_words"])
 
-    return benchmark.where("item_id is not null").select("item_id", "text").dropDuplicates().mapInArrow(run, f"item_id {kind}, n int, item_at int, hash long, item_slots array<string>, n_windows int, reading int")
+    return benchmark.where("item_id is not null").select("item_id", "text").dropDuplicates().mapInArrow(run, f"item_id {kind}, n int, item_at int, hash long, item_slots array<string>, n_windows int, reading int, item_words int")
 
 
 def document_windows(docs: DataFrame, lengths: list[int], plain: list[int], wanted: np.ndarray | None) -> DataFrame:
@@ -217,12 +226,15 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, cover: float = COVER)
     counted = met.join(lines, line, "left").where(~F.coalesce("torn", F.lit(False)) | (F.size("slots") == 0))
     # both readings of a template count together; plain windows count by themselves, and all of them have to be met
     exact = F.col("reading") == PLAIN
+    # two rows of stretches, twice an item's length each, the second shifted by half: lines that lie less than an item's length apart share one
+    place = F.col("line") / (2 * F.col("item_words"))
+    stretch = F.explode(F.array(2 * F.floor(place), 2 * F.floor(place + 0.5) + 1))
     return (
-        counted.groupBy("doc_id", "item_id", exact.alias("exact"))
+        counted.select("*", exact.alias("exact"), stretch.alias("stretch")).groupBy("doc_id", "item_id", "exact", "stretch")
         .agg(F.max("n_windows").alias("n_windows"), F.countDistinct("item_at").alias("n_matched"), F.coalesce(F.max("changed"), F.lit(0)).alias("n_changed"))
         .where(F.col("n_matched") >= F.when(F.col("exact"), F.col("n_windows")).otherwise(cover * F.col("n_windows")))
         .groupBy("doc_id", "item_id")
-        .agg(F.min(F.struct("exact", "n_windows", "n_matched", "n_changed")).alias("m"))
+        .agg(F.min(F.struct("exact", -F.col("n_matched"), "n_windows", "n_matched", "n_changed")).alias("m"))
         .select("doc_id", "item_id", "m.n_windows", "m.n_matched", "m.n_changed")
     )
 

@@ -74,3 +74,28 @@ def test_openers_short_items_and_numbers(spark):
     got = found(spark, texts, items)
     assert got.keys() == {(0, 0), (1, 1), (2, 2), (4, 3)}, got
     assert got[0, 0] == 3 and got[2, 2] == 0
+
+
+def test_scattered_windows_do_not_add_up(spark):
+    words = ITEMS[0].split()
+    far = " ".join(f"w{i}" for i in range(90))
+    texts = [f" {far} ".join(" ".join(words[a : a + 9]) for a in range(0, 18, 3)), far + " " + " ".join([*words[:9], "indeed", *words[9:]])]
+    assert found(spark, texts).keys() == {(1, 0)}
+
+
+def test_a_large_benchmark_is_shuffled_alike(spark, monkeypatch):
+    texts = ["Intro text. " + ITEMS[0], "before " + ITEMS[1].replace("12", "31") + " after", "a short item here"]
+    near = found(spark, texts)
+    monkeypatch.setattr(templates, "MOST_WINDOWS", 3)
+    assert found(spark, texts) == near and len(near) == 3
+
+
+def test_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(templates, "MEMO_WORDS", 5)
+    few, many = templates.Templates(), templates.Templates()
+    lines = [[w.encode() for w in f"Word{i} costs {i} km or Peter{i % 3} ends.".split()] for i in range(40)]
+    whole = many(lines)
+    for i, line in enumerate(lines):
+        assert len(few.canon) <= 5 + 7
+        for x, y in zip(few([line])[:3], whole[:3], strict=True):
+            assert (x == y[7 * i : 7 * i + 7]).all()
