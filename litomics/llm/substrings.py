@@ -12,8 +12,11 @@ The whole corpus is the reference, so it cannot be broadcast; shards of it are r
    statistics; wherever WINDOW words match, the state says where they occur first.
 4. Windows that occur first elsewhere are joined back to their documents, and their words are removed.
 
-Hot passages: anchors are counted before they are shuffled, equal regions merge in each pass over texts before they are shuffled, and
-joins are on keys that Spark splits. No group is capped. Documents without a repeat are told by a bit filter of fixed size and skip the joins.
+Hot anchors. An anchor with more than MOST_REGIONS regions, such as the opening of a common sentence, is not one place: its regions are
+cut again by anchors of longer grams, and those that are still hot by whole windows, each time merged where they are equal before they
+meet. So no place gets more than MOST_REGIONS of them, and equal windows still meet. Anchors are counted before they are shuffled, equal regions merge in each pass over texts,
+groups of equal texts meet their first document by a broadcast of fewer than 1 / HOT rows, and other joins are on keys that Spark splits.
+No group is capped. Documents without a repeat are told by a bit filter of fixed size and skip the joins.
 
 Nulls: a null text has no words. A null doc_id has no order: nothing is removed from such a row and it is no reference. Rows that share a doc_id
 are judged alike, as one document that has all their windows. An empty table gives an empty result.
@@ -29,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LISTED, gram_hashes, marked, mix, places, small_batches, staged, table, text_chunks, without, word_hashes
+from .common import LISTED, discard, gram_hashes, looked_up, marked, mix, places, small_batches, staged, table, text_chunks, within, without, word_hashes
 
 WINDOW = 13
 GRAM = 5
 SHARD_WORDS = 50_000
+#: Regions of one anchor that may meet in one place.
+MOST_REGIONS = 2000
 #: Bytes of hash that stand for a word in a region.
-WORD_BYTES = 5
+WORD_BYTES = 8
 FAR = 2**63 - 1
 
 
@@ -93,10 +98,10 @@ class SuffixAutomaton:
     """Of several word sequences; each state knows the smallest document that its words occur in."""
 
     def __init__(self, parts: list[tuple[list[int], int]]) -> None:
-        self.next: list[dict[int, int]] = [{}]
+        self.next: list[dict[int | tuple[str, int], int]] = [{}]
         self.link, self.length, self.first = [-1], [0], [FAR]
         for i, (words, doc) in enumerate(parts):
-            last = self._add(0 if i == 0 else last, -1 - i, FAR)  # no word is negative: parts do not run into each other
+            last = self._add(0 if i == 0 else last, ("end", i), FAR)  # a sign that is no word: parts do not run into each other
             for w in words:
                 last = self._add(last, w, doc)
         for s in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
@@ -104,7 +109,7 @@ class SuffixAutomaton:
             if self.first[s] < self.first[p]:
                 self.first[p] = self.first[s]
 
-    def _add(self, last: int, w: int, doc: int) -> int:
+    def _add(self, last: int, w: int | tuple[str, int], doc: int) -> int:
         new = len(self.link)
         self.next.append({})
         self.link.append(0)
@@ -148,14 +153,8 @@ class SuffixAutomaton:
         return out
 
 
-def _shrunk(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - 8 * WORD_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
-
-
 def _words_of(raw: bytes) -> list[int]:
-    out = np.zeros((len(raw) // WORD_BYTES, 8), np.uint8)
-    out[:, :WORD_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, WORD_BYTES)
-    return out.view("<i8").ravel().tolist()
+    return np.frombuffer(raw, "<i8").tolist()
 
 
 def _digest(words: list[bytes]) -> str:
@@ -195,7 +194,7 @@ def cut_regions(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     hit = np.isin(anchor, np.array(own, np.int64))
                     edge = np.ones(len(at) + 1, bool)
                     edge[1:-1] = anchor[1:] != anchor[:-1]
-                    cuts, raw = np.flatnonzero(edge), _shrunk(hashes)
+                    cuts, raw = np.flatnonzero(edge), hashes.astype("<u8")
                     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                         if not hit[a]:
                             continue
@@ -231,7 +230,7 @@ def _halves(key: tuple[int, bytes]) -> tuple[bytes, bytes]:
 
 
 def first_documents(regions: DataFrame, window: int) -> DataFrame:
-    """For each distinct region, by its two hashes, the smallest document of each of its windows. Rows of an anchor stand together."""
+    """For each distinct region, by its two hashes, the smallest document of each of its windows from `off` (0) on. Rows of an anchor stand together."""
 
     def answers(group: list[tuple[bytes, int, int, int]]) -> Iterator[tuple[int, int, list[int]]]:
         if len(group) == 1:
@@ -277,10 +276,46 @@ def first_documents(regions: DataFrame, window: int) -> DataFrame:
 
     return (
         regions.select("anchor", "words", F.col("first").cast("long").alias("first"), "r1", "r2")
-        .repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "r1 long, r2 long, firsts array<long>")
+        .repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "r1 long, r2 long, firsts array<long>").select("r1", "r2", F.lit(0).alias("off"), "firsts")
     )
 
 
+def finer_regions(regions: DataFrame, window: int, gram: int) -> DataFrame:
+    """Regions cut again by anchors of a longer gram: p1, p2 and off, the region and the window in it where the new one begins, and the new one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("p1", "p2", "off", "anchor", "words", "first", "r1", "r2")}
+            for anchor, raw, first, p1, p2 in zip(*(batch.column(c).to_pylist() for c in ("anchor", "words", "first", "r1", "r2")), strict=True):
+                words = np.frombuffer(raw, "<u8")
+                _, finer = anchors_of(words, np.array([0, len(words)]), window, gram)
+                edge = np.ones(len(finer) + 1, bool)
+                edge[1:-1] = finer[1:] != finer[:-1]
+                cuts = np.flatnonzero(edge)
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    key = (int(mix(np.array([finer[a]]).view(np.uint64) + np.uint64(anchor & (2**64 - 1))).view(np.int64)[0]), words[a : b - 1 + window].tobytes())
+                    r1, r2 = (int.from_bytes(x, "little", signed=True) for x in _halves(key))
+                    for name, value in zip(out, (p1, p2, a, *key, first, r1, r2), strict=True):
+                        out[name].append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    return regions.select("anchor", "words", "first", "r1", "r2").mapInArrow(run, "p1 long, p2 long, off int, anchor long, words binary, first long, r1 long, r2 long")
+
+
+def first_of_regions(regions: DataFrame, window: int, longer: list[int]) -> DataFrame:
+    """r1, r2, off, firsts as first_documents has them, a hot anchor's regions in parts. `longer` are grams for these, up to whole windows."""
+    hot = staged(regions.groupBy("anchor").count().where(F.col("count") > MOST_REGIONS).select("anchor"), "hot") if longer else None
+    if hot is None or hot.isEmpty():
+        return first_documents(regions, window)
+    parts = staged(finer_regions(within(regions, hot, "anchor"), window, longer[0]), "parts")
+    distinct = staged(parts.groupBy("anchor", "r1", "r2").agg(F.min("first").alias("first"), F.min("words").alias("words")), "distinct")
+    found = first_of_regions(distinct, window, longer[1:]).withColumnRenamed("off", "by")
+    back = parts.select("p1", "p2", "off", "r1", "r2").distinct().join(found, ["r1", "r2"])
+    back = back.select(F.col("p1").alias("r1"), F.col("p2").alias("r2"), (F.col("off") + F.col("by")).alias("off"), "firsts")
+    return first_documents(without(regions, hot, "anchor"), window).union(back)
+
+
 def remove_windows(docs: DataFrame, window: int) -> DataFrame:
     """Open documents (doc_id, n_words, text, starts: windows to remove) with their words removed."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -314,23 +349,24 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     known = docs.where("doc_id is not null")
 
     keys = staged(text_keys(known), "keys").where(F.col("n_words") >= window)
-    first = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
-    copies = staged(keys.join(first, ["k1", "k2"]).groupBy("doc_id").agg(F.min(F.col("doc_id") > F.col("first")).alias("is_copy")).where("is_copy"), "copies")
+    first = staged(keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "first")
+    copies = staged(looked_up(keys, first, ["k1", "k2"], "copies", keys.count()).groupBy("doc_id").agg(F.min(F.col("doc_id") > F.col("first")).alias("is_copy")).where("is_copy"), "copies")
 
     # copies give no anchors: what their texts repeat is all of them
     anchors = staged(anchor_rows(without(known, copies), window, gram), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     hits = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
     told = staged(hits.withColumn("is_copy", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast("array<long>").alias("shared"), F.lit(True).alias("is_copy"))), "told")
+    discard(anchors, first)
     parts = marked(docs, told.select("doc_id"))
     quiet = settled(parts.where(~F.col(LISTED)))
     loud = parts.where(LISTED).drop(LISTED).join(told, "doc_id", "left").withColumn("is_copy", F.coalesce("is_copy", F.lit(False)))
     cut = staged(cut_regions(loud, window, gram), "cut")
 
     regions = cut.select("doc_id", F.explode("regions").alias("r"))
-    contents = regions.where("r.words is not null").select(F.col("r.anchor").alias("anchor"), F.col("r.words").alias("words"), F.col("doc_id").alias("first"), F.col("r.r1").alias("r1"), F.col("r.r2").alias("r2"))
-    firsts = staged(first_documents(contents, window), "firsts")
-    windows = F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("start") + i))
+    contents = regions.where("r.words is not null").select(F.col("r.anchor").alias("anchor"), F.col("r.words").alias("words"), F.col("doc_id").cast("long").alias("first"), F.col("r.r1").alias("r1"), F.col("r.r2").alias("r2"))
+    firsts = staged(first_of_regions(contents, window, sorted({(gram + window) // 2, window})), "firsts")
+    windows = F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("start") + F.col("off") + i))
     gone = (
         regions.select("doc_id", F.col("r.start").alias("start"), F.col("r.r1").alias("r1"), F.col("r.r2").alias("r2")).join(firsts, ["r1", "r2"])
         .select("doc_id", F.filter(windows, lambda w: w.isNotNull()).alias("w")).where(F.size("w") > 0)

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from litomics.llm import substrings
 
 from .cases import docs, sample
@@ -51,12 +53,32 @@ def test_against_plain(spark):
     assert sum(0 < x[1] < x[0] for x in want.values()) > 20
 
 
-def test_small_shards(spark, monkeypatch):
+def test_automaton():
     parts = [([1, 2, 3, 4, 5], 7), ([2, 3, 4, 9], 3), ([3, 4, 5, 1], 5)]
     a = substrings.SuffixAutomaton(parts)
     assert a.first_of_windows([1, 2, 3, 4, 5, 1, 2], 3) == [7, 3, 5, 5, substrings.FAR]
 
 
+def common_opening(seed):
+    """Texts that all have one sentence, among different words, so its anchors have a region in each."""
+    rng = random.Random(seed)
+    word = lambda: f"v{rng.randrange(40)}"
+    for i in range(120):
+        yield " ".join([*(word() for _ in range(12)), *"all of the rights are held by".split(), *(word() for _ in range(rng.randrange(4))), *(f"u{i}" for _ in range(8)), *"all of the rights".split()])
+
+
+@pytest.mark.parametrize("shard, most", [(20, 2000), (50_000, 3), (20, 1)])
+def test_small_shards_and_hot_anchors(spark, monkeypatch, shard, most):
+    monkeypatch.setattr(substrings, "SHARD_WORDS", shard)
+    monkeypatch.setattr(substrings, "MOST_REGIONS", most)
+    texts = [*shared_passages(5), *common_opening(6), *list(common_opening(6))[:30]]
+    random.Random(7).shuffle(texts)
+    frame = docs(spark, texts)
+    want = plain([(r["doc_id"], r["text"]) for r in frame.collect()])
+    for r in substrings.remove_repeats(frame).collect():
+        assert tuple(r)[1:] == want[r["doc_id"]], r["doc_id"]
+
+
 def test_null_ids_and_empty(spark):
     text = " ".join(f"w{i}" for i in range(20))
     frame = spark.createDataFrame([(None, text), (5, text), (2, text + " end"), (None, None)], "doc_id long, text string")
