@@ -7,10 +7,14 @@ probability (1 - 0.8^ROWS)^BANDS, about 1e-7.
 Equal sets are one representative from the start. Candidates of a band are never expanded into all pairs:
 1. Each member is verified against its band's least member (a star); links merge into components.
 2. A pair in one component needs no look. Documents of bands that still hold several components are compared across
-   components by their rarest shingles: in one order of all shingles, rare ones first, two sets that are similar enough share one
-   among the first n - need + 1 of each, where need is the overlap that they must have. That is exact under any order; this one comes from
-   a fixed number of counters. At a shingle, documents outside its largest component meet those of other components.
-Both steps verify on full sets, 40 bits of hash a shingle. No bucket or candidate list has a cap.
+   components by their rarest shingles, as counted among these documents: in one order of all shingles, rare ones first, two sets of sizes
+   n >= m that are similar enough share one among the first n - 0.8 n + 1 of the larger and the first m - 2 * 0.8 / 1.8 m + 1 of the smaller
+   one. Shingles that one document alone has take places but are never joined. At a shingle, documents outside its largest component
+   meet those of other components; what a common shingle would bring together has no place among these first ones but where texts have little else.
+Both steps verify on full sets of 64-bit shingles. No bucket or candidate list has a cap.
+
+Groups of equal sets can be large: the rows of those that hold a noticeable part of all rows meet their representative by a broadcast of fewer
+than 1 / HOT rows, the rest by a shuffle.
 
 Nulls: a null or empty text has no shingles and is linked with nothing. A null doc_id is linked with nothing and has a null
 component. Rows that share a doc_id are one node. Repeated rows stay. An empty table gives an empty result.
@@ -26,16 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
-from .common import gram_hashes, mix, small_batches, staged, table, text_chunks, within, without, word_hashes
+from .common import discard, gram_hashes, looked_up, mix, small_batches, staged, table, text_chunks, within, without, word_hashes
 from .components import roots
 
 ROWS, BANDS = 5, 40
 SIMILARITY = 80  # per cent
 WORDS = 5  # of a shingle
 BLOCK = 2048
-SET_BYTES = 5
-#: Counters of shingle frequencies; more of them order shingles better, none makes the order inexact.
-COUNTERS = 1 << 17
 LOWER = bytes((c + 32 if 65 <= c <= 90 else c) for c in range(256))
 
 
@@ -100,21 +101,19 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
 
 
 def packed_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id and its sorted shingles, SET_BYTES bytes each."""
+    """doc_id and its sorted shingles, 8 bytes each."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
-            sets = [np.unique(s >> np.uint64(64 - 8 * SET_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes() for s, _ in shingle_sets(texts, n)]
+            sets = [s.astype("<u8").tobytes() for s, _ in shingle_sets(texts, n)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles binary")
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
-    out[:, :SET_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
-    return out.view("<u8").ravel()
+    return np.frombuffer(raw, "<u8")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -140,40 +139,35 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}, inter long, whole long")
 
 
-def rare_prefixes(rows: DataFrame, similarity: int) -> DataFrame:
-    """token, place (from 0), doc_id, comp, n of the first shingles of each set, in an order of all shingles with rare ones first."""
+def exploded(rows: DataFrame) -> DataFrame:
+    """token, doc_id, comp, n for each shingle of each set."""
     kind = dict(rows.dtypes)["doc_id"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column("shingles").to_pylist():
-                np.add.at(total, (unpacked(raw) % np.uint64(COUNTERS)).astype(np.int64), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["counter", "n"])
+            raw = batch.column("shingles").to_pylist()
+            sizes = np.array([len(x) // 8 for x in raw], np.int64)
+            token = unpacked(b"".join(raw)).view(np.int64)
+            at = pa.array(np.repeat(np.arange(len(raw)), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(token), batch.column("doc_id").take(at), batch.column("comp").take(at), pa.array(np.repeat(sizes, sizes))], names=["token", "doc_id", "comp", "n"])
 
-    counters = np.zeros(COUNTERS, np.int64)
-    found = rows.select("shingles").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
-    counters[found["counter"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    sent = rows.sparkSession.sparkContext.broadcast(counters)
+    return rows.select("doc_id", "comp", "shingles").mapInArrow(run, f"token long, doc_id {kind}, comp {kind}, n long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sent.value
-        for batch in batches:
-            tokens, places_, owner, sizes = [], [], [], []
-            for i, raw in enumerate(batch.column("shingles").to_pylist()):
-                s = unpacked(raw)
-                n = len(s)
-                first = s[np.lexsort((s, often[(s % np.uint64(COUNTERS)).astype(np.int64)]))[: n - -(-n * similarity // 100) + 1]]
-                tokens.append(first.view(np.int64))
-                places_.append(np.arange(len(first)))
-                owner.append(np.full(len(first), i))
-                sizes.append(np.full(len(first), n))
-            joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tokens, places_, owner, sizes)]
-            at = pa.array(joined[2])
-            yield pa.RecordBatch.from_arrays([pa.array(joined[0]), pa.array(joined[1]), batch.column("doc_id").take(at), batch.column("comp").take(at), pa.array(joined[3])], names=["token", "place", "doc_id", "comp", "n"])
-
-    return rows.select("doc_id", "comp", "shingles").mapInArrow(run, f"token long, place long, doc_id {kind}, comp {kind}, n long")
+
+def rare_prefixes(rows: DataFrame, similarity: int) -> DataFrame:
+    """token, place (from 0), doc_id, comp, n of the first shingles of each set, in an order of all shingles with rare ones first.
+
+    Counts are exact. A shingle of one document takes its place but is not returned; documents of one component need no look at each other,
+    so a shingle that all its documents' one component has is not returned either."""
+    tokens = staged(exploded(rows), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("often > 1")
+    met = tokens.join(often, "token").select("doc_id", "comp", "n", F.struct("often", "token", (F.col("low") < F.col("high")).alias("apart")).alias("t"))
+    # a document's own shingles, as many as its text has
+    by_doc = met.groupBy("doc_id", "comp", "n").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    alone = F.col("n") - F.size("ts")
+    most = F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1
+    placed = by_doc.select("doc_id", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("ts", F.lit(1), F.greatest(F.lit(0), most - alone).cast("int"))).alias("i", "t"))
+    return placed.where("t.apart").select(F.col("t.token").alias("token"), (F.col("i") + F.col("alone")).alias("place"), "doc_id", "comp", "n")
 
 
 def classes(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -181,8 +175,10 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
     small_batches(docs.sparkSession)
     every = staged(signed(docs, words), "signed")
     some = every.where("n_shingles > 0 and doc_id is not null")
-    first = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = some.join(first, ["h1", "h2"]).where("doc_id = rep").select("doc_id", "n_shingles", F.explode("bands").alias("band"))
+    total = some.count()
+    first = staged(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "first")
+    as_rep = looked_up(some.select("doc_id", "n_shingles", "h1", "h2", "bands"), first, ["h1", "h2"], "copies", total)
+    reps = as_rep.where("doc_id = rep").select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     shared = reps.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("band", "pivot")
     members = staged(reps.join(shared, "band").select("band", "pivot", F.col("doc_id").alias("b"), "n_shingles").distinct(), "members")
     named = staged(members.select(F.col("b").alias("doc_id")).distinct(), "named")
@@ -196,28 +192,31 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
     # documents of bands that hold several components
     placed = members.join(found.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("comp", F.coalesce("root", "b")).drop("root")
     mixed = placed.groupBy("band").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("band")
-    open_ = staged(placed.join(mixed, "band").select(F.col("b").alias("doc_id"), "comp").distinct().join(sets, "doc_id"), "open")
+    open_ = placed.join(mixed, "band").select(F.col("b").alias("doc_id"), "comp").distinct().join(sets, "doc_id")
     prefixes = staged(rare_prefixes(open_, similarity), "prefixes")
+    discard(members, named, seen)
     main = prefixes.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("n_comps")).where("n_comps > 1").drop("n_comps")
     told = prefixes.join(main, "token")
-    outside = told.where("comp <> main").select("token", F.col("doc_id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
-    inside = told.select("token", F.col("doc_id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    # the smaller one of two sets shares a shingle among still fewer of its first ones
+    small = F.col("n") - F.ceil(F.lit(2 * similarity) * F.col("n") / (100 + similarity))
+    told = told.withColumn("is_short", F.col("place") <= small)
+    outside = told.where("comp <> main").select("token", F.col("doc_id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("is_short").alias("sx"))
+    inside = told.select("token", F.col("doc_id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("is_short").alias("sy"))
     # shingles that both must share to be similar enough
     need = F.ceil(similarity * (F.col("nx") + F.col("ny")) / (100 + similarity))
+    near = lambda x, y: x.join(y, "token").where((F.col("cx") != F.col("cy")) & (F.col("px") <= F.col("nx") - need) & (F.col("py") <= F.col("ny") - need))
     pairs = (
-        outside.join(inside, "token")
-        .where((F.col("cx") != F.col("cy")) & (F.col("px") <= F.col("nx") - need) & (F.col("py") <= F.col("ny") - need))
+        near(outside.where("sx"), inside).where("nx <= ny").union(near(outside, inside.where("sy")).where("nx > ny").select("token", "x", "cx", "nx", "px", "sx", "y", "cy", "ny", "py", "sy"))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     )
     more = overlaps(pairs, sets).where(is_link).select("a", "b")
     links = found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
     final = roots(links).select(F.col("node").alias("rep"), "root")
-    return (
-        every.select("doc_id", "n_shingles", "h1", "h2").join(first, ["h1", "h2"], "left")
-        .withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep"))).join(final, "rep", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    homes = staged(first.join(final, "rep", "left").select("h1", "h2", "copies", F.coalesce("root", "rep").alias("component_id")), "homes")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    by_set = looked_up(some.select("doc_id", "n_shingles", "h1", "h2"), homes, ["h1", "h2"], "copies", total).select("doc_id", "n_shingles", "component_id", kept)
+    alone = every.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return by_set.union(alone)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
