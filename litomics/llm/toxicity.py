@@ -7,7 +7,8 @@ with one path only (letters, no repeats) are what they are, without a lattice. S
 such a word is decoded with and without them. In words longer than LONGEST, runs of one character are folded to three first.
 
 Word weights and the final logistic function are learned from at most TRAIN_ROWS labelled documents, taken by a hash of
-doc_id, whose crc32(doc_id) mod 4 is not 2. Labels, lang, source and doc_id are no inputs of a score.
+doc_id, whose crc32(doc_id) mod 4 is not 2. Labels, lang, source and doc_id are no inputs of a score. Their texts stay in tasks: the driver
+gets the MOST_WORDS heaviest words and three numbers for each of these documents. MOST_WORDS is the size of the classifier, not a cut of any text.
 
 Nulls: a null text is empty and gets the score of a text without known words; a null doc_id counts as empty text in the
 fold; null labels are no labels. Without labels of both kinds every score is 0. Repeated rows stay. An empty table gives an empty
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_chunks
+from .common import discard, small_batches, staged, table, text_chunks
 
-TRAIN_ROWS = 6000
-#: Most words with a weight; the heaviest stay.
+TRAIN_ROWS = 12_000
+#: Words with a weight: the classifier's size; the heaviest stay.
 MOST_WORDS = 5000
 LEAST_DOCS = 3
 #: Standard errors taken off a log odds ratio before it counts.
@@ -58,7 +58,8 @@ for _i in range(128):
 FOLD = bytes(_FOLD)
 LOWER = bytes((c + 32 if 65 <= c <= 90 else c) for c in range(256))
 
-SPACED = re.compile(r"(?<!\S)(?:[a-z0-9@$!*#][ .*_-]{1,2}){2,}[a-z0-9@$!*#](?=[\s.,;:?\"')]|$)")
+#: Single characters in a row. Characters and what stands between them share no sign, so there is one way only to read a row.
+SPACED = re.compile(r"(?<!\S)[a-z0-9@$!*#](?:[ ._-]{1,2}[a-z0-9@$!*#]){2,}(?=[\s.,;:?\"')]|$)")
 OUTER = ".,;:?\"'()[]{}<>%&=/\\"
 #: Signs that are letters or punctuation at a word's beginning and end.
 OPENING, CLOSING = "(", "!*#$|+("
@@ -197,39 +198,32 @@ def fold_of(doc_id: Column) -> Column:
 class Scorer:
     """Weights of words and the logistic function over a text's summed weights."""
 
-    def __init__(self, model: CharModel, docs: list[tuple[bytes, int]]) -> None:
-        self.model, self.weights, self.coefficients = model, {}, np.array([0.0, 0.0, -50.0])
-        labels = np.array([y for _, y in docs], float)
-        if not 0 < labels.sum() < len(labels):
-            return
-        memo: dict[str, frozenset[bytes]] = {}
-        bags = [restored_words(t, model, memo) for t, _ in docs]
-        every, toxic = Counter(), Counter()
-        for bag, y in zip(bags, labels, strict=True):
-            every.update(bag)
-            if y:
-                toxic.update(bag)
-        n_toxic, n_clean = labels.sum(), len(labels) - labels.sum()
-        scored = []
-        for w, n in every.items():
-            if n >= LEAST_DOCS and toxic[w]:
-                p, q = (toxic[w] + 0.1) / (n_toxic + 0.2), (n - toxic[w] + 0.1) / (n_clean + 0.2)
-                ratio, spread = math.log(p / q), math.sqrt(1 / (toxic[w] + 0.5) + 1 / (n - toxic[w] + 0.5))
-                if ratio - CAUTION * spread > 0.8:
-                    scored.append((ratio - CAUTION * spread, w))
-        self.weights = {w: s for s, w in sorted(scored, reverse=True)[:MOST_WORDS]}
-        x = np.array([self.inputs(b) for b in bags])
-        self.coefficients = _logistic(x, labels)
+    def __init__(self, model: CharModel, weights: dict[bytes, float], coefficients: np.ndarray) -> None:
+        self.model, self.weights, self.coefficients = model, weights, coefficients
 
     def inputs(self, bag: set[bytes]) -> tuple[float, float, float]:
-        hits = [self.weights[w] for w in bag & self.weights.keys()]
-        return (max(hits, default=0.0), min(sum(hits), 20.0), 1.0)
+        return _inputs(bag, self.weights)
 
     def score(self, text: bytes, memo: dict[str, frozenset[bytes]]) -> float:
         z = float(np.dot(self.coefficients, self.inputs(restored_words(text, self.model, memo))))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+def _inputs(bag: set[bytes], weights: dict[bytes, float]) -> tuple[float, float, float]:
+    hits = [weights[w] for w in bag & weights.keys()]
+    return (max(hits, default=0.0), min(sum(hits), 20.0), 1.0)
+
+
+def weights_of(bags: DataFrame, n_toxic: int, n_clean: int) -> dict[bytes, float]:
+    """Log odds ratios of words, less CAUTION standard errors, of the MOST_WORDS heaviest ones."""
+    words = bags.select("toxic", F.explode("bag").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+    ratio = F.log(((k + 0.1) / (n_toxic + 0.2)) / ((n - k + 0.1) / (n_clean + 0.2)))
+    weight = ratio - CAUTION * F.sqrt(1 / (k + 0.5) + 1 / (n - k + 0.5))
+    heavy = words.where((F.col("n") >= LEAST_DOCS) & (F.col("k") > 0)).select("word", weight.alias("weight")).where("weight > 0.8")
+    return {bytes(r["word"]): r["weight"] for r in heavy.orderBy(F.desc("weight"), "word").limit(MOST_WORDS).collect()}
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Newton's method with a small ridge."""
     w = np.zeros(x.shape[1])
@@ -244,14 +238,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Scorer:
     """The character model over all documents; weights from at most `train_rows` labelled ones outside the held-out fold."""
-    order = [F.xxhash64("doc_id", F.lit(23)), F.col("doc_id")]
+    model = CharModel(trigram_counts(docs))
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold_of(F.col("doc_id")) != 2))
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(*order).limit(train_rows)
+        .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(train_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(*order, "text").limit(train_rows)
-    model = CharModel(trigram_counts(docs))
-    return Scorer(model, [((r["text"] or "").encode(), int(r["toxic"])) for r in rows.select("text", "toxic").toLocalIterator()])
+    # of rows that share a doc_id one is learned from
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, frozenset[bytes]] = {}
+        for part, texts in text_chunks(batches):
+            bags = [sorted(restored_words(t, sent.value, memo)) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(bags, pa.list_(pa.binary()))], names=["toxic", "bag"])
+
+    bags = staged(rows.select("text", "toxic").mapInArrow(restore, "toxic int, bag array<binary>"), "bags")
+    n, n_toxic = bags.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < n_toxic < n:
+        return Scorer(model, {}, np.array([0.0, 0.0, -50.0]))
+    weights = weights_of(bags, n_toxic, n - n_toxic)
+    heavy = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array([_inputs(set(b), heavy.value) for b in batch.column("bag").to_pylist()], float).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(3)), batch.column("toxic")], names=["a", "b", "c", "y"])
+
+    x = bags.mapInArrow(inputs, "a double, b double, c double, y int").toPandas()  # train_rows rows of four numbers
+    discard(bags)
+    return Scorer(model, weights, _logistic(x[["a", "b", "c"]].to_numpy(float), x["y"].to_numpy(float)))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 from litomics.llm import toxicity
@@ -47,3 +48,54 @@ def test_signs_at_edges_and_long_words(spark):
             words = toxicity.restored_words(around.format(seen).encode(), m, {})
             assert word.encode() in words, (seen, around, words)
     assert len(m.decode("ab1" * 20_000)) >= 40_000
+
+
+def all_readings(seen, model):
+    """Every path of a word's lattice with its score, one by one."""
+    paths = [("", 0.0, (0, 0))]
+    last, closing = "", len(seen.rstrip("!"))
+    for i, c in enumerate(seen):
+        if c.isalpha():
+            options = [(c, 0.0)] + ([("", -0.7)] if c == last else [])
+        else:
+            options = [(x, -1.5) for x in toxicity.LEET.get(c, "")]
+            options += [("", -0.7)] if c in toxicity.SEPARATORS or c == last or i >= closing else []
+            options += [(c, -3.0)] if not options or c.isdigit() else []
+        last = c
+        grown = []
+        for word, score, (a, b) in paths:
+            for letter, cost in options:
+                if letter:
+                    k = model.code(letter)
+                    grown.append((word + letter, score + cost + model.log[a][b][k], (b, k)))
+                elif word:
+                    grown.append((word, score + cost, (a, b)))
+        paths = grown or paths
+    return {w: max(s + model.log[a][b][0] for w2, s, (a, b) in paths if w2 == w) for w, _, _ in paths}
+
+
+def test_viterbi_against_all_paths(spark):
+    m = model(spark)
+    for seen in ("1d10t", "m0r0n", "l.o.s.e.r", "idiooot", "$tup1d!", "a*s#", "5tup!!d", "1111", "b00"):
+        every = all_readings(seen, m)
+        assert abs(every[m.decode(seen)] - max(every.values())) < 1e-9, seen
+
+
+def test_scores_against_a_plain_version(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    scorer = toxicity.fit(d, labels)
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    y = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["doc_id"] in texts}
+    bags = {i: toxicity.restored_words((texts[i] or "").encode(), scorer.model, {}) for i in y}
+    n_toxic, n_clean, want = sum(y.values()), len(y) - sum(y.values()), {}
+    for w in set().union(*bags.values()):
+        n, k = sum(w in b for b in bags.values()), sum(w in b for i, b in bags.items() if y[i])
+        if n >= 3 and k:
+            v = math.log(((k + 0.1) / (n_toxic + 0.2)) / ((n - k + 0.1) / (n_clean + 0.2))) - 2.5 * math.sqrt(1 / (k + 0.5) + 1 / (n - k + 0.5))
+            if v > 0.8:
+                want[w] = v
+    assert want.keys() == scorer.weights.keys() and all(abs(v - scorer.weights[w]) < 1e-9 for w, v in want.items())
+    for i in list(texts)[:60]:
+        hits = [want[w] for w in toxicity.restored_words((texts[i] or "").encode(), scorer.model, {}) if w in want]
+        z = scorer.coefficients @ [max(hits, default=0), min(sum(hits), 20), 1]
+        assert abs(scorer.score((texts[i] or "").encode(), {}) - 1 / (1 + math.exp(-z))) < 1e-9
