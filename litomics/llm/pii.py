@@ -1,13 +1,16 @@
 """Personal data: base patterns, and a character BiLSTM with CRF transitions trained in numpy from labelled spans.
 
 Training spans come from the texts themselves: windows around matches of the base patterns, and the same windows with
-the match rewritten in forms that the patterns miss (no plus sign, spelt-out signs), at most TRAIN_WINDOWS of them, taken by a hash.
+the match rewritten in forms that the patterns miss (no plus sign, spelt-out signs), at most TRAIN_WINDOWS of them. The texts are a
+sample of about SAMPLE_TEXTS distinct ones by a hash, larger where few of them hold personal data; only the surroundings of triggers in at most
+TRAIN_DOCS of them reach the driver.
 
 Tagging: every kind of personal data here holds a digit, an `@` or a spelt-out sign such as `[at]` or `(dot)`, so each of these in the whole
 text is a trigger. Around a sign of an address the whole run of address characters on both sides belongs to the surroundings, however
 long. Windows of WINDOW characters, half of each shared with the next, cover the surroundings of all triggers. The emissions of
-overlapping windows are averaged, weighted towards each window's middle, and one Viterbi pass decodes the whole stretch. Tagged spans
-that overlap no base span, and whose form fits their kind, are added; a tagged address grows to the ends of its run first.
+overlapping windows are averaged, weighted towards each window's middle, and one Viterbi pass decodes the whole stretch. The network proposes;
+tagged spans that overlap no base span, and that pass their kind's check (signs of an address, four numbers, Luhn, number of digits), are
+added; a tagged address grows to the ends of its run first.
 
 Nulls: a null text is empty and has no spans. Repeated rows stay. An empty table gives an empty result. Without training matches
 nothing is added. No text is cut: memory follows the longest text.
@@ -27,22 +30,28 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_WINDOWS = 1500
+TRAIN_WINDOWS = 4000
 TRAIN_DOCS = 1200
+SAMPLE_TEXTS = 10_000
 WINDOW, STRIDE, AROUND = 64, 32, 28
-HIDDEN, EMBED, STEPS, BATCH, RATE = 16, 12, 220, 32, 0.02
+HIDDEN, EMBED, STEPS, BATCH, RATE = 16, 12, 240, 48, 0.02
+#: Rewritten forms of a match that are trained on.
+REWRITTEN = 4
 
-# The base patterns.
-DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+# The base patterns. A run is taken whole and only from its beginning on, so each is walked once: a match that fails there
+# fails from inside the run too.
+DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
+#: Runs of more digits are part of no span.
+MOST_DIGITS = 19
 SIGN = re.compile("[0-9@]")
 #: Signs of an address that are spelt out.
 AT, DOT = r"[\[(]\s?(?i:at)\s?[\])]", r"[\[(]\s?(?i:dot)\s?[\])]"
-TRIGGER = re.compile(f"[0-9@]|{AT}|{DOT}")
+TRIGGER = re.compile(f"(?<![0-9])[0-9]{{1,{MOST_DIGITS}}}+(?![0-9])|@|{AT}|{DOT}")
 ADDRESS = re.compile(f"@|{AT}")
 
 
@@ -103,8 +112,11 @@ VOCABULARY = _OTHER + 1
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 
 
+_TABLE = np.array([_CODE.get(chr(i)) or (_LETTER if "a" <= chr(i) <= "z" else _CAPITAL if "A" <= chr(i) <= "Z" else _OTHER) for i in range(129)], np.int8)
+
+
 def codes(text: str) -> np.ndarray:
-    return np.fromiter((_CODE.get(c) or (_LETTER if "a" <= c <= "z" else _CAPITAL if "A" <= c <= "Z" else _OTHER) for c in text), np.int64, len(text))
+    return _TABLE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 128)]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -125,7 +137,7 @@ class Tagger:
         """Hidden states of one direction; x is (batch, time, EMBED), already reversed for the backward one."""
         b, t, _ = x.shape
         drive = x @ self.p[f"{way}_x"] + self.p[f"{way}_b"]
-        h, c, out = np.zeros((b, HIDDEN)), np.zeros((b, HIDDEN)), np.empty((b, t, HIDDEN))
+        h, c, out = np.zeros((b, HIDDEN), x.dtype), np.zeros((b, HIDDEN), x.dtype), np.empty((b, t, HIDDEN), x.dtype)
         for k in range(t):
             z = drive[:, k] + h @ self.p[f"{way}_h"]
             i, f, o = _sigmoid(z[:, :HIDDEN]), _sigmoid(z[:, HIDDEN : 2 * HIDDEN]), _sigmoid(z[:, 2 * HIDDEN : 3 * HIDDEN])
@@ -207,14 +219,21 @@ class Tagger:
                 self.p[k] -= RATE * (1 - step / (steps + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return loss
 
+    def light(self) -> Tagger:
+        """The same network in single precision, for tagging."""
+        out = object.__new__(Tagger)
+        out.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        return out
+
     def decode(self, em: np.ndarray) -> np.ndarray:
         """The best tags of one stretch."""
         t, n = em.shape
-        back, score = np.zeros((t, n), np.int64), em[0]
+        back, score, move = np.zeros((t, n), np.int8), em[0], np.ascontiguousarray(self.p["move"].T)
         for k in range(1, t):
-            every = score[:, None] + self.p["move"]
-            back[k] = every.argmax(axis=0)
-            score = every[back[k], np.arange(n)] + em[k]
+            every = score + move
+            every.argmax(axis=1, out=(best := np.empty(n, np.int64)))
+            back[k] = best
+            score = every.max(axis=1) + em[k]
         tags = np.empty(t, np.int64)
         tags[-1] = score.argmax()
         for k in range(t - 1, 0, -1):
@@ -226,10 +245,10 @@ def stretches(text: str) -> list[tuple[int, int]]:
     """Merged surroundings of all triggers. Those of a sign of an address hold the runs of address characters beside it."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        a, b = m.start(), m.start()
+        a, b = m.start(), m.end()
         if not m[0].isdigit():
             # what an earlier stretch holds, or an earlier run passed, is not walked again
-            done, b = (out[-1][1] if out else 0), m.end()
+            done = out[-1][1] if out else 0
             while a > done and text[a - 1].isspace() and m.start() - a < 2:
                 a -= 1
             while a > done and text[a - 1] in LOCAL:
@@ -247,16 +266,34 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+#: What an address may go on with: letters of a domain, and dots, spelt out or not, before one.
+ONWARD = re.compile(rf"(?:[A-Za-z0-9-]|\.(?=[A-Za-z0-9])|\s?{DOT}\s?(?=[A-Za-z0-9]))*+")
+STARTS_WITH_SIGN, ENDS_WITH_SIGN = re.compile(rf"\s?{AT}"), re.compile(rf"{AT}\s?\Z")
+
+
 def grown(text: str, a: int, b: int) -> tuple[int, int]:
-    """A tagged address, up to the ends of the runs that it lies in."""
+    """A tagged address, up to the ends of the runs that it lies in; from a spelt-out sign on, over the blank beside it."""
+    if STARTS_WITH_SIGN.match(text, a) and text[a - 1 : a].isspace():
+        a -= 1
     while a > 0 and text[a - 1] in LOCAL:
         a -= 1
-    while b < len(text) and (text[b] == "-" or text[b] in LOCAL and text[b].isalnum() or text[b] == "." and text[b + 1 : b + 2] in LOCAL and text[b + 1 : b + 2].isalnum()):
+    if ENDS_WITH_SIGN.search(text[max(a, b - 8) : b]) and text[b : b + 1].isspace():
         b += 1
+    return a, ONWARD.match(text, b).end()
+
+
+def whole_digits(text: str, a: int, b: int) -> tuple[int, int]:
+    """A tagged number, up to the ends of its first and last runs of digits, with the bracket that its first run stands in."""
+    while a > 0 and text[a - 1].isdigit() and text[a : a + 1].isdigit():
+        a -= 1
+    while b < len(text) and text[b].isdigit() and text[b - 1].isdigit():
+        b += 1
+    if text[a - 1 : a] == "(" and ")" in text[a:b]:
+        a -= 1
     return a, b
 
 
-_WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(float)
+_WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
 #: Forms that a tagged span must have.
 FITS = {
     "email": lambda s: bool(re.search(rf"[^\s@](@|\s?{AT}\s?)[A-Za-z0-9-]+(\.|\s?{DOT}\s?)[A-Za-z]", s)),
@@ -268,6 +305,7 @@ FITS = {
 
 def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """Spans that the tagger finds in each text, with forms that fit."""
+    tagger = tagger.light()
     parts = [(i, a, b) for i, t in enumerate(texts) for a, b in stretches(t)]
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for at in range(0, len(parts), 256):
@@ -276,15 +314,15 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
         for k, (i, a, b) in enumerate(some):
             c = codes(texts[i][a:b])
             for w in range(0, max(1, len(c) - STRIDE), STRIDE):
-                piece = np.full(WINDOW, _OTHER)
+                piece = np.full(WINDOW, _OTHER, np.int8)
                 piece[: len(c[w : w + WINDOW])] = c[w : w + WINDOW]
                 windows.append(piece)
                 homes.append(k)
                 offsets.append(w)
-        sums = [np.zeros((b - a, len(TAGS))) for _, a, b in some]
-        weights = [np.zeros((b - a, 1)) for _, a, b in some]
-        for w0 in range(0, len(windows), 1024):
-            for em, k, w in zip(tagger.emissions(np.array(windows[w0 : w0 + 1024])), homes[w0 : w0 + 1024], offsets[w0 : w0 + 1024], strict=True):
+        sums = [np.zeros((b - a, len(TAGS)), np.float32) for _, a, b in some]
+        weights = [np.zeros((b - a, 1), np.float32) for _, a, b in some]
+        for w0 in range(0, len(windows), 512):
+            for em, k, w in zip(tagger.emissions(np.array(windows[w0 : w0 + 512])), homes[w0 : w0 + 512], offsets[w0 : w0 + 512], strict=True):
                 n = min(WINDOW, len(sums[k]) - w)
                 sums[k][w : w + n] += em[:n] * _WEIGHT[:n, None]
                 weights[k][w : w + n] += _WEIGHT[:n, None]
@@ -296,6 +334,8 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
                     # runs end at signs, so only a piece with one can fit once grown
                     if KINDS[kind] == "email" and ADDRESS.search(texts[i][span[0] : span[1]]):
                         span = grown(texts[i], *span)
+                    elif KINDS[kind] != "email":
+                        span = whole_digits(texts[i], *span)
                     if FITS[KINDS[kind]](texts[i][span[0] : span[1]]) and not (out[i] and span[0] < out[i][-1][1]):
                         out[i].append((*span, KINDS[kind]))
                     kind = -1
@@ -304,6 +344,28 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
     return out
 
 
+def rewritten(found: str, kind: str, rng: np.random.Generator) -> str | None:
+    """A match in a form that the base patterns miss, its letters and digits drawn anew; None for kinds with no such form."""
+    pick = lambda *xs: xs[int(rng.integers(len(xs)))]
+    letters, numbers = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    anew = lambda t: "".join(pick(*letters) if c.isalpha() else pick(*numbers) if c.isdigit() else c for c in t)
+    digits = anew("".join(c for c in found if "0" <= c <= "9"))
+    if kind == "phone":
+        a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+        return pick(f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}")
+    if kind == "card":
+        return ".".join(digits[j : j + 4] for j in range(0, len(digits), 4))
+    if kind == "email":
+        local, domain = found.split("@", 1)
+        labels = domain.split(".")
+        labels = [anew(x) for x in labels[-int(rng.integers(2, len(labels) + 1)) : -1]] + [pick(labels[-1], "com", "org", "net", "de")]
+        local = pick(anew(local), anew(local.split(".")[0]), anew(local).replace(".", "_"))
+        blank = pick("", " ")
+        at, dot = blank + pick("[at]", "(at)", "[AT]", "(At)") + blank, pick(".", ".", ".", blank + pick("[dot]", "(dot)", "[DOT]") + blank)
+        return local + at + dot.join(labels)
+    return None
+
+
 def training_windows(texts: list[str], most: int = TRAIN_WINDOWS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Windows around triggers with their tags: as they stand, and with matches rewritten in forms that the patterns miss."""
     rng = np.random.default_rng(seed)
@@ -328,31 +390,31 @@ def training_windows(texts: list[str], most: int = TRAIN_WINDOWS, seed: int = 3)
             add(text, spans, p)
         for s, e, k in spans:
             add(text, spans, (s + e) // 2)
-            found, new = text[s:e], None
-            digits = re.sub("[^0-9]", "", found)
-            if k == "phone":
-                new = [f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}", f"{digits[-10:-7]}-{digits[-7:-4]}-{digits[-4:]}", f"{digits[-10:-7]}.{digits[-7:-4]}.{digits[-4:]}"][int(rng.integers(3))]
-            elif k == "email":
-                new = found.replace("@", ["[at]", " (at) ", " [at] "][int(rng.integers(3))])
-                if rng.integers(3) == 0:
-                    at = re.search(AT, new)
-                    new = new[: at.end()] + new[at.end() :].replace(".", [" [dot] ", "(dot)"][int(rng.integers(2))])
-            elif k == "card":
-                new = ".".join(digits[j : j + 4] for j in range(0, len(digits), 4))
-            if new:
-                left, right = text[max(0, s - WINDOW) : s], text[e : e + WINDOW]
-                add(left + new + right, [(len(left), len(left) + len(new), k)], len(left) + len(new) // 2)
+            left, right = text[max(0, s - WINDOW) : s], text[e : e + WINDOW]
+            for _ in range(REWRITTEN):
+                new = rewritten(text[s:e], k, rng)
+                if new:
+                    add(left + new + right, [(len(left), len(left) + len(new), k)], len(left) + int(rng.integers(len(new))))
         if len(xs) >= most:
             break
     return np.array(xs[:most]).reshape(-1, WINDOW), np.array(ys[:most]).reshape(-1, WINDOW)
 
 
 def fit(docs: DataFrame) -> Tagger | None:
-    """A tagger trained on the surroundings of triggers in at most TRAIN_DOCS texts, taken by a hash of the text."""
+    """A tagger trained on the surroundings of triggers in at most TRAIN_DOCS texts of a sample."""
     near = F.regexp_extract_all("text", F.lit("(?s).{0,64}[0-9@].{0,96}"), F.lit(0))
-    some = docs.where(F.col("text").rlike(r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9]{14}|\+[0-9]"))
-    chosen = some.select(F.xxhash64("text").alias("h"), F.array_join(F.slice(near, 1, 20), " ").alias("near")).orderBy("h").limit(TRAIN_DOCS)
-    x, y = training_windows([r["near"] for r in chosen.collect()])
+    holds = F.col("text").rlike(r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9]{14}|\+[0-9]")
+    n, fine = docs.where("text is not null").count(), 1 << 30
+    share = min(1.0, SAMPLE_TEXTS / max(n, 1))
+    while True:
+        # equal texts have one hash: a group of copies is in or out as one, and counts once
+        some = docs.select("text", F.xxhash64("text", F.lit(29)).alias("h")).where(F.pmod("h", F.lit(fine)) < int(share * fine))
+        texts = some.where(holds).select("h", F.array_join(F.slice(near, 1, 20), " ").alias("near")).groupBy("h").agg(F.min("near").alias("near"))
+        rows = texts.orderBy("h").limit(TRAIN_DOCS).collect()
+        if len(rows) >= TRAIN_DOCS or share >= 1:
+            break
+        share = min(1.0, 8 * share)
+    x, y = training_windows([r["near"] for r in rows])
     if not len(x) or not y.any():
         return None
     tagger = Tagger()

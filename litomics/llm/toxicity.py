@@ -37,6 +37,8 @@ CAUTION = 2.5
 THRESHOLD = 0.3
 #: In a longer word, runs of one character are folded before it is decoded.
 LONGEST = 32
+#: Letters of the longest word that can have a weight. A seen word of any length is decoded if a reading of it can be that short.
+MOST_LETTERS = 64
 #: Longer words are decoded anew each time, so that the memo stays small.
 MEMO_LONGEST = 64
 
@@ -172,18 +174,28 @@ def readings(seen: set[str], model: CharModel) -> frozenset[bytes]:
     return frozenset(out)
 
 
-def restored_words(text: bytes, model: CharModel, memo: dict[str, frozenset[bytes]]) -> set[bytes]:
-    """The distinct words of a text, disguised ones replaced by what they stand for (and kept as they stand)."""
+def least_letters(seen: str) -> int:
+    """Letters that any reading of a word has at least: what may not be skipped."""
+    closing = len(seen.rstrip("!"))
+    return sum(c != last and ("a" <= c <= "z" or c >= "\x80" or c not in SEPARATORS and i < closing) for i, (c, last) in enumerate(zip(seen, " " + seen)))  # noqa: B905
+
+
+def restored_words(text: bytes, model: CharModel, memo: dict[str, frozenset[bytes]], longest: int | None = None) -> set[bytes]:
+    """The distinct words of a text, disguised ones replaced by what they stand for (and kept as they stand).
+
+    With `longest`, words all of whose readings have more letters are not decoded: none of them can be a word of that length."""
     words = set(text.translate(FOLD).split())
     line = text.translate(LOWER).decode("utf-8", "replace")
+    fits = lambda w: longest is None or len(w) <= longest or least_letters(w) <= longest
     for w in {m[0] for m in SPACED.finditer(line)}:
-        words |= readings({w}, model)
+        if fits(w):
+            words |= readings({w}, model)
     for w in set(line.split()):
         found = memo.get(w)
         if found is None:
-            found = readings(disguised(w), model)
+            found = readings({x for x in disguised(w) if fits(x)}, model)
             if len(w) <= MEMO_LONGEST:
-                if len(memo) > 200_000:
+                if len(memo) > 50_000:
                     memo.clear()
                 memo[w] = found
         if found:
@@ -200,12 +212,13 @@ class Scorer:
 
     def __init__(self, model: CharModel, weights: dict[bytes, float], coefficients: np.ndarray) -> None:
         self.model, self.weights, self.coefficients = model, weights, coefficients
+        self.longest = max(map(len, weights), default=0)
 
     def inputs(self, bag: set[bytes]) -> tuple[float, float, float]:
         return _inputs(bag, self.weights)
 
     def score(self, text: bytes, memo: dict[str, frozenset[bytes]]) -> float:
-        z = float(np.dot(self.coefficients, self.inputs(restored_words(text, self.model, memo))))
+        z = float(np.dot(self.coefficients, self.inputs(restored_words(text, self.model, memo, self.longest))))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
@@ -216,7 +229,7 @@ def _inputs(bag: set[bytes], weights: dict[bytes, float]) -> tuple[float, float,
 
 def weights_of(bags: DataFrame, n_toxic: int, n_clean: int) -> dict[bytes, float]:
     """Log odds ratios of words, less CAUTION standard errors, of the MOST_WORDS heaviest ones."""
-    words = bags.select("toxic", F.explode("bag").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
+    words = bags.select("toxic", F.explode("bag").alias("word")).where(F.octet_length("word") <= MOST_LETTERS).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     ratio = F.log(((k + 0.1) / (n_toxic + 0.2)) / ((n - k + 0.1) / (n_clean + 0.2)))
     weight = ratio - CAUTION * F.sqrt(1 / (k + 0.5) + 1 / (n - k + 0.5))
@@ -250,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Sco
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, frozenset[bytes]] = {}
         for part, texts in text_chunks(batches):
-            bags = [sorted(restored_words(t, sent.value, memo)) for t in texts]
+            bags = [sorted(restored_words(t, sent.value, memo, MOST_LETTERS)) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(bags, pa.list_(pa.binary()))], names=["toxic", "bag"])
 
     bags = staged(rows.select("text", "toxic").mapInArrow(restore, "toxic int, bag array<binary>"), "bags")

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -13,6 +14,8 @@ TEXTS = [
     "card 4845168114407329 and 4845 1681 1440 7329 or 4845-1681-1440-7328",
     "call +1 (017) 555-7713 or +44 20 7946 0958 or +12 now; or (212) 555-0187 or 212-555-0143.",
     "x" * 5000 + "@" + "y" * 5000 + ".z " + "1" * 3000,
+    "7 1.2.3 1.2.3.4.5 12..3.4.5 1.2.3.4-5 0.0.0.0.0.0.0.0.0 5 5 5 5 5 5 5 5 5 5 5 5 5 5 5 5",
+    "a@b.c.d@e.f.g. x@y. @b.c a.b@-.- %@1.2",
 ]
 
 
@@ -102,4 +105,55 @@ def test_stretches_hold_whole_addresses():
     at = text.index(long)
     assert any(a <= at and at + len(long) <= b for a, b in pii.stretches(text))
     assert pii.stretches("no sign stands in this text at all") == []
-    assert pii.grown(text, at + 60, at + 130) == (at, at + 121 + 6 + 90)
+    assert pii.grown(text, at + 60, at + 130) == (at, at + len(long))
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(4)
+    tagger = pii.Tagger()
+    tagger.p["move"] = rng.normal(size=tagger.p["move"].shape)
+    em = rng.normal(size=(5, len(pii.TAGS)))
+    best = max(itertools.product(range(len(pii.TAGS)), repeat=5), key=lambda t: sum(em[i, k] for i, k in enumerate(t)) + sum(tagger.p["move"][a, b] for a, b in itertools.pairwise(t)))
+    assert tuple(tagger.decode(em)) == best
+
+
+def fitted(spark):
+    return pii.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+
+
+def test_recall_of_added_spans_on_other_texts(spark):
+    """Forms that the base patterns miss, in texts that the tagger was not trained on."""
+    tagger, rng = fitted(spark), np.random.default_rng(9)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    words = [w for t in sample("documents", 60) if t for w in t.split() if w.isalpha()]
+    few = lambda: " ".join(pick(words) for _ in range(rng.integers(6, 15)))
+    name = lambda: pick(words).lower().encode("ascii", "ignore").decode() or "ab"
+    digits = lambda n: "".join(str(rng.integers(10)) for _ in range(n))
+
+    def card():
+        d = "4" + digits(14)
+        return d + next(c for c in "0123456789" if pii.luhn(d + c))
+
+    forms = {
+        "email": [lambda: f"{name()}.{name()}[at]{name()}.com", lambda: f"{name()}{digits(2)} (at) {name()}.example.org", lambda: f"{name()}_{name()} [at] {name()} [dot] net"],
+        "phone": [lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}"],
+        "card": [lambda: ".".join(re.findall("....", card()))],
+    }
+    for kind, makers in forms.items():
+        for make in makers:
+            asked = [make() for _ in range(100)]
+            held = [f"{few()} {x} {few()}" for x in asked]
+            found = [{t[a:b] for a, b, k in spans if k == kind} for t, spans in zip(held, pii.tagged_spans(tagger, held), strict=True)]
+            assert sum(x in f for x, f in zip(asked, found, strict=True)) >= 90, (kind, asked[:2], sum(x in f for x, f in zip(asked, found, strict=True)))
+    clean = [f"{few()} {int(digits(4))} {few()} 3.5 {few()} 12-14 {few()}" for _ in range(200)]
+    assert sum(map(len, pii.tagged_spans(tagger, clean))) <= 2
+
+
+def test_sample_is_of_distinct_texts(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE_TEXTS", 5)
+    monkeypatch.setattr(pii, "TRAIN_DOCS", 30)
+    seen = []
+    monkeypatch.setattr(pii, "training_windows", lambda texts: seen.extend(texts) or (np.zeros((0, 64)), np.zeros((0, 64))))
+    frame = spark.createDataFrame([(i, "copy of a@b.example.com") for i in range(500)] + [(i, f"mail m{i}@b.example.com") for i in range(200)] + [(1, None)], "doc_id long, text string")
+    assert pii.fit(frame) is None
+    assert len(seen) == len(set(seen)) == 30

@@ -99,3 +99,10 @@ def test_scores_against_a_plain_version(spark):
         hits = [want[w] for w in toxicity.restored_words((texts[i] or "").encode(), scorer.model, {}) if w in want]
         z = scorer.coefficients @ [max(hits, default=0), min(sum(hits), 20), 1]
         assert abs(scorer.score((texts[i] or "").encode(), {}) - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_least_letters(spark):
+    m = model(spark)
+    for seen in ("1d10t", "l...o.s.e.r", "idiooot", "a*s#", "5tup!!d!!", "1111", "i d i o t", "x-1"):
+        words = all_readings(seen.replace(" ", "."), m)
+        assert min(map(len, words)) >= toxicity.least_letters(seen) > 0, seen
