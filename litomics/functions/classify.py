@@ -38,7 +38,9 @@ NO_CONTROL = (
 # What speaks for single cells and for bulk.
 SINGLE_CELL = (
     r"\bscRNA[\s\-]?seq\b|\bsingle[\s\-]cell\b|\b10x\s+chromium\b|\bChromium\s+10x\b|\bSmart[\s\-]?seq\b|\bDrop[\s\-]?seq\b|\bSEQ[\s\-]?Well\b"
-    r"|\bCEL[\s\-]?Seq\b|\bSCP\b(?=.*(?:single[\s\-]?cell|proteom))|\bscProteomics\b|\bspatial\s+transcriptomics?\b"
+    r"|\bCEL[\s\-]?Seq\b|\bSingle[\s\-]?Cell\s+Proteomics\b|\bSCP\b(?=.*(?:single[\s\-]?cell|proteom))|\bscProteomics\b"
+    r"|\bsingle[\s\-]cell\s+sequencing\b|\bsingle[\s\-]cell\s+RNA\b|\bsingle[\s\-]cell\s+ATAC\b|\bsingle[\s\-]cell\s+multi"
+    r"|\bspatial\s+transcriptomics?\b|\bspatial\s+single[\s\-]cell\b"
 )
 BULK = r"\bbulk\s+RNA[\s\-]?seq\b|\bbulk\s+sequencing\b|\bbulk\s+transcriptom|\bmicroarray\b"
 
@@ -75,14 +77,22 @@ def single_cell(text: Column) -> Column:
     return F.struct(value.alias("value"), F.round(score, 4).alias("score"))
 
 
-def access_type(source: Column, text: Column) -> Column:
-    """Open for open archives, controlled for those that are; sequence archives only on signs of controlled access."""
-    s = F.lower(F.coalesce(source, F.lit("")))
-    signs = F.coalesce(text, F.lit("")).rlike(r"(?i)\bdbgap\b|\bphs[0-9]{6}|controlled[\s\-]access")
-    return F.when(s.isin("geo", "pride", "gwas"), "open").when(s.isin("dbgap", "ega"), "controlled").when((s == "sra") & signs, "controlled").otherwise("unknown")
+def access_type(current: Column, source: Column, accession: Column, metadata: Column) -> Column:
+    """Where nothing is known yet: public for open archives; for sequence archives controlled on signs of controlled access, else still unknown."""
+    s, signs = F.lower(F.coalesce(source, F.lit(""))), F.lower(F.coalesce(metadata, F.lit("")))
+    closed = F.lower(F.coalesce(accession, F.lit(""))).startswith("phs") | signs.rlike("dbgap|phs0|controlled access")
+    found = F.when(s.isin("geo", "arrayexpress"), "public").when((s == "sra") & closed, "controlled").otherwise("unknown")
+    now = F.coalesce(current, F.lit("unknown"))
+    return F.when(now == "unknown", found).otherwise(now)
 
 
-def data_format(current: Column, source: Column, has_processed: Column, has_raw: Column) -> Column:
-    """Processed beats raw; only where nothing is known and the source does not say it itself."""
-    open_ = (F.coalesce(current, F.lit("unknown")) == "unknown") & (F.lower(F.coalesce(source, F.lit(""))) != "pride")
-    return F.when(open_ & has_processed, "processed").when(open_ & has_raw, "raw").otherwise(F.coalesce(current, F.lit("unknown")))
+# Types of files that tell processed data and raw data.
+PROCESSED_FILES, RAW_FILES = ("series_matrix", "supplementary", "cel"), ("fastq", "sra")
+
+
+def data_format(current: Column, source: Column, file_types: Column) -> Column:
+    """Processed files beat raw ones; only where nothing is known yet and the source does not say it itself."""
+    has = lambda kinds: F.arrays_overlap(F.coalesce(file_types, F.array().cast("array<string>")), F.array(*[F.lit(k) for k in kinds]))
+    now = F.coalesce(current, F.lit("unknown"))
+    open_ = (now == "unknown") & (F.lower(F.coalesce(source, F.lit(""))) != "pride_archive")
+    return F.when(open_ & has(PROCESSED_FILES), "processed").when(open_ & has(RAW_FILES), "raw").otherwise(now)

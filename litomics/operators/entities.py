@@ -42,7 +42,9 @@ def contexts(papers: DataFrame, mentions: DataFrame, key: str, splitter=T.senten
     papers: paper_id, text. Each paper is split once; its entities are looked for in each of its sentences."""
     split = papers.select("paper_id", F.posexplode_outer(splitter(F.col("text"))).alias("position", "sentence"))
     pairs = mentions.select("paper_id", key).distinct()
-    met = pairs.join(split, "paper_id").where(T.mentions(F.col("sentence"), F.col(key)))
+    # a part of the sentence is looked for first: a pattern built by row is compiled by row
+    part = F.contains(F.lower("sentence"), F.lower(F.col(key)))
+    met = pairs.join(split, "paper_id").where(part).where(T.mentions(F.col("sentence"), F.col(key)))
     return pairs.join(met, ["paper_id", key], "left").select("paper_id", key, F.coalesce("position", F.lit(-1)).alias("position"), "sentence")
 
 
@@ -52,6 +54,7 @@ def stale(papers: DataFrame, contexts_: DataFrame) -> DataFrame:
     return papers.join(last, "paper_id", "left").select("paper_id", (F.col("computed_at").isNull() | (F.col("computed_at") < F.col("updated_at"))).alias("computing"))
 
 
+# The words of a sentence that make a short symbol a gene's.
 BIO_CONTEXT = (
     r"(?i)\b(gene|protein|express|mutat|variant|allele|locus|transcript|mRNA|encod|regulat|pathway|receptor|kinase|inhibit|activat|phosphoryl"
     r"|knockout|knockdown|overexpress|silenc|polymorphism|SNP|amplif|delet|fusion|transloc|promoter|enhancer|exon|intron|domain|isoform|signaling"

@@ -44,6 +44,33 @@ def apply(rows: DataFrame, params: dict[str, object], *, equal: tuple[str, ...]
     return rows
 
 
+def json_has(document: Column, parent: str, key: str) -> Column:
+    """Whether an object inside a JSON text has a key, be its value null."""
+    keys = F.json_object_keys(F.get_json_object(document, parent))
+    return F.coalesce(F.array_contains(keys, key), F.lit(False))
+
+
+def paper_filters(rows: DataFrame, params: dict[str, object], categories: DataFrame | None = None) -> DataFrame:
+    """Papers by status, years, journal, type, abstract, free full text, relevance, job and clinical category.
+
+    rows: paper_id, curation_status, pub_year, journal, pub_type, abstract, pmc_id, relevance_score, ingestion_job. categories: paper_id, slug, many for a paper."""
+    out = apply(
+        rows, params, equal=("curation_status", "pub_type", "ingestion_job"), contains=("journal",), at_least={"pub_year_min": "pub_year"}, at_most={"pub_year_max": "pub_year"},
+        present={"has_abstract": "abstract", "free_full_text": "pmc_id"},
+    )
+    for name, sign in (("relevance_min", 1), ("relevance_max", -1)):
+        if params.get(name) is not None:
+            out = out.where(sign * F.col("relevance_score") >= sign * float(str(params[name])))
+    if params.get("clinical_category") and categories is not None:
+        out = with_match(out, categories.where(F.col("slug") == params["clinical_category"]), "paper_id")
+    return out
+
+
+def sample_filters(rows: DataFrame, params: dict[str, object]) -> DataFrame:
+    """Samples whose status is one of a list, and by parts of organism and platform."""
+    return apply(rows, params, one_of={"curation_status": "curation_status"}, contains=("organism", "platform"))
+
+
 def with_match(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """Rows whose key another table has; never more than once each."""
     return rows.join(others.select(key), key, "left_semi")
@@ -66,10 +93,16 @@ def high_value_queue(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).where("reason is not null").orderBy(F.when(F.col("reason") == "mixed", 0).otherwise(1), "added_at", "id")
 
 
-def bulk_update(rows: DataFrame, key: str, status: str, reason: str | None, ids: list | None = None, condition: Column | None = None) -> DataFrame:
-    """Rows with a new status, and a new reason if one is given, for the ids or the condition; exactly one of the two."""
+def bulk_update(rows: DataFrame, key: str, status: str, reason: str | None, ids: list | DataFrame | None = None, condition: Column | None = None) -> DataFrame:
+    """Rows with a new status, and a new reason if one is given, for the ids (a list, or a table with the key) or the condition; exactly one of the two."""
     if (ids is None) == (condition is None):
         raise ValueError("either ids or a condition")
-    hit = F.col(key).isin(ids) if ids is not None else condition
+    columns = rows.columns
+    if ids is not None:
+        listed = ids if isinstance(ids, DataFrame) else rows.sparkSession.createDataFrame([(i,) for i in ids], rows.select(key).schema)
+        rows = rows.join(listed.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left")
+    hit = F.coalesce(F.col("_hit"), F.lit(False)) if ids is not None else condition
     out = rows.withColumn("curation_status", F.when(hit, F.lit(status)).otherwise(F.col("curation_status")))
-    return out if reason is None else out.withColumn("curation_reason", F.when(hit, F.lit(reason)).otherwise(F.col("curation_reason")))
+    if reason is not None:
+        out = out.withColumn("curation_reason", F.when(hit, F.lit(reason)).otherwise(F.col("curation_reason")))
+    return out.select(columns)

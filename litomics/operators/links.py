@@ -49,3 +49,31 @@ def co_occurring(rows: DataFrame, group: str, item: str) -> DataFrame:
     left = rows.select(group, F.col(item).alias("a")).distinct()
     right = rows.select(group, F.col(item).alias("b")).distinct()
     return left.join(right, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_groups"))
+
+
+def resolved_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (pathway_id, source, target by entry id) with the node ids of both ends, null where an end is unknown."""
+    end = lambda name: nodes.select("pathway_id", F.col("entry_id").alias(name), F.col("node_id").alias(f"{name}_id"))
+    return edges.join(end("source"), ["pathway_id", "source"], "left").join(end("target"), ["pathway_id", "target"], "left")
+
+
+def edge_counts(resolved: DataFrame) -> DataFrame:
+    """Per pathway: edges with both ends, and those dropped for want of one."""
+    whole = F.col("source_id").isNotNull() & F.col("target_id").isNotNull()
+    return resolved.groupBy("pathway_id").agg(F.count_if(whole).alias("n_edges"), F.count_if(~whole).alias("n_dropped"))
+
+
+def with_linked(rows: DataFrame, key: str, links: DataFrame, others: DataFrame, other_key: str, project: DataFrame) -> DataFrame:
+    """Rows with `linked`, the other table's rows that they are linked with, sorted; only those that the project holds (a table with `other_key`)."""
+    inside = links.join(project.select(other_key).distinct(), other_key, "left_semi").join(others, other_key)
+    fields = [other_key, *[c for c in others.columns if c != other_key]]
+    lists = inside.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(*fields))).alias("linked"))
+    return rows.join(lists, key, "left").withColumn("linked", F.coalesce("linked", F.array()))
+
+
+def scope(*ids: DataFrame) -> DataFrame:
+    """All ids of several tables, each once: what has to be worked out again."""
+    out = ids[0]
+    for other in ids[1:]:
+        out = out.union(other)
+    return out.where(F.col(out.columns[0]).isNotNull()).distinct()

@@ -43,3 +43,23 @@ def page(rows: DataFrame, ordering: str | None, allowed: dict[str, Column], defa
     """One page of rows by an allowed ordering; any other ordering is the default."""
     first = allowed.get(ordering or default, allowed[default])
     return rows.orderBy(first, F.asc(tie)).offset((number - 1) * size).limit(size)
+
+
+def newest_first(rows: DataFrame, at: str, tie: str) -> DataFrame:
+    return rows.orderBy(F.desc_nulls_last(at), F.desc(tie))
+
+
+def report_slice(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows of a report in the order given, which has to tell all rows apart."""
+    return rows.orderBy(*order).limit(n)
+
+
+def first_author_countries(authors: DataFrame, papers: DataFrame, group: str, n: int = 30) -> DataFrame:
+    """The n most frequent countries of first authors (position 1) of included papers in each group; unknown ones left out before ranking."""
+    first = authors.where((F.col("position") == 1) & (F.coalesce("country", F.lit("")) != ""))
+    return top_groups(first.join(papers.where("included"), "paper_id"), group, "country", n)
+
+
+def category_counts(categories: DataFrame, papers: DataFrame, group: str) -> DataFrame:
+    """Included papers of each category in each group; a paper counts in each of its categories."""
+    return categories.join(papers.where("included"), "paper_id").groupBy(group, "category").agg(F.count("*").alias("n"))

@@ -61,7 +61,14 @@ def replaced(new: Column, old: Column) -> Column:
     return F.when(F.size(F.coalesce(new, F.array())) > 0, new).otherwise(old)
 
 
-RULES = {"longer": longer, "given": given, "known": known, "united": united, "replaced": replaced, "new": lambda n, o: n, "coalesce": F.coalesce, "old": lambda n, o: F.coalesce(o, n)}
+def over(new: Column, old: Column) -> Column:
+    """Maps as one, the new one's keys over the old one's."""
+    none = F.expr("cast(map() as map<string,string>)")
+    n, o = F.coalesce(new, none), F.coalesce(old, none)
+    return F.map_concat(F.map_filter(o, lambda k, v: ~F.map_contains_key(n, k)), n)
+
+
+RULES = {"over": over, "longer": longer, "given": given, "known": known, "united": united, "replaced": replaced, "new": lambda n, o: n, "coalesce": F.coalesce, "old": lambda n, o: F.coalesce(o, n)}
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, str]) -> DataFrame:
@@ -73,6 +80,25 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], rules: dict[str,
     return both.select(*keys, *[merge(c, r).alias(c) for c, r in rules.items()])
 
 
+#: How stored files of datasets, samples, raw variant effects and runs of samples take new ones.
+FILE_RULES = {"storage_key": "new", "size_bytes": "coalesce", "checksum_md5": "coalesce", "download_status": "new", "bytes_downloaded": "new", "error_message": "new"}
+SAMPLE_RULES = {"title": "longer", "source_name": "given", "organism": "given", "tax_id": "coalesce", "platform": "given", "characteristics": "over", "extra_metadata": "over"}
+VARIANT_RULES = {
+    "raw_magnitude": "coalesce", "raw_class": "new", "clinvar_significance": "new", "oncogenicity": "given", "am_pathogenicity": "coalesce", "confidence": "coalesce", "source_version": "new",
+}
+RUN_RULES = {"url": "new", "size_bytes": "new", "md5": "new"}
+
+
+def sample_upsert(stored: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFrame:
+    """Samples by accession: of a batch the first with an accession counts, then it is merged by SAMPLE_RULES."""
+    return upsert(stored, first_per_key(batch, ["accession"], F.asc(seq)), ["accession"], SAMPLE_RULES)
+
+
+def run_upsert(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Runs by sample and run; stored ones that a batch lacks stay."""
+    return upsert(stored, batch, ["sample_id", "run"], RUN_RULES)
+
+
 def insert_missing(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Stored rows, and new ones whose key is not stored; existing rows stay as they are."""
     return stored.unionByName(new.dropDuplicates(keys).join(stored.select(keys), keys, "left_anti").select(stored.columns))

@@ -29,13 +29,13 @@ def i2_plain_sentences(spark, sf):
 
 
 @query(f"""WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(string_split({_SPLIT}, chr(57345)), lambda x: trim(replace(x, chr(57344), '.'))), lambda x: x <> '')) AS sentence,
- unnest(range(len(list_filter(list_transform(string_split({_SPLIT}, chr(57345)), lambda x: trim(replace(x, chr(57344), '.'))), lambda x: x <> '')))) AS position FROM documents WHERE lang = 'en'),
- w AS (SELECT unnest(['idiot', 'clown', 'scum']) AS symbol), p AS (SELECT DISTINCT doc_id, symbol FROM documents, w WHERE lang = 'en' AND doc_id % 3 = len(symbol) % 3),
- m AS (SELECT p.doc_id, symbol, position, sentence FROM p JOIN s USING (doc_id) WHERE regexp_matches(sentence, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || symbol || '($|[^\\p{{L}}\\p{{N}}_])'))
+ unnest(range(len(list_filter(list_transform(string_split({_SPLIT}, chr(57345)), lambda x: trim(replace(x, chr(57344), '.'))), lambda x: x <> '')))) AS position FROM documents),
+ w AS (SELECT unnest(['idiot', 'clown', 'scum']) AS symbol), p AS (SELECT DISTINCT doc_id, symbol FROM documents, w),
+ m AS (SELECT p.doc_id, symbol, position, sentence FROM p JOIN s USING (doc_id) WHERE contains(lower(sentence), symbol) AND regexp_matches(sentence, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || symbol || '($|[^\\p{{L}}\\p{{N}}_])'))
  SELECT doc_id AS paper_id, symbol, CAST(coalesce(position, -1) AS BIGINT) AS position, length(sentence) AS chars FROM p LEFT JOIN m USING (doc_id, symbol)""")
 def i3_contexts(spark, sf):
-    d = t(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("paper_id"), "text")
-    pairs = d.select("paper_id", F.explode(F.array(*[F.lit(w) for w in ("idiot", "clown", "scum")])).alias("symbol")).where("paper_id % 3 = length(symbol) % 3")
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), "text")
+    pairs = d.select("paper_id", F.explode(F.array(*[F.lit(w) for w in ("idiot", "clown", "scum")])).alias("symbol"))
     return entities.contexts(d, pairs, "symbol").select("paper_id", "symbol", F.col("position").cast("long").alias("position"), F.length("sentence").cast("long").alias("chars"))
 
 
@@ -297,11 +297,11 @@ def j5_deltas(spark, sf):
     return matrices.deltas(values, paired)
 
 
-@query("""WITH r AS (SELECT l_suppkey AS tf, CAST(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END AS DOUBLE) AS x, CAST(l_quantity AS DOUBLE) AS y FROM lineitem WHERE l_linenumber <= 4),
+@query("""WITH r AS (SELECT l_suppkey AS tf, CAST(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END AS DOUBLE) AS x, CAST(l_quantity AS DOUBLE) AS y FROM lineitem),
  s AS (SELECT tf, count(*) AS n, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy FROM r GROUP BY 1)
  SELECT tf, n AS n_targets, CASE WHEN n >= 5 AND sxx > 1e-12 THEN round((sxy / sxx) / sqrt(((syy - sxy * sxy / sxx) / (n - 2)) / sxx), 6) END AS t FROM s""")
 def e21_ulm(spark, sf):
-    rows = t(spark, sf, "lineitem").where("l_linenumber <= 4").select(F.col("l_suppkey").alias("tf"), F.when(F.col("l_linenumber") % 2 == 0, 1.0).otherwise(-1.0).alias("x"), F.col("l_quantity").cast("double").alias("y"))
+    rows = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("tf"), F.when(F.col("l_linenumber") % 2 == 0, 1.0).otherwise(-1.0).alias("x"), F.col("l_quantity").cast("double").alias("y"))
     return matrices.ulm(rows, ["tf"], "x", "y").withColumn("t", F.round("t", 6))
 
 

@@ -322,14 +322,15 @@ def edges(spark, sf):
     o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus")
     c = t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("source"))
     s = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("target"))
-    rows = line.where("l_linenumber <= 2").join(o, "l_orderkey").join(c, "o_custkey").join(s, "l_suppkey")
+    rows = line.join(o, "l_orderkey").join(c, "o_custkey").join(s, "l_suppkey")
     pathway = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3).cast("long")
-    return rows.select(pathway.alias("pathway_id"), "source", "target", F.when(F.col("l_linenumber") == 2, 0).when(F.col("l_linestatus") == "F", 1).otherwise(-1).alias("sign")).where("source % 3 <> 1").distinct()
+    # a third of the nations stand in for their neighbour, so some nodes have no edges out
+    source = F.col("source") - F.when(F.col("source") % 3 == 1, 1).otherwise(0)
+    return rows.select(pathway.alias("pathway_id"), source.alias("source"), "target", F.when(F.col("l_linenumber") == 2, 0).when(F.col("l_linestatus") == "F", 1).otherwise(-1).alias("sign")).distinct()
 
 
-EDGES = """edges AS (SELECT DISTINCT CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS pathway_id, c_nationkey AS source, s_nationkey AS target,
- CASE WHEN l_linenumber = 2 THEN 0 WHEN l_linestatus = 'F' THEN 1 ELSE -1 END AS sign FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
- WHERE l_linenumber <= 2 AND c_nationkey % 3 <> 1)"""
+EDGES = """edges AS (SELECT DISTINCT CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS pathway_id, c_nationkey - CASE WHEN c_nationkey % 3 = 1 THEN 1 ELSE 0 END AS source, s_nationkey AS target,
+ CASE WHEN l_linenumber = 2 THEN 0 WHEN l_linestatus = 'F' THEN 1 ELSE -1 END AS sign FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
 CLASSED = f"""{EDGES}, nodes AS (SELECT CAST(r AS BIGINT) AS pathway_id, CAST(n_nationkey AS BIGINT) AS node_id, upper(n_name) AS gene FROM nation, (VALUES (1), (2), (3)) v(r)),
  seeds AS (SELECT upper(n_name) AS gene, count(*) AS n_seeds FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY 1),
  deg AS (SELECT pathway_id, source, count(*) AS o, count(*) FILTER (sign <> 0) AS s FROM edges GROUP BY 1, 2),
@@ -414,11 +415,9 @@ def b3_upsert(spark, sf):
     return upsert.upsert(stored, new, ["k"], {"name": "longer", "seg": "known", "types": "united"})
 
 
-@query("""WITH r AS (SELECT lang AS accession, doc_id AS seq, text, source FROM documents WHERE n_chars < 2000), b AS (SELECT accession, max(length(text)) AS m FROM r GROUP BY 1)
- SELECT accession, (SELECT min(seq) FROM r x WHERE x.accession = b.accession AND length(x.text) = b.m) AS title, (SELECT string_agg(DISTINCT source, ',' ORDER BY source) FROM r x WHERE x.accession = b.accession) AS omic_type,
- (SELECT CAST(max(seq) AS VARCHAR) FROM r x WHERE x.accession = b.accession) AS last FROM b""")
+@query("""SELECT lang AS accession, min_by(doc_id, (-length(text), doc_id)) AS title, string_agg(DISTINCT source, ',' ORDER BY source) AS omic_type, CAST(max(doc_id) AS VARCHAR) AS last FROM documents GROUP BY 1""")
 def b2_batch_merge(spark, sf):
-    r = t(spark, sf, "documents").where("n_chars < 2000").select(
+    r = t(spark, sf, "documents").select(
         F.col("lang").alias("accession"), F.col("doc_id").alias("seq"), F.col("text").alias("title"), F.col("text").alias("summary"), F.col("source").alias("omic_type"), F.array("source").alias("omics_layers"),
         F.create_map(F.lit("last"), F.col("doc_id").cast("string")).alias("metadata"), F.lit(1).alias("omics_count"), F.lit("unknown").alias("organism"),
     )

@@ -48,3 +48,26 @@ def provenance(datasets: DataFrame, axis: str, access: str, join_key: str) -> Da
 def write_version(rows: DataFrame, path: str, version: str) -> None:
     """Results by method version: writing one again replaces it and leaves the others."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(version).parquet(path)
+
+
+# What an export may show of a contract.
+CONTRACT = ("matrix_pointer", "proteomics_modality", "tissue_raw", "disease_raw", "ref_pmids", "ref_dois", "monogenic_gene_hit")
+
+
+def contract(metadata: Column, access: Column) -> Column:
+    """struct<contract, access_controlled>: the allowed keys of the metadata's contract, each as JSON text; null where there is no contract or an empty one."""
+    held = F.get_json_object(metadata, "$.contract")
+    keys = F.struct(*[F.get_json_object(held, f"$.{k}").alias(k) for k in CONTRACT])
+    there = F.size(F.coalesce(F.json_object_keys(held), F.array().cast("array<string>"))) > 0
+    return F.struct(F.when(there, keys).alias("contract"), F.coalesce(access == "controlled", F.lit(False)).alias("access_controlled"))
+
+
+def write_occurrences(rows: DataFrame, path: str) -> None:
+    """sample_accession, variant_key, gene_symbol, variant_classification as text with tabs and a header."""
+    columns = ["sample_accession", "variant_key", "gene_symbol", "variant_classification"]
+    rows.select(columns).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+
+
+def write_regulons(rows: DataFrame, path: str) -> None:
+    """tf, target, mode, sources, n_references as JSON lines; line breaks leave `sources`."""
+    rows.select("tf", "target", "mode", F.regexp_replace("sources", "[\\r\\n]", "").alias("sources"), "n_references").write.mode("overwrite").json(path)
