@@ -66,6 +66,7 @@ OUTER = ".,;:?\"'()[]{}<>%&=/\\"
 #: Signs that are letters or punctuation at a word's beginning and end.
 OPENING, CLOSING = "(", "!*#$|+("
 SIGN = re.compile(r"[0-9@$!|+(*#._~'-]")
+BULLETS = set("*# ._-")
 LETTER = re.compile("[a-z]")
 STRETCHED = re.compile(r"([a-z])\1\1")
 
@@ -188,7 +189,8 @@ def restored_words(text: bytes, model: CharModel, memo: dict[str, frozenset[byte
     line = text.translate(LOWER).decode("utf-8", "replace")
     fits = lambda w: longest is None or len(w) <= longest or least_letters(w) <= longest
     for w in {m[0] for m in SPACED.finditer(line)}:
-        if fits(w):
+        # a row of bullets alone may stand for anything and so says nothing
+        if fits(w) and set(w) - BULLETS:
             words |= readings({w}, model)
     for w in set(line.split()):
         found = memo.get(w)
