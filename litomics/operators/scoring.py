@@ -1,8 +1,8 @@
 """Pathway scores by signed random walk with restart, and their permutation null.
 
-The walk is linear in its seeds, so each pathway's influence matrix is worked out once; a score is then a dot product. Work is dealt by
-(pathway, block of samples): a pathway's graph, bounded by its nodes, goes to each of its blocks, samples of one pathway are many
-tasks. Draws depend on (seed, pathway, sample, permutation) alone, so results do not depend on how work is dealt."""
+The walk is linear in its seeds, so each pathway's influence matrix is worked out once, in a task of its own; a score is then a dot product. Scores are
+dealt by (pathway, block of samples): the finished matrix, bounded by the pathway's nodes, goes to each of its blocks, of which there are as many as
+the samples need. Draws depend on (seed, pathway, sample, permutation) alone, so results do not depend on how work is dealt."""
 
 from __future__ import annotations
 
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .topology import adjacency
 
 RESTART, MOST_STEPS, CLOSE = 0.3, 100, 1e-8
-BLOCK = 64
+#: Samples that one task scores on one pathway.
+BLOCK_SAMPLES = 2000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,7 +98,8 @@ def score(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, readouts: DataFr
 
     nodes: pathway_id, node_id, gene (null for nodes that carry no seed), in order of node_id. edges: pathway_id, source, target, sign. seeds: sample_id,
     gene, weight. readouts: pathway_id, node_id, sample_id, value (already averaged by rule). samples: sample_id."""
-    blocks = samples.select("sample_id", F.pmod(F.xxhash64("sample_id"), F.lit(BLOCK)).cast("int").alias("block"))
+    n_blocks = 1 + samples.count() // BLOCK_SAMPLES
+    blocks = samples.select("sample_id", F.pmod(F.xxhash64("sample_id"), F.lit(n_blocks)).cast("int").alias("block"))
     with_readout = readouts.select("pathway_id").distinct()
     weighted = adjacency(edges, unsigned)
     graph = (
@@ -108,45 +110,54 @@ def score(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, readouts: DataFr
     on_graph = nodes.where("gene is not null").select("pathway_id", F.upper("gene").alias("gene")).distinct().join(seeds.select("sample_id", F.upper("gene").alias("gene"), "weight"), "gene")
     seed_lists = on_graph.groupBy("pathway_id", "sample_id").agg(F.collect_list(F.struct("gene", "weight")).alias("seeds"))
     values = readouts.groupBy("pathway_id", "sample_id").agg(F.collect_list(F.struct("node_id", "value")).alias("values"))
-    pairs = with_readout.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1)))).join(blocks, "block")
+    pairs = with_readout.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
     work = (
         pairs.join(seed_lists, ["pathway_id", "sample_id"], "left").join(values, ["pathway_id", "sample_id"], "left").join(all_genes, "sample_id", "left")
         .select("pathway_id", "block", "sample_id", "seeds", "values", F.coalesce("n_seeds", F.lit(0)).alias("n_seeds"))
     )
 
+    def prepare(rows: pd.DataFrame) -> pd.DataFrame:
+        """The influence of each node that carries a gene, and what scores need of the graph."""
+        out = []
+        for g in rows.itertuples():
+            ids = [int(n["node_id"]) for n in g.nodes]
+            place = {v: i for i, v in enumerate(ids)}
+            e = [x for x in (g.edges if g.edges is not None else []) if int(x["source"]) in place and int(x["target"]) in place]
+            source, target = (np.array([place[int(x[c])] for x in e], int) for c in ("source", "target"))
+            w = dense(len(ids), source, target, np.array([x["weight"] for x in e], float))
+            carriers = np.array([i for i, n in enumerate(g.nodes) if n["gene"]], int)
+            f = influence(w, np.eye(len(ids))[carriers], restart) if len(carriers) else np.zeros((0, len(ids)))
+            quartile = quartiles(np.bincount(source, minlength=len(ids))[carriers]) if len(carriers) else np.zeros(0, int)
+            out.append((g.pathway_id, ids, [g.nodes[i]["gene"].upper() for i in carriers], quartile.tolist(), f.tobytes()))
+        return pd.DataFrame(out, columns=["pathway_id", "ids", "genes", "quartile", "influence"])
+
+    ready = graph.groupBy("pathway_id").applyInPandas(prepare, "pathway_id long, ids array<long>, genes array<string>, quartile array<int>, influence binary")
+
     def run(key: tuple, rows: pd.DataFrame, graphs: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(graphs):
             return pd.DataFrame(columns=[c.split()[0] for c in SCORES.split(", ")])
         pathway = int(key[0])
         g = graphs.iloc[0]
-        ids = [int(n["node_id"]) for n in g["nodes"]]
-        place = {v: i for i, v in enumerate(ids)}
+        place = {int(v): i for i, v in enumerate(g["ids"])}
         genes: dict[str, list[int]] = {}
-        for i, n in enumerate(g["nodes"]):
-            if n["gene"]:
-                genes.setdefault(n["gene"].upper(), []).append(i)
-        e = [x for x in (g["edges"] if g["edges"] is not None else []) if int(x["source"]) in place and int(x["target"]) in place]
-        source, target = (np.array([place[int(x[c])] for x in e], int) for c in ("source", "target"))
-        w = dense(len(ids), source, target, np.array([x["weight"] for x in e], float))
-        carriers = np.array(sorted(i for v in genes.values() for i in v), int)
-        f = influence(w, np.eye(len(ids))[carriers], restart) if len(carriers) else np.zeros((0, len(ids)))
-        local = {int(n): i for i, n in enumerate(carriers)}
-        quartile = quartiles(np.bincount(source, minlength=len(ids))[carriers]) if len(carriers) else np.zeros(0, int)
+        for i, gene in enumerate(g["genes"]):
+            genes.setdefault(gene, []).append(i)
+        f, quartile = np.frombuffer(g["influence"]).reshape(len(g["genes"]), len(place)), np.array(g["quartile"], int)
         out = []
         for r in rows.itertuples():
-            y = np.zeros(len(ids))
+            y = np.zeros(len(place))
             for v in r.values if r.values is not None else []:
                 if int(v["node_id"]) in place:
                     y[place[int(v["node_id"])]] += v["value"]
-            s = np.zeros(len(carriers))
+            s = np.zeros(len(f))
             mine = sorted(((x["gene"], x["weight"]) for x in r.seeds), key=lambda x: x) if r.seeds is not None else []
             for gene, weight in mine:
                 for i in genes[gene]:
-                    s[local[i]] += weight / len(genes[gene])
+                    s[i] += weight / len(genes[gene])
             at = np.flatnonzero(s)
             value, mean, sd, p, n = null_and_score(at, s[at], f @ y, quartile, n_permutations, seed, pathway, int(r.sample_id))
             out.append((pathway, int(r.sample_id), value, mean, sd, (value - mean) / sd if sd else 0.0, p, n, len(mine), int(r.n_seeds) - len(mine), int((y != 0).sum())))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCORES.split(", ")])
 
-    spread = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1))))
+    spread = ready.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     return work.groupBy("pathway_id", "block").cogroup(spread.groupBy("pathway_id", "block")).applyInPandas(run, SCORES)

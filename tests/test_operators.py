@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from litomics.functions import classify, genomics, text
 from litomics.operators import disease, entities, fdr, filters, links, matrices, scoring, seeds, stats, topology, upsert
+from litomics.sources import sinks
 
 
 def one(spark, expression, **values):
@@ -156,7 +157,7 @@ def test_draws_match_a_plain_generator():
             assert int(got[b, k]) == (state * 0x2545F4914F6CDD1D) & mask
 
 
-def test_scores_do_not_depend_on_partitions(spark):
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     nodes = spark.createDataFrame([(1, i, f"G{i}") for i in range(6)] + [(2, i, f"G{i}") for i in range(3)], "pathway_id long, node_id long, gene string")
     edges = spark.createDataFrame([(1, i, (i + 1) % 6, 1 if i % 2 else -1) for i in range(5)] + [(2, 0, 1, 0)], "pathway_id long, source long, target long, sign int")
     s = spark.createDataFrame([(k, f"G{(k + j) % 6}", 0.5 - j) for k in range(8) for j in range(2)], "sample_id long, gene string, weight double")
@@ -166,6 +167,8 @@ def test_scores_do_not_depend_on_partitions(spark):
     b = sorted(map(tuple, scoring.score(nodes.repartition(7), edges.repartition(5), s.repartition(3), readouts.repartition(6), samples.repartition(4), 50).collect()))
     assert len(a) == 9 and {r[0] for r in a} == {1}
     assert a == b
+    monkeypatch.setattr(scoring, "BLOCK_SAMPLES", 2)
+    assert a == sorted(map(tuple, scoring.score(nodes, edges, s, readouts, samples, 50).collect()))
     degenerate = next(r for r in a if r[1] == 8)
     assert degenerate[2:8] == (0.0, 0.0, 0.0, 0.0, 1.0, 0)
 
@@ -224,3 +227,28 @@ def test_disease_names(spark):
     hits = spark.createDataFrame([(1, "monogenic", "cystic fibrosis", 1.0), (1, "complex", "fibrosis", 1.0), (2, "complex", "diabetes", 0.9), (2, "monogenic", "rett", 0.95)], "id int, axis string, name string, ratio double")
     kept = disease.longest_only(hits)
     assert {r["id"]: r["axis"] for r in disease.axis(kept).collect()} == {1: "monogenic", 2: "mixed"}
+
+
+def test_bulk_update_by_ids(spark):
+    rows = spark.createDataFrame([(i, "new", None) for i in range(4)], "id int, curation_status string, curation_reason string")
+    want = [(0, "new", None), (1, "out", "why"), (2, "new", None), (3, "out", "why")]
+    ids = spark.createDataFrame([(1,), (3,), (3,), (9,)], "id int")
+    for given in ([1, 3, 9], ids):
+        assert sorted(map(tuple, filters.bulk_update(rows, "id", "out", "why", ids=given).collect())) == want
+
+
+def test_single_cells_and_controls(spark):
+    texts = {
+        "SingleCell Proteomics of liver": ("single_cell", 0.9), "scRNA-seq and single cell atlas": ("single_cell", 0.92), "bulk RNA-seq": ("bulk", 0.75), "microarray, bulk sequencing": ("bulk", 0.8),
+        "single-cells": ("unknown", 0.0), "10x chromium vs bulk RNA-seq": ("single_cell", 0.9), "SCP in proteomics": ("single_cell", 0.9), "SCP alone": ("unknown", 0.0), "spatial single-cell maps": ("single_cell", 0.9),
+    }
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", classify.single_cell(F.col("t")).alias("r"))
+    assert {r["t"]: (r["r"]["value"], r["r"]["score"]) for r in frame.collect()} == texts
+
+
+def test_plain_text_artefacts(spark, tmp_path):
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    sinks.write_occurrences(spark.createDataFrame([("S1", "1:2:A:T", "TP53", "Missense")], "sample_accession string, variant_key string, gene_symbol string, variant_classification string").coalesce(1), a)
+    assert [r["value"] for r in spark.read.text(a).collect()] == ["sample_accession\tvariant_key\tgene_symbol\tvariant_classification", "S1\t1:2:A:T\tTP53\tMissense"]
+    sinks.write_regulons(spark.createDataFrame([("MYC", "TP53", 1, 'a"b\nc', 3)], "tf string, target string, mode int, sources string, n_references int").coalesce(1), b)
+    assert [r["value"] for r in spark.read.text(b).collect()] == ['{"tf":"MYC","target":"TP53","mode":1,"sources":"a\\"bc","n_references":3}']
