@@ -45,6 +45,7 @@ UNITS = frozenset(
     b" h hr hour hours day days week weeks month months year years c f k kelvin percent dollar dollars euro euros cent cents j kj w kw v a hz khz mhz".split()
 )
 OUTER = b".,;:!?\"'()[]{}<>*#&%$|_-/\\=+~`"
+DIGITS = frozenset(b"0123456789")
 LITERAL, NUM, NAME, UNIT = range(4)
 CLOSED, OPEN, PLAIN = range(3)
 #: Tells windows of plain words from those of templates.
@@ -73,12 +74,18 @@ class Canon(dict):
         return self.hashes, self.flags
 
     def __missing__(self, raw: bytes) -> int:
-        bare = raw.strip(OUTER)
-        word = bare.lower() or raw
-        number = bool(NUMBER.fullmatch(raw.strip(b".,;:!?\"'()[]{}"))) or word in NUMBER_WORDS
-        capital = bare[:1].isupper() and not bare[1:].isupper()
+        if raw.islower() and raw.isalpha():
+            # most words: nothing to strip, no digit, no capital, no end
+            row = (xxh3_64_intdigest(raw), raw in NUMBER_WORDS, False, raw in UNITS, False)
+        else:
+            bare = raw.strip(OUTER)
+            word = bare.lower() or raw
+            number = word in NUMBER_WORDS or not DIGITS.isdisjoint(bare) and bool(NUMBER.fullmatch(raw.strip(b".,;:!?\"'()[]{}")))
+            capital = not number and bare[:1].isupper() and not bare[1:].isupper()
+            end = not raw[-1:].isalnum() and raw.rstrip(b"\"')]*")[-1:] in b".!?" and bool(bare)
+            row = (xxh3_64_intdigest(word), number, capital, word in UNITS, end)
         self[raw] = i = self.size + len(self.new)
-        self.new.append((xxh3_64_intdigest(word), number, capital and not number, word in UNITS, raw.rstrip(b"\"')]*")[-1:] in b".!?" and bool(bare)))
+        self.new.append(row)
         return i
 
 
