@@ -1,6 +1,6 @@
 import json
 
-from litomics.sources import archives
+from litomics.sources import archives, documents, tables
 
 
 def put(tmp_path, name, text):
@@ -59,3 +59,24 @@ def test_sequence_samples(spark, tmp_path):
     xml = "<SAMPLE_SET>" + s("SRS1", "one", ("Cell Line", "HeLa"), ("age", "3"), ("cell line", "K562")) + s("SRS1", "again") + s("", "none") + s("SRS2", "two") + "</SAMPLE_SET>"
     rows = {r["accession"]: tuple(r)[1:] for r in archives.sequence_samples(spark, put(tmp_path, "s.xml", xml)).collect()}
     assert rows == {"SRS1": ("one", "Homo sapiens", 9606, {"cell_line": "K562", "age": "3"}), "SRS2": ("two", "Homo sapiens", 9606, {})}
+
+
+def test_series_summaries(spark, tmp_path):
+    rows = [{"accession": "A1", "bioproject": "PRJ9;PRJ8", "gse": "12", "title": "t", "taxon": "Homo sapiens", "n_samples": "7"}, {"gse": "34;35", "n_samples": "many"}, {"gse": "GSE5"}, {"accession": "A2"}, {"title": "no accession"}]
+    got = {r["accession"]: (r["organism"], r["n_samples"]) for r in documents.series_summaries(spark, put(tmp_path, "s.jsonl", "\n".join(map(json.dumps, rows)))).collect()}
+    assert got == {"PRJ9": ("Homo sapiens", 7), "GSE34": (None, None), "GSE5": (None, None), "A2": (None, None)}
+
+
+def test_disorders(spark, tmp_path):
+    def gene(symbol, validation):
+        return f"<DisorderGeneAssociation><SourceOfValidation>{validation}</SourceOfValidation><Gene><Symbol>{symbol}</Symbol></Gene></DisorderGeneAssociation>"
+
+    xml = f'<JDBOR><DisorderList><Disorder id="1"><Name lang="en">Rett</Name><DisorderGeneAssociationList count="2">{gene("mecp2", "12[PMID]")}{gene("CDKL5", "")}</DisorderGeneAssociationList></Disorder></DisorderList></JDBOR>'
+    assert sorted(map(tuple, documents.disorders(spark, put(tmp_path, "o.xml", xml)).collect())) == [("Rett", "CDKL5", "not_assessed"), ("Rett", "MECP2", "assessed")]
+
+
+def test_names_and_gene_diseases(spark, tmp_path):
+    tsv = "DATE\tDISEASE/TRAIT\tMAPPED_TRAIT\n1\t Height \tx\n2\tHeight\ty\n3\t\tz\n4\tAsthma\tw\n"
+    assert sorted(r["name"] for r in tables.trait_names(spark, put(tmp_path, "g.tsv", tsv)).collect()) == ["Asthma", "Height"]
+    csv = "gene symbol,hgnc id,disease name,confidence\nmecp2,6990,Rett,Definitive\nMECP2,HGNC:6990,Rett,strong\n,1,None,x\n"
+    assert [tuple(r) for r in tables.gene_disease(spark, put(tmp_path, "g.csv", csv)).collect()] == [("Rett", "MECP2", "HGNC:6990", "definitive")]
