@@ -14,18 +14,16 @@ def adjust(scores: DataFrame, scope: str) -> DataFrame:
 
     Rows with null_sd 0 are no tests: they leave the families, get no q and a family of 0. Equal p end with equal q."""
     part, suffix = SCOPES[scope]
-    tests = F.col("null_sd") != 0
-    family = Window.partitionBy(part, F.col("is_test"))
-    by_p = family.orderBy("p_empirical", "id")
+    is_test = F.coalesce(F.col("null_sd") != 0, F.lit(False))
+    q, method, m = f"q_value_{suffix}", f"fdr_method_{suffix}", f"fdr_n_tests_{suffix}"
+    family = Window.partitionBy(part)
     down = family.orderBy(F.desc("rk")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = scores.withColumn("is_test", tests).withColumn("rk", F.row_number().over(by_p)).withColumn("m", F.count("*").over(family))
+    ranked = scores.where(is_test).withColumn("rk", F.row_number().over(family.orderBy("p_empirical", "id"))).withColumn("m", F.count("*").over(family))
     step = F.least(F.col("p_empirical") * F.col("m") / F.col("rk"), F.lit(1.0))
-    return (
-        ranked.withColumn(f"q_value_{suffix}", F.when(F.col("is_test"), F.min(step).over(down)))
-        .withColumn(f"fdr_method_{suffix}", F.lit("benjamini_hochberg"))
-        .withColumn(f"fdr_n_tests_{suffix}", F.when(F.col("is_test"), F.col("m")).otherwise(F.lit(0)))
-        .drop("is_test", "rk", "m")
-    )
+    done = lambda rows, value, size: rows.withColumns({q: value, method: F.lit("benjamini_hochberg"), m: size})
+    tested = done(ranked, F.min(step).over(down), F.col("m")).drop("rk", "m")
+    # rows that are no tests need no rank, so they are neither shuffled nor sorted
+    return tested.unionByName(done(scores.where(~is_test), F.lit(None).cast("double"), F.lit(0).cast("long")))
 
 
 def taxonomy(pathways: DataFrame, scores: DataFrame, threshold: float = 0.05) -> DataFrame:

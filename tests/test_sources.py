@@ -96,3 +96,20 @@ def test_stream_of_mentions(spark, tmp_path):
     spark.createDataFrame([(1, "A", 7)], "paper_id long, symbol string, mention_count long").withColumn("ts", F.current_timestamp()).coalesce(1).write.mode("append").parquet(landing)
     mentions.merge_files(spark, landing, table, checkpoint).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(f"{table}/v=1").collect()) == [(1, "A", 7), (2, "B", 1)]
+
+
+def test_windows_of_mentions(spark, tmp_path):
+    """Windows close behind the watermark; a row later than it is not counted in any."""
+    landing, out, checkpoint = (str(tmp_path / x) for x in ("landing", "out", "checkpoint"))
+
+    def arrive(rows):
+        frame = spark.createDataFrame(rows, "paper_id long, symbol string, mention_count long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        frame.coalesce(1).write.mode("append").parquet(landing)
+        stream = mentions.windowed(spark.readStream.schema(mentions.SCHEMA).parquet(landing))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    arrive([(1, "A", 2, "2026-01-01 00:01:00"), (2, "A", 3, "2026-01-01 00:04:00"), (3, "B", 1, "2026-01-01 00:06:00")])
+    arrive([(4, "A", 5, "2026-01-01 01:00:00")])
+    arrive([(5, "A", 9, "2026-01-01 00:02:00"), (6, "A", 1, "2026-01-01 02:00:00")])
+    closed = spark.read.parquet(out).select(F.date_format("window.start", "HH:mm").alias("at"), "symbol", "mentions")
+    assert sorted(tuple(r) for r in closed.collect()) == [("00:00", "A", 5), ("00:05", "B", 1), ("01:00", "A", 5)]
