@@ -2,17 +2,17 @@
 
 Training spans come from the texts themselves: windows around matches of the base patterns, and the same windows with
 the match rewritten in forms that the patterns miss (no plus sign, spelt-out signs), at most TRAIN_WINDOWS of them. The texts are a
-sample of about SAMPLE_TEXTS distinct ones by a hash, larger where few of them hold personal data; only the surroundings of triggers in at most
+sample of about SAMPLE_TEXTS distinct ones by a hash, larger where few of them hold personal data; only the first TRAIN_NEAR surroundings of signs in at most
 TRAIN_DOCS of them reach the driver.
 
-Tagging: every kind of personal data here holds a digit, an `@` or a spelt-out sign such as `[at]` or `(dot)`, so each of these in the whole
+Tagging: every kind of personal data here holds a digit, an `@` or a spelt-out sign such as `[at]`, `(dot)` or `at` with a `dot` after the next word, so each of these in the whole
 text is a trigger. Around a sign of an address the whole run of address characters on both sides belongs to the surroundings, however
 long. Windows of WINDOW characters, half of each shared with the next, cover the surroundings of all triggers. The emissions of
 overlapping windows are averaged, weighted towards each window's middle, and one Viterbi pass decodes the whole stretch. The network proposes;
 tagged spans that overlap no base span, and that pass their kind's check (signs of an address, four numbers, Luhn, number of digits), are
 added; a tagged address grows to the ends of its run first.
 
-Nulls: a null text is empty and has no spans. Repeated rows stay. An empty table gives an empty result. Without training matches
+Nulls: a null text is empty and has no spans; a null doc_id is carried along. Repeated rows stay. Other columns are ignored by find_pii and kept by redact, whatever their names. An empty table gives an empty result. Without training matches
 nothing is added. No text is cut: memory follows the longest text.
 """
 
@@ -32,9 +32,11 @@ from .common import small_batches, table, text_chunks
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_WINDOWS = 4000
 TRAIN_DOCS = 1200
+#: Surroundings of signs in one text of the sample that are trained on.
+TRAIN_NEAR = 20
 SAMPLE_TEXTS = 10_000
 WINDOW, STRIDE, AROUND = 64, 32, 28
-HIDDEN, EMBED, STEPS, BATCH, RATE = 16, 12, 240, 48, 0.02
+HIDDEN, EMBED, STEPS, BATCH, RATE = 16, 12, 400, 48, 0.02
 #: Rewritten forms of a match that are trained on.
 REWRITTEN = 4
 
@@ -49,10 +51,11 @@ DIGIT = re.compile("[0-9]")
 #: Runs of more digits are part of no span.
 MOST_DIGITS = 19
 SIGN = re.compile("[0-9@]")
-#: Signs of an address that are spelt out.
-AT, DOT = r"[\[(]\s?(?i:at)\s?[\])]", r"[\[(]\s?(?i:dot)\s?[\])]"
+#: Signs of an address that are spelt out: in brackets of any kind, or as words of their own where both stand together.
+AT = r"(?:[\[({<]\s?(?i:at?)\s?[\])}>]|(?<=\s)(?i:at)(?=\s[A-Za-z0-9-]++\s(?i:dot)\s))"
+DOT = r"(?:[\[({<]\s?(?i:dot)\s?[\])}>]|(?<=\s)(?i:dot)(?=\s))"
 TRIGGER = re.compile(f"(?<![0-9])[0-9]{{1,{MOST_DIGITS}}}+(?![0-9])|@|{AT}|{DOT}")
-ADDRESS = re.compile(f"@|{AT}")
+ADDRESS, SPELT = re.compile(f"@|{AT}"), re.compile(f"{AT}|{DOT}")
 
 
 def luhn(digits: str) -> bool:
@@ -85,7 +88,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
         out += [(a, b, "email") for a, b in _emails(text)]
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
                 out.append((m.start(), m.end(), "ip"))
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -104,11 +107,11 @@ def ordered(spans: list[tuple[int, int, str]]) -> str:
 
 # --- the tagger -------------------------------------------------------------------------------------------------------
 
-#: Characters with a code of their own; letters are folded and share codes by ten, all else is one code.
+#: Characters with a code of their own; small letters share a code, as do capitals, those of spelt-out signs, and all else.
 _SIGNS = "0123456789@.-+()_% \n,:;#/*'\"[]"
 _CODE = {c: i + 1 for i, c in enumerate(_SIGNS)}
-_LETTER, _CAPITAL, _OTHER = len(_SIGNS) + 1, len(_SIGNS) + 2, len(_SIGNS) + 3
-VOCABULARY = _OTHER + 1
+_LETTER, _CAPITAL, _OTHER, _SPELT = len(_SIGNS) + 1, len(_SIGNS) + 2, len(_SIGNS) + 3, len(_SIGNS) + 4
+VOCABULARY = _SPELT + 1
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 
 
@@ -116,7 +119,10 @@ _TABLE = np.array([_CODE.get(chr(i)) or (_LETTER if "a" <= chr(i) <= "z" else _C
 
 
 def codes(text: str) -> np.ndarray:
-    return _TABLE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 128)]
+    out = _TABLE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 128)]
+    for m in SPELT.finditer(text):
+        out[m.start() : m.end()] = _SPELT
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -268,17 +274,21 @@ def stretches(text: str) -> list[tuple[int, int]]:
 
 #: What an address may go on with: letters of a domain, and dots, spelt out or not, before one.
 ONWARD = re.compile(rf"(?:[A-Za-z0-9-]|\.(?=[A-Za-z0-9])|\s?{DOT}\s?(?=[A-Za-z0-9]))*+")
-STARTS_WITH_SIGN, ENDS_WITH_SIGN = re.compile(rf"\s?{AT}"), re.compile(rf"{AT}\s?\Z")
+#: Characters between a tagged piece and the sign of its address.
+NEAR = 6
 
 
 def grown(text: str, a: int, b: int) -> tuple[int, int]:
-    """A tagged address, up to the ends of the runs that it lies in; from a spelt-out sign on, over the blank beside it."""
-    if STARTS_WITH_SIGN.match(text, a) and text[a - 1 : a].isspace():
-        a -= 1
+    """A tagged address, as far as the runs on both sides of its first sign reach, over one blank beside a spelt-out one; as it is where it has no sign."""
+    m = ADDRESS.search(text, max(0, a - NEAR), b + NEAR + WINDOW)
+    if m is None or m.start() > b + NEAR:
+        return a, b
+    a, b = m.start(), m.end()
+    if m[0] != "@":
+        a -= text[a - 1 : a].isspace()
+        b += text[b : b + 1].isspace()
     while a > 0 and text[a - 1] in LOCAL:
         a -= 1
-    if ENDS_WITH_SIGN.search(text[max(a, b - 8) : b]) and text[b : b + 1].isspace():
-        b += 1
     return a, ONWARD.match(text, b).end()
 
 
@@ -298,8 +308,8 @@ _WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(
 FITS = {
     "email": lambda s: bool(re.search(rf"[^\s@](@|\s?{AT}\s?)[A-Za-z0-9-]+(\.|\s?{DOT}\s?)[A-Za-z]", s)),
     "ip": lambda s: bool(re.fullmatch(r"[0-9]{1,3}([.,:-][0-9]{1,3}){3}", s)),
-    "card": lambda s: 14 <= sum("0" <= c <= "9" for c in s) <= 19 and not re.search(r"[^0-9 .-]", s) and luhn(re.sub("[^0-9]", "", s)),
-    "phone": lambda s: 10 <= sum("0" <= c <= "9" for c in s) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][ ().0-9-]+[0-9]", s)) and bool(re.search(r"[ ().-]", s)) and not re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s),
+    "card": lambda s: 14 <= sum("0" <= c <= "9" for c in s) <= 19 and not re.search(r"[^0-9 ._/-]", s) and luhn(re.sub("[^0-9]", "", s)),
+    "phone": lambda s: 10 <= sum("0" <= c <= "9" for c in s) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][ ()./0-9-]+[0-9]", s)) and bool(re.search(r"[ ()./-]", s)) and not re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s),
 }
 
 
@@ -331,11 +341,7 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
             for k, tag in enumerate([*tags, 0]):
                 if kind >= 0 and tag != 2 * kind + 2:
                     span = (a + start, a + k)
-                    # runs end at signs, so only a piece with one can fit once grown
-                    if KINDS[kind] == "email" and ADDRESS.search(texts[i][span[0] : span[1]]):
-                        span = grown(texts[i], *span)
-                    elif KINDS[kind] != "email":
-                        span = whole_digits(texts[i], *span)
+                    span = grown(texts[i], *span) if KINDS[kind] == "email" else whole_digits(texts[i], *span)
                     if FITS[KINDS[kind]](texts[i][span[0] : span[1]]) and not (out[i] and span[0] < out[i][-1][1]):
                         out[i].append((*span, KINDS[kind]))
                     kind = -1
@@ -361,7 +367,9 @@ def rewritten(found: str, kind: str, rng: np.random.Generator) -> str | None:
         labels = [anew(x) for x in labels[-int(rng.integers(2, len(labels) + 1)) : -1]] + [pick(labels[-1], "com", "org", "net", "de")]
         local = pick(anew(local), anew(local.split(".")[0]), anew(local).replace(".", "_"))
         blank = pick("", " ")
-        at, dot = blank + pick("[at]", "(at)", "[AT]", "(At)") + blank, pick(".", ".", ".", blank + pick("[dot]", "(dot)", "[DOT]") + blank)
+        at, dot = blank + pick("[at]", "(at)", "[AT]", "(At)", "{at}", "<at>") + blank, pick(".", ".", ".", blank + pick("[dot]", "(dot)", "[DOT]", "{dot}", "<dot>") + blank)
+        if rng.integers(4) == 0:
+            at, dot = pick(" at ", " at ", " AT "), pick(" dot ", " dot ", " DOT ")
         return local + at + dot.join(labels)
     return None
 
@@ -409,7 +417,7 @@ def fit(docs: DataFrame) -> Tagger | None:
     while True:
         # equal texts have one hash: a group of copies is in or out as one, and counts once
         some = docs.select("text", F.xxhash64("text", F.lit(29)).alias("h")).where(F.pmod("h", F.lit(fine)) < int(share * fine))
-        texts = some.where(holds).select("h", F.array_join(F.slice(near, 1, 20), " ").alias("near")).groupBy("h").agg(F.min("near").alias("near"))
+        texts = some.where(holds).select("h", F.array_join(F.slice(near, 1, TRAIN_NEAR), " ").alias("near")).groupBy("h").agg(F.min("near").alias("near"))
         rows = texts.orderBy("h").limit(TRAIN_DOCS).collect()
         if len(rows) >= TRAIN_DOCS or share >= 1:
             break

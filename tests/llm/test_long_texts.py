@@ -7,7 +7,7 @@ import pytest
 from litomics.llm import minhash, packing, pii, quality, secrets, sharding, substrings, templates, toxicity
 
 MB = 1_000_000
-UNITS = ["1", "1+", "ab/", " ", "\n", "@", "a ", "1a", "x", "* ", "*", "1.", "token ", "a@b.", "0123456789abcdef ", "é", "[at]", "A1b2C3"]
+UNITS = ["1", "1+", "ab/", " ", "\n", "@", "a ", "1a", "x", "* ", "*", "1.", "token ", "a@b.", "0123456789abcdef ", "é", "[at]", "A1b2C3", "0", " at b dot ", "i - "]
 SECONDS = 240
 
 LABELS = "/root/testdata/sf0.001/labels.parquet"
@@ -29,7 +29,7 @@ OPERATORS = {
 def long_texts(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("long") / "documents.parquet")
     few = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()]
-    rows = [(i, (u * (MB // len(u) + 1))[:MB]) for i, u in enumerate(UNITS)] + [(100 + i, t) for i, t in enumerate(few)]
+    rows = [(i, (u * (MB // len(u) + 1))[:MB]) for i, u in enumerate(UNITS)] + [(99, "x " + "0" * MB + ".1.1.1 y")] + [(100 + i, t) for i, t in enumerate(few)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(path)
     return spark.read.parquet(path)
 
