@@ -1,14 +1,14 @@
 """Toxicity by a noisy channel: Viterbi-decode disguised words under a character model, then score the restored text.
 
 The character model is a trigram model counted over all documents. A word is disguised if digits or signs stand among its
-letters, a letter repeats three times or more, or single characters stand in a row. Its lattice has, for each character, the letters
+letters, a letter repeats three times or more, every letter stands twice, or single characters stand in a row, whatever stands between them. Its lattice has, for each character, the letters
 it may stand for, the skip of a separator, and the skip of a repeated letter; the best path under channel and model replaces it. Words
 with one path only (letters, no repeats) are what they are, without a lattice. Signs at a word's edge may be letters or punctuation, so
-such a word is decoded with and without them. In words longer than LONGEST, runs of one character are folded to three first.
+such a word is decoded with and without them. Runs of one character are folded to three first. A word cut into pieces of several letters by blanks is not put together.
 
 Word weights and the final logistic function are learned from at most TRAIN_ROWS labelled documents, taken by a hash of
 doc_id, whose crc32(doc_id) mod 4 is not 2. Labels, lang, source and doc_id are no inputs of a score. Their texts stay in tasks: the driver
-gets the MOST_WORDS heaviest words and three numbers for each of these documents. MOST_WORDS is the size of the classifier, not a cut of any text.
+gets the MOST_WORDS heaviest words and three numbers for each of these documents. MOST_WORDS is the size of the classifier and MOST_LETTERS the length of its longest word, not cuts of any text.
 
 Nulls: a null text is empty and gets the score of a text without known words; a null doc_id counts as empty text in the
 fold; null labels are no labels. Without labels of both kinds every score is 0. Repeated rows stay. An empty table gives an empty
@@ -35,8 +35,6 @@ LEAST_DOCS = 3
 #: Standard errors taken off a log odds ratio before it counts.
 CAUTION = 2.5
 THRESHOLD = 0.3
-#: In a longer word, runs of one character are folded before it is decoded.
-LONGEST = 32
 #: Letters of the longest word that can have a weight. A seen word of any length is decoded if a reading of it can be that short.
 MOST_LETTERS = 64
 #: Longer words are decoded anew each time, so that the memo stays small.
@@ -60,15 +58,18 @@ for _i in range(128):
 FOLD = bytes(_FOLD)
 LOWER = bytes((c + 32 if 65 <= c <= 90 else c) for c in range(256))
 
-#: Single characters in a row. Characters and what stands between them share no sign, so there is one way only to read a row.
-SPACED = re.compile(r"(?<!\S)[a-z0-9@$!*#](?:[ ._-]{1,2}[a-z0-9@$!*#]){2,}(?=[\s.,;:?\"')]|$)")
+#: Single characters in a row, with any signs and blanks between them, as many as there are. Characters and what stands between them share no sign, so there is one way only to read a row.
+ONE, BETWEEN = "[a-z0-9@$!*#](?![a-z0-9@$\x80-\U0010ffff])", "[^a-z0-9@$!*#\x80-\U0010ffff]"
+SPACED = re.compile(rf"(?<!\S){ONE}(?:{BETWEEN}++{ONE}){{2,}}+")
+BETWEEN = re.compile(BETWEEN)
 OUTER = ".,;:?\"'()[]{}<>%&=/\\"
 #: Signs that are letters or punctuation at a word's beginning and end.
 OPENING, CLOSING = "(", "!*#$|+("
 SIGN = re.compile(r"[0-9@$!|+(*#._~'-]")
-BULLETS = set("*# ._-")
 LETTER = re.compile("[a-z]")
 STRETCHED = re.compile(r"([a-z])\1\1")
+#: Every letter twice.
+DOUBLED = re.compile(r"(?:([a-z])\1){3,}+\Z")
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -154,7 +155,7 @@ def squeezed(word: str) -> str:
 
 def disguised(raw: str) -> set[str]:
     """The readings of a word between blanks that have to be decoded: without signs at its edges, and with those that may be letters."""
-    if not LETTER.search(raw) or raw.isalpha() and not STRETCHED.search(raw):
+    if not LETTER.search(raw) or raw.isalpha() and not STRETCHED.search(raw) and not DOUBLED.match(raw):
         return set()
     bare = raw.strip(OUTER)
     left = raw.lstrip(OUTER.replace(OPENING, ""))
@@ -162,14 +163,14 @@ def disguised(raw: str) -> set[str]:
     for w in (bare, left.rstrip(OUTER)):
         w = w.rstrip(OUTER.replace("(", ""))
         out |= {w, w.rstrip(CLOSING + OUTER)}
-    out = {w for w in out if LETTER.search(w) and (not w.isalpha() and SIGN.search(w) or STRETCHED.search(w))}
-    return {w if len(w) <= LONGEST else re.sub(r"(.)\1{3,}", r"\1\1\1", w) for w in out}
+    out = {w for w in out if LETTER.search(w) and (not w.isalpha() and SIGN.search(w) or STRETCHED.search(w) or DOUBLED.match(w))}
+    return {re.sub(r"(.)\1{3,}", r"\1\1\1", w) for w in out} | {w[::2] for w in out if DOUBLED.match(w)}
 
 
 def readings(seen: set[str], model: CharModel) -> frozenset[bytes]:
     out = set()
     for w in seen:
-        word = model.decode(re.sub(r"\s+", " ", w))
+        word = model.decode(w)
         if word:
             out |= {word.encode(), squeezed(word).encode()}
     return frozenset(out)
@@ -188,9 +189,9 @@ def restored_words(text: bytes, model: CharModel, memo: dict[str, frozenset[byte
     words = set(text.translate(FOLD).split())
     line = text.translate(LOWER).decode("utf-8", "replace")
     fits = lambda w: longest is None or len(w) <= longest or least_letters(w) <= longest
-    for w in {m[0] for m in SPACED.finditer(line)}:
-        # a row of bullets alone may stand for anything and so says nothing
-        if fits(w) and set(w) - BULLETS:
+    for w in {BETWEEN.sub("", m[0]) for m in SPACED.finditer(line)}:
+        # a row of bullets or digits alone may stand for anything and so says nothing
+        if LETTER.search(w) and fits(w):
             words |= readings({w}, model)
     for w in set(line.split()):
         found = memo.get(w)

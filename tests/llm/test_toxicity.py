@@ -13,7 +13,8 @@ def model(spark):
 
 def test_decoding(spark):
     m = model(spark)
-    for seen, word in [("1d10t", "idiot"), ("m0r0n", "moron"), ("idiooot", "idiot"), ("i d i o t", "idiot"), ("l.o.s.e.r", "loser"), ("$tup1d", "stupid")]:
+    for seen, word in [("1d10t", "idiot"), ("m0r0n", "moron"), ("idiooot", "idiot"), ("i d i o t", "idiot"), ("l.o.s.e.r", "loser"), ("$tup1d", "stupid"), ("i   d   i   o   t", "idiot"), ("i - d - i - o - t", "idiot"), ("i... d... i... o... t", "idiot"),
+                       ("i\td\ti\to\tt", "idiot"), ("i\nd\n\ni\no\nt", "idiot"), ("1 , d , 1 , 0 , t", "idiot"), ("iiddiioott", "idiot"), ("m/o/r/o/n", "moron")]:
         words = toxicity.restored_words(f"so you {seen}, really".encode(), m, {})
         assert word.encode() in words, (seen, words)
     assert toxicity.restored_words(b"Plain words, only!", m, {}) == {b"plain", b"words", b"only"}
