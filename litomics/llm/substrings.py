@@ -12,14 +12,15 @@ The whole corpus is the reference, so it cannot be broadcast; shards of it are r
    statistics; wherever WINDOW words match, the state says where they occur first.
 4. Windows that occur first elsewhere are joined back to their documents, and their words are removed.
 
-Hot anchors. An anchor with more than MOST_REGIONS regions, such as the opening of a common sentence, is not one place: its regions are
+Hot anchors. An anchor with more than MOST_REGIONS regions, or MOST_WORDS words of several, such as the opening of a common sentence, is not one place: its regions are
 cut again by anchors of longer grams, and those that are still hot by whole windows, each time merged where they are equal before they
-meet. So no place gets more than MOST_REGIONS of them, and equal windows still meet. Anchors are counted before they are shuffled, equal regions merge in each pass over texts,
+meet. A region of whole windows is one window however often it stands in a row, so runs of one word, whatever their lengths, become a single row.
+So no place gets more than that, and equal windows still meet. Anchors are counted before they are shuffled, equal regions merge in each pass over texts,
 groups of equal texts meet their first document by a broadcast of fewer than 1 / HOT rows, and other joins are on keys that Spark splits.
 No group is capped. Documents without a repeat are told by a bit filter of fixed size and skip the joins.
 
 Nulls: a null text has no words. A null doc_id has no order: nothing is removed from such a row and it is no reference. Rows that share a doc_id
-are judged alike, as one document that has all their windows. An empty table gives an empty result.
+are judged alike, as one document that has all their windows. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ GRAM = 5
 SHARD_WORDS = 50_000
 #: Regions of one anchor that may meet in one place.
 MOST_REGIONS = 2000
+#: Words of several regions of one anchor that may meet in one place.
+MOST_WORDS = 100_000
 #: Bytes of hash that stand for a word in a region.
 WORD_BYTES = 8
 FAR = 2**63 - 1
@@ -281,11 +284,13 @@ def first_documents(regions: DataFrame, window: int) -> DataFrame:
 
 
 def finer_regions(regions: DataFrame, window: int, gram: int) -> DataFrame:
-    """Regions cut again by anchors of a longer gram: p1, p2 and off, the region and the window in it where the new one begins, and the new one."""
+    """Regions cut again by anchors of a longer gram: p1, p2 and off, the region and the window in it where the new one begins, how many windows it has, and the new one.
+
+    A gram of a whole window makes regions of equal windows only, of which one is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("p1", "p2", "off", "anchor", "words", "first", "r1", "r2")}
+            out: dict[str, list] = {k: [] for k in ("p1", "p2", "off", "n", "anchor", "words", "first", "r1", "r2")}
             for anchor, raw, first, p1, p2 in zip(*(batch.column(c).to_pylist() for c in ("anchor", "words", "first", "r1", "r2")), strict=True):
                 words = np.frombuffer(raw, "<u8")
                 _, finer = anchors_of(words, np.array([0, len(words)]), window, gram)
@@ -293,26 +298,28 @@ def finer_regions(regions: DataFrame, window: int, gram: int) -> DataFrame:
                 edge[1:-1] = finer[1:] != finer[:-1]
                 cuts = np.flatnonzero(edge)
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    key = (int(mix(np.array([finer[a]]).view(np.uint64) + np.uint64(anchor & (2**64 - 1))).view(np.int64)[0]), words[a : b - 1 + window].tobytes())
+                    key = (int(mix(np.array([finer[a]]).view(np.uint64) + np.uint64(anchor & (2**64 - 1))).view(np.int64)[0]), words[a : (a if gram == window else b - 1) + window].tobytes())
                     r1, r2 = (int.from_bytes(x, "little", signed=True) for x in _halves(key))
-                    for name, value in zip(out, (p1, p2, a, *key, first, r1, r2), strict=True):
+                    for name, value in zip(out, (p1, p2, a, b - a, *key, first, r1, r2), strict=True):
                         out[name].append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return regions.select("anchor", "words", "first", "r1", "r2").mapInArrow(run, "p1 long, p2 long, off int, anchor long, words binary, first long, r1 long, r2 long")
+    return regions.select("anchor", "words", "first", "r1", "r2").mapInArrow(run, "p1 long, p2 long, off int, n int, anchor long, words binary, first long, r1 long, r2 long")
 
 
 def first_of_regions(regions: DataFrame, window: int, longer: list[int]) -> DataFrame:
     """r1, r2, off, firsts as first_documents has them, a hot anchor's regions in parts. `longer` are grams for these, up to whole windows."""
-    hot = staged(regions.groupBy("anchor").count().where(F.col("count") > MOST_REGIONS).select("anchor"), "hot") if longer else None
+    met = regions.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.octet_length("words")).alias("bytes"))
+    hot = staged(met.where((F.col("n") > MOST_REGIONS) | (F.col("n") > 1) & (F.col("bytes") > MOST_WORDS * WORD_BYTES)).select("anchor"), "hot") if longer else None
     if hot is None or hot.isEmpty():
         return first_documents(regions, window)
     parts = staged(finer_regions(within(regions, hot, "anchor"), window, longer[0]), "parts")
     distinct = staged(parts.groupBy("anchor", "r1", "r2").agg(F.min("first").alias("first"), F.min("words").alias("words")), "distinct")
     found = first_of_regions(distinct, window, longer[1:]).withColumnRenamed("off", "by")
-    back = parts.select("p1", "p2", "off", "r1", "r2").distinct().join(found, ["r1", "r2"])
-    back = back.select(F.col("p1").alias("r1"), F.col("p2").alias("r2"), (F.col("off") + F.col("by")).alias("off"), "firsts")
+    back = parts.select("p1", "p2", "off", "n", "r1", "r2").distinct().join(found, ["r1", "r2"])
+    firsts = F.array_repeat(F.col("firsts")[0], F.col("n")) if longer[0] == window else F.col("firsts")
+    back = back.select(F.col("p1").alias("r1"), F.col("p2").alias("r2"), (F.col("off") + F.col("by")).alias("off"), firsts.alias("firsts"))
     return first_documents(without(regions, hot, "anchor"), window).union(back)
 
 

@@ -79,6 +79,21 @@ def test_small_shards_and_hot_anchors(spark, monkeypatch, shard, most):
         assert tuple(r)[1:] == want[r["doc_id"]], r["doc_id"]
 
 
+def test_runs_of_one_word_of_many_lengths_are_one_row(spark, monkeypatch):
+    """Runs of 3,000 lengths meet as one window, not as 3,000 regions of one anchor."""
+    monkeypatch.setattr(substrings, "MOST_REGIONS", 3)
+    met = []
+    real = substrings.first_documents
+    monkeypatch.setattr(substrings, "first_documents", lambda regions, window: met.append(regions.groupBy("anchor").count().agg({"count": "max"}).first()[0] or 0) or real(regions, window))
+    texts = [f"start{i} " + "- " * (13 + i) + f"end{i} " + " ".join(f"u{i}x{k}" for k in range(5)) for i in range(3000)]
+    random.Random(3).shuffle(texts)
+    frame = docs(spark, texts, extra=False)
+    want = plain([(r["doc_id"], r["text"]) for r in frame.collect()])
+    for r in substrings.remove_repeats(frame).collect():
+        assert tuple(r)[1:] == want[r["doc_id"]], r["doc_id"]
+    assert max(met) <= 3
+
+
 def test_null_ids_and_empty(spark):
     text = " ".join(f"w{i}" for i in range(20))
     frame = spark.createDataFrame([(None, text), (5, text), (2, text + " end"), (None, None)], "doc_id long, text string")
