@@ -19,6 +19,8 @@ from xxhash import xxh3_64_intdigest
 CHUNK_BYTES = 1_000_000
 #: Rows of an Arrow batch. Documents can be very long, so batches stay short.
 BATCH_ROWS = 256
+#: Bytes of an Arrow batch; one longer document is a batch of its own.
+BATCH_BYTES = 4_000_000
 #: Bits of the filter that spares documents a shuffle. Its size is fixed; a full filter spares none and loses none.
 FILTER_BITS = 1 << 24
 LISTED = "_lt_listed"
@@ -35,8 +37,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches of document operators short."""
+    """Keep the Arrow batches of document operators short, in rows and bytes. A frame runs later than it is made, so the settings stay."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
