@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from litomics.llm import minhash, packing, pii, quality, templates
-from litomics.llm.common import staged, table
+from litomics.llm.common import discard, staged, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written and read again before the next stage."""
+    """All stages over `documents`; each result is written and read again before the next stage, and goes when that one is written.
+
+    Nulls, empty and long texts, repeated rows and empty tables are as the stages' operators say; documents keep all their columns up to the last stage."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        last, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
