@@ -89,17 +89,3 @@ def bioproject(raw: Column) -> Column:
     """A BioProject accession in upper case; else null."""
     found = F.regexp_extract(F.upper(F.coalesce(raw, F.lit(""))), r"(PRJ[A-Z]{2}[0-9]+)", 1)
     return F.nullif(found, F.lit(""))
-
-
-def tokens(text: Column) -> Column:
-    """Lower-case word tokens, for matching all words of a query."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\w+)"), F.lit(1))
-
-
-def matches_all(text: Column, query: str) -> Column:
-    """Whether a text has every word of the query; a query without words matches nothing."""
-    words = sorted(set(query.lower().split()))
-    if not words:
-        return F.lit(False)
-    have = tokens(text)
-    return F.forall(F.array(*[F.lit(w) for w in words]), lambda w: F.array_contains(have, w))

@@ -166,13 +166,6 @@ def c1e_array_contains(spark, sf):
     return filters.apply(users, {"layer": "click"}, has={"layer": "layers"}).select("user_id")
 
 
-@query("""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents) SELECT doc_id FROM d WHERE list_contains(w, 'the') AND list_contains(w, 'idiot')""")
-def c4_full_text(spark, sf):
-    from ..functions.text import matches_all
-
-    return t(spark, sf, "documents").where(matches_all(F.col("text"), "The idiot")).select("doc_id")
-
-
 @query("""SELECT event_id, ts FROM events WHERE event_type = 'view' AND CAST(props->>'$.k' AS DOUBLE) < 50 ORDER BY ts, event_id""")
 def c5_curation_queue(spark, sf):
     rows = t(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("added_at"), F.when(F.col("event_type") == "view", "unknown").otherwise("set").alias("axis"), "props")

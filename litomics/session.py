@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +21,19 @@ def session(app: str = "litomics", **extra: str) -> SparkSession:
     for k, v in (SETTINGS | extra).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+_own_dirs: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which the driver and all executors share; one of our own only where none is set and all runs on this machine, as in local tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: written tables need a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        root = _own_dirs.setdefault(app, "") or tempfile.mkdtemp(prefix="litomics-")
+        _own_dirs[app] = root
+    return f"{root.rstrip('/')}/litomics/{uuid.uuid4().hex}-{name}"
