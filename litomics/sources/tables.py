@@ -6,10 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genomics as G
+from .block_gzip import lines as lines_of_file
 
 
 def read_tsv(spark: SparkSession, path: str, sep: str = "\t", comment: str | None = None) -> DataFrame:
-    """A table with a header, all columns text. Quotes are no syntax in these formats."""
+    """A table with a header, all columns text. Quotes are no syntax in tab tables. Tab tables in gzip are read by blocks where they have them."""
+    if sep == "\t" and path.endswith((".gz", ".bgz")):
+        every = lines_of_file(spark, path).where(F.col("value") != "")
+        every = every.where(~F.col("value").startswith(comment)) if comment else every
+        head = every.first()
+        if head is None:
+            raise ValueError(f"no header in {path}")
+        f = F.split("value", "\t")
+        return every.where(F.col("value") != head["value"]).select(*[F.nullif(F.get(f, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(head["value"].split("\t"))])
     reader = spark.read.option("header", True).option("sep", sep).option("quote", "" if sep == "\t" else '"').option("inferSchema", False)
     return (reader.option("comment", comment) if comment else reader).csv(path)
 
@@ -74,7 +83,7 @@ def clinvar(spark: SparkSession, path: str, genes: DataFrame | None = None) -> D
 
     Lines with fewer than 8 fields, several or spanning alleles, or no gene go; with `genes` (gene_symbol) only theirs stay."""
     f = F.split(F.col("value"), "\t")
-    lines = spark.read.text(path).where(~F.col("value").startswith("#")).select(f.alias("f")).where(F.size("f") >= 8)
+    lines = lines_of_file(spark, path).where(~F.col("value").startswith("#")).select(f.alias("f")).where(F.size("f") >= 8)
     at = lambda i: F.col("f")[i]
     info = at(7)
     out = lines.select(
@@ -90,7 +99,7 @@ def alphamissense(spark: SparkSession, path: str, proteins: DataFrame, genes: Da
 
     proteins: uniprot_id, gene_symbol; genes: gene_symbol. Both are joins; the source is large, they are not, and Spark sees that."""
     f = F.split(F.col("value"), "\t")
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^#(?!CHROM)")).select(f.alias("f"))
+    lines = lines_of_file(spark, path).where(~F.col("value").rlike(r"^#(?!CHROM)")).select(f.alias("f"))
     header = [c.lstrip("#").lower() for c in lines.where(F.upper(F.regexp_replace(F.col("f")[0], "^#", "")) == "CHROM").first()["f"]]
     at = lambda name: F.get(F.col("f"), F.lit(header.index(name)))
     rows = lines.where(F.upper(F.regexp_replace(F.col("f")[0], "^#", "")) != "CHROM").select(
