@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def melt(wide: DataFrame, feature: str = "feature") -> DataFrame:
     """(feature, role, case_id, value) of a wide matrix whose columns are T_<case> and N_<case>."""
-    columns = [c for c in wide.columns if c != feature]
+    columns = [c for c in wide.columns if c not in (feature, "row_index")]
     long = wide.unpivot([feature], columns, "column", "value")
     return long.select(feature, F.when(F.col("column").startswith("T_"), "tumor").when(F.col("column").startswith("N_"), "normal").otherwise("sample").alias("role"), F.regexp_replace("column", "^[TN]_", "").alias("case_id"), "value")
 

@@ -318,12 +318,6 @@ def j2_pathway_scores(spark, sf):
     return scoring.score(n, edges(spark, sf), s, readouts, t(spark, sf, "customer").select(F.col("c_custkey").alias("sample_id")), n_permutations=100)
 
 
-@query("""SELECT count(*) AS n_rows, CAST(sum(o_orderkey) AS VARCHAR) AS keys FROM orders""")
-def b13_row_totals(spark, sf):
-    rows = t(spark, sf, "orders").select("o_orderkey", F.lit(1).alias("one"))
-    return rows.groupBy("one").agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").cast("string").alias("keys")).drop("one")
-
-
 # --- readouts and curation --------------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genomics as G
 from .block_gzip import lines as lines_of_file
+from .rows import ROW_INDEX, first_rows, numbered
 
 
 def read_tsv(spark: SparkSession, path: str, sep: str = "\t", comment: str | None = None) -> DataFrame:
@@ -45,23 +46,26 @@ def number(c: Column) -> Column:
 
 
 def matrix(spark: SparkSession, path: str) -> DataFrame:
-    """A wide matrix (feature, one float column for each sample) of a tab table whose first column names the feature; blank features go."""
-    rows = read_tsv(spark, path)
-    first, *samples = rows.columns
+    """A wide matrix (feature, one float column for each sample, row_index) of a tab table whose first column names the feature; blank features go.
+
+    row_index numbers the file's rows in order, so that repeated features keep their order whatever the number of tasks. Every row stays."""
+    rows = numbered(read_tsv(spark, path))
+    first, *samples = rows.columns[:-1]
     feature = F.trim(F.col(f"`{first}`"))
-    return rows.where(feature != "").select(feature.alias("feature"), *[number(F.col(f"`{c}`")).cast("float").alias(c) for c in samples])
+    return rows.where(feature != "").select(feature.alias("feature"), *[number(F.col(f"`{c}`")).cast("float").alias(c) for c in samples], ROW_INDEX)
 
 
-def paired_matrix(tumor: DataFrame, normal: DataFrame) -> DataFrame:
-    """Features of both matrices with T_ and N_ columns, in order of the feature; of a repeated feature one row stays, the last by value order.
+def last_of_feature(wide: DataFrame) -> DataFrame:
+    """(feature, v): of a repeated feature the last row, whole. Without row_index features have to be unique."""
+    values = F.struct(*[c for c in wide.columns if c not in ("feature", ROW_INDEX)])
+    return wide.groupBy("feature").agg(F.max_by(values, ROW_INDEX).alias("v")) if ROW_INDEX in wide.columns else wide.select("feature", values.alias("v"))
 
-    Row order is no part of a distributed table, so `last` is by a row_index column where the inputs have one."""
+
+def paired_matrix(tumor: DataFrame, normal: DataFrame) -> DataFrame:
+    """Features of both matrices with T_ and N_ columns, in order of the feature; of a repeated feature the row with the largest row_index stays."""
 
     def one(m: DataFrame, prefix: str) -> DataFrame:
-        values = [c for c in m.columns if c not in ("feature", "row_index")]
-        by = F.col("row_index") if "row_index" in m.columns else F.hash(*values)
-        last = m.groupBy("feature").agg(F.max_by(F.struct(*values), by).alias("v"))
-        return last.select("feature", *[F.col(f"v.`{c}`").alias(f"{prefix}{c}") for c in values])
+        return last_of_feature(m).select("feature", *[F.col(f"v.`{c}`").alias(f"{prefix}{c}") for c in m.columns if c not in ("feature", ROW_INDEX)])
 
     return one(tumor, "T_").join(one(normal, "N_"), "feature").orderBy("feature")
 
@@ -153,12 +157,18 @@ def trait_names(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim(F.col(f"`{name}`")).alias("name")).where("name <> ''").distinct()
 
 
-def gene_disease(spark: SparkSession, path: str) -> DataFrame:
-    """disease, gene_symbol, hgnc_id, confidence of a gene-disease CSV; of repeated (gene, disease) the strongest entry in text order."""
-    rows = read_tsv(spark, path, sep=",")
-    hgnc = column(rows, "hgnc id")
+# Confidences; anything else is unknown.
+CONFIDENCES = ("definitive", "strong", "moderate", "limited")
+
+
+def gene_disease(spark: SparkSession, path: str, raw_too: bool = False) -> DataFrame:
+    """disease, gene_symbol, hgnc_id, confidence of a gene-disease CSV, with `raw_too` confidence_raw as it stands; of repeated (gene, disease) the first row of the file counts, whole."""
+    rows = numbered(read_tsv(spark, path, sep=","))
+    required(rows, "gene symbol", "disease name", "confidence")
+    plain = lambda *names: F.trim(F.coalesce(column(rows, *names), F.lit("")))
+    hgnc, raw = plain("hgnc id"), plain("confidence")
     out = rows.select(
-        F.trim(column(rows, "disease name", "disease")).alias("disease"), F.upper(F.trim(column(rows, "gene symbol"))).alias("gene_symbol"),
-        F.when(hgnc.isNotNull(), F.concat(F.lit("HGNC:"), F.regexp_replace(hgnc, "(?i)^hgnc:", ""))).alias("hgnc_id"), F.lower(F.trim(column(rows, "confidence", "confidence category"))).alias("confidence"),
+        plain("disease name").alias("disease"), F.upper(plain("gene symbol")).alias("gene_symbol"), F.when((hgnc != "") & ~F.upper(hgnc).startswith("HGNC:"), F.concat(F.lit("HGNC:"), hgnc)).otherwise(hgnc).alias("hgnc_id"),
+        F.when(F.lower(raw).isin(*CONFIDENCES), F.lower(raw)).otherwise("unknown").alias("confidence"), raw.alias("confidence_raw"), ROW_INDEX,
     ).where("disease <> '' and gene_symbol <> ''")
-    return out.groupBy("disease", "gene_symbol").agg(F.min("hgnc_id").alias("hgnc_id"), F.min("confidence").alias("confidence"))
+    return first_rows(out, "disease", "gene_symbol").drop(ROW_INDEX, *([] if raw_too else ["confidence_raw"]))
