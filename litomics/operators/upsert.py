@@ -20,18 +20,28 @@ def longest_wins(rows: DataFrame, keys: list[str], text: str, seq: str) -> DataF
 def batch_merge(rows: DataFrame) -> DataFrame:
     """One dataset for each accession in a batch: types and layers united and sorted, longest title and summary, JSON keys of
     later rows over earlier ones, the largest count, the first platform that is known. rows: accession, seq, title, summary, omic_type (comma list), omics_layers
-    (array), metadata (map), omics_count, organism."""
+    (array), metadata (map), omics_count, organism.
+
+    Types, layers and keys are facts of an accession: each is one row with its latest value before an accession's facts meet, so what meets is bounded by the result and not by the batch."""
     longest = lambda c: F.max_by(c, F.struct(F.length(F.coalesce(c, F.lit(""))), -F.col("seq")))
-    none = F.expr("cast(map() as map<string,string>)")
-    maps = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.map_entries(F.coalesce("metadata", none)).alias("e")))), lambda x: F.map_from_entries(x["e"]))
-    merged = F.aggregate(maps, none, lambda a, m: F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(m, k)), m))
-    return rows.groupBy("accession").agg(
-        longest("title").alias("title"), longest("summary").alias("summary"),
-        F.array_join(F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(F.transform(F.split(F.coalesce("omic_type", F.lit("")), ","), lambda x: F.trim(x)))), lambda x: x != ""))), ",").alias("omic_type"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("omics_layers")))).alias("omics_layers"),
-        merged.alias("metadata"), F.max("omics_count").alias("omics_count"),
+    fact = lambda kind, key, value, *made: rows.select("accession", "seq", *made).select("accession", "seq", F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"))
+    none = F.lit(None).cast("string")
+    facts = (
+        fact("type", F.trim("x"), none, F.explode(F.split(F.coalesce("omic_type", F.lit("")), ",")).alias("x")).where("key <> ''")
+        .union(fact("layer", F.col("x"), none, F.explode("omics_layers").alias("x"))).union(fact("key", F.col("k"), F.col("v"), F.explode("metadata").alias("k", "v")))
+    )
+    latest = facts.groupBy("accession", "kind", "key").agg(F.max_by("value", "seq").alias("value"))
+    named = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("key"))))
+    united = latest.groupBy(F.col("accession").alias("_a")).agg(
+        F.array_join(named("type"), ",").alias("omic_type"), named("layer").alias("omics_layers"), F.map_from_entries(F.collect_list(F.when(F.col("kind") == "key", F.struct("key", "value")))).alias("metadata")
+    )
+    plain = rows.groupBy("accession").agg(
+        longest("title").alias("title"), longest("summary").alias("summary"), F.max("omics_count").alias("omics_count"),
         F.coalesce(F.min_by(F.when(F.col("organism") != "unknown", F.col("organism")), F.when(F.col("organism") != "unknown", F.col("seq"))), F.lit("unknown")).alias("organism"),
     )
+    both = plain.join(united, F.col("accession").eqNullSafe(F.col("_a")), "left")
+    empty = {"omic_type": F.lit(""), "omics_layers": F.array().cast("array<string>"), "metadata": F.expr("cast(map() as map<string,string>)")}
+    return both.select("accession", "title", "summary", *[F.coalesce(c, e).alias(c) for c, e in empty.items()], "omics_count", "organism")
 
 
 def longer(new: Column, old: Column) -> Column:

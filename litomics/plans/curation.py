@@ -123,7 +123,8 @@ def c3_sample_filters(spark, sf):
 def d22_edge_counts(spark, sf):
     e = t(spark, sf, "lineitem").select(F.col("l_linenumber").cast("long").alias("pathway_id"), F.col("l_partkey").cast("long").alias("source"), F.col("l_suppkey").cast("long").alias("target"))
     known = t(spark, sf, "part").where("p_size > 10").select(F.col("p_partkey").cast("long").alias("entry_id"), F.col("p_partkey").alias("node_id"))
-    nodes = e.select("pathway_id").distinct().withColumn("_one", F.lit(1)).join(known.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    ends = e.select("pathway_id", F.col("source").alias("entry_id")).union(e.select("pathway_id", "target")).distinct()
+    nodes = ends.join(known, "entry_id")
     return links.edge_counts(links.resolved_edges(e, nodes))
 
 

@@ -410,13 +410,13 @@ def b3_upsert(spark, sf):
 
 @query("""SELECT lang AS accession, min_by(doc_id, (-length(text), doc_id)) AS title, string_agg(DISTINCT source, ',' ORDER BY source) AS omic_type, CAST(max(doc_id) AS VARCHAR) AS last FROM documents GROUP BY 1""")
 def b2_batch_merge(spark, sf):
+    # the document's number stands at the end of its title, in as many characters for all, so that the longest title tells which it is
+    title = F.concat(F.coalesce("text", F.lit("")), F.lpad(F.col("doc_id").cast("string"), 20, " "))
     r = t(spark, sf, "documents").select(
-        F.col("lang").alias("accession"), F.col("doc_id").alias("seq"), F.col("text").alias("title"), F.col("text").alias("summary"), F.col("source").alias("omic_type"), F.array("source").alias("omics_layers"),
+        F.col("lang").alias("accession"), F.col("doc_id").alias("seq"), title.alias("title"), F.lit("").alias("summary"), F.col("source").alias("omic_type"), F.array("source").alias("omics_layers"),
         F.create_map(F.lit("last"), F.col("doc_id").cast("string")).alias("metadata"), F.lit(1).alias("omics_count"), F.lit("unknown").alias("organism"),
     )
-    merged = upsert.batch_merge(r)
-    first = r.groupBy("accession", "title").agg(F.min("seq").alias("seq"))
-    return merged.join(first, ["accession", "title"]).select("accession", F.col("seq").alias("title"), "omic_type", F.col("metadata")["last"].alias("last"))
+    return upsert.batch_merge(r).select("accession", F.trim(F.right("title", F.lit(20))).cast("long").alias("title"), "omic_type", F.col("metadata")["last"].alias("last"))
 
 
 @query("""SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT DISTINCT l_orderkey, 'new' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)""")
