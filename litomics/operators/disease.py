@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import normal_name
+from .similarity import candidates, with_ratio
 
 LEAST_TOKEN, MOST_TOKENS = 5, 3
 
@@ -25,7 +22,8 @@ def fuzzy_hits(terms: DataFrame, names: DataFrame, threshold: float = 0.85, most
     """(term, axis, name, ratio): the most similar name of each axis, if it reaches the threshold.
 
     A term meets only names that hold its rarest token (of its first MOST_TOKENS with LEAST_TOKEN characters), at most `most` of them in name order: a fixed
-    rule of the feature, so that a common token does not make all pairs. The ratio is that of longest matching blocks."""
+    rule of the feature, so that a common token does not make all pairs. The ratio is that of longest matching blocks; pairs whose lengths or letters cannot reach the
+    threshold never get that far (see similarity)."""
     n = names.select("axis", "name", normal_name(F.col("name")).alias("n")).distinct()
     tokens = n.select("axis", "n", "name", F.explode(F.array_distinct(F.split("n", " "))).alias("token")).where(F.length("token") >= LEAST_TOKEN)
     ranked = tokens.withColumn("r", F.row_number().over(Window.partitionBy("axis", "token").orderBy("n", "name")))
@@ -36,12 +34,7 @@ def fuzzy_hits(terms: DataFrame, names: DataFrame, threshold: float = 0.85, most
     rarest = asked.groupBy("term", "q", "axis").agg(F.min_by("token", F.struct("names", "at")).alias("token"))
     met = rarest.join(ranked.where(F.col("r") <= most), ["axis", "token"]).select("term", "q", "axis", "name", "n")
 
-    def ratios(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            r = [difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(f["q"], f["n"], strict=True)]
-            yield pd.DataFrame({"term": f["term"], "axis": f["axis"], "name": f["name"], "n": f["n"], "ratio": pd.Series(r, dtype=float)})
-
-    scored = met.mapInPandas(ratios, "term string, axis string, name string, n string, ratio double")
+    scored = with_ratio(candidates(met, "q", "n", threshold), "q", "n")
     return scored.groupBy("term", "axis").agg(F.min_by("name", F.struct(-F.col("ratio"), F.col("n"), F.col("name"))).alias("name"), F.max("ratio").alias("ratio")).where(F.col("ratio") >= threshold)
 
 
