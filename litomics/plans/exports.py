@@ -64,13 +64,6 @@ def a13a_experiments(spark, sf):
     return t(spark, sf, "events").select("event_id", F.array_join(ids.relation_experiments(relation), ",").alias("experiments"))
 
 
-@query("""WITH l AS (SELECT user_id, string_split(string_agg('f' || event_id, ';' ORDER BY event_id), ';') AS u FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT user_id || '_' || i AS accession, user_id AS run, u[i] AS url FROM l, unnest(range(1, len(u) + 1)) r(i)""")
-def a12_run_files(spark, sf):
-    lists = t(spark, sf, "events").where("event_type = 'purchase'").groupBy(F.col("user_id").alias("run")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: F.concat(F.lit("f"), x.cast("string"))), ";").alias("urls"))
-    out = lists.select("run", F.posexplode(F.split("urls", ";")).alias("at", "url"))
-    return out.select(F.concat_ws("_", "run", (F.col("at") + 1).cast("string")).alias("accession"), "run", "url")
-
-
 @query(f"""WITH {EDGES} SELECT DISTINCT n_name AS tf FROM edges JOIN nation ON source = n_nationkey WHERE sign <> 0""")
 def e33_factors(spark, sf):
     names = t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("source"), F.col("n_name").alias("tf"))

@@ -21,6 +21,35 @@ def a17_block_gzip(spark, sf):
     return tables.clinvar(spark, path).groupBy("variant_key", "gene_symbol", "clinvar_significance").agg(F.count("*").alias("n"))
 
 
+def _reports(key: str) -> str:
+    """The SQL of a run report's files, by the report's key."""
+    return f"""WITH l AS (SELECT '{key}' || user_id AS run, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
+ SELECT run || '_' || i AS accession, run, 'https://host/f' || event_id AS url, 'ab' || event_id AS md5, CASE WHEN event_id % 5 > 0 THEN event_id END AS size_bytes FROM l"""
+
+
+def _report(spark, sf):
+    """A run report: for each user the lists of files, digests and sizes of all events."""
+    lists = lambda text: F.array_join(F.transform("e", lambda x: text(x.cast("string"), x)), ";")
+    e = t(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("e"))
+    rows = e.select(
+        F.concat(F.lit("ERX"), F.col("user_id").cast("string")).alias("experiment_accession"), F.concat(F.lit("ERR"), F.col("user_id").cast("string")).alias("run_accession"), lists(lambda s, x: F.concat(F.lit("ftp://host/f"), s)).alias("fastq_ftp"),
+        lists(lambda s, x: F.concat(F.lit("AB"), s)).alias("fastq_md5"), lists(lambda s, x: F.when(x % 5 > 0, s).otherwise("")).alias("fastq_bytes"),
+    )
+    path = scratch(spark, "report")
+    rows.write.option("header", True).option("sep", "\t").csv(path)
+    return path
+
+
+@query(_reports("ERR"))
+def a12_run_files(spark, sf):
+    return tables.run_files(spark, _report(spark, sf))
+
+
+@query(_reports("ERX"))
+def a13_experiment_files(spark, sf):
+    return tables.run_files(spark, _report(spark, sf), key="experiment_accession")
+
+
 def _in_order(spark, sf, path, columns, sep):
     """Orders by key, as a text table of several files."""
     rows = t(spark, sf, "orders").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").select(*columns)

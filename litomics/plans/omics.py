@@ -118,12 +118,14 @@ def d17_exact_hits(spark, sf):
     return disease.exact_hits(terms, names).groupBy("term", "axis").agg(F.count("*").alias("n"))
 
 
-@query("""WITH m AS (SELECT upper(p_brand) AS symbol, max(CASE WHEN p_size > 45 THEN 2 ELSE 1 END) AS level, max(p_size) AS score FROM part WHERE p_size > 25 GROUP BY 1), g AS (SELECT DISTINCT l_suppkey AS dataset_id, upper(p_brand) AS symbol FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45)
+@query("""WITH m AS (SELECT upper(p_brand || CASE WHEN p_size > 25 THEN '' ELSE 'x' END) AS symbol, max(CASE WHEN p_size > 45 THEN 2 ELSE 1 END) AS level, max(p_size) AS score FROM part GROUP BY 1),
+ g AS (SELECT DISTINCT l_suppkey AS dataset_id, upper(p_brand || CASE WHEN l_quantity > 45 THEN '' ELSE 'y' END) AS symbol FROM lineitem JOIN part ON l_partkey = p_partkey)
  SELECT dataset_id, string_agg(symbol, ',' ORDER BY symbol) AS genes, count(*) AS n_hits, CASE WHEN max(level) = 2 THEN 'assessed' ELSE 'not_assessed' END AS confidence, max(score) AS score FROM g JOIN m USING (symbol) GROUP BY 1""")
 def d16_monogenic_hits(spark, sf):
     part = t(spark, sf, "part")
-    genes = t(spark, sf, "lineitem").where("l_quantity > 45").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select(F.col("l_suppkey").alias("dataset_id"), F.col("p_brand").alias("gene_symbol"))
-    mendelian = part.where("p_size > 25").select(F.col("p_brand").alias("symbol"), F.when(F.col("p_size") > 45, "assessed").otherwise("not_assessed").alias("confidence"), F.col("p_size").alias("score"))
+    # small quantities and sizes name genes that the other side lacks
+    genes = t(spark, sf, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select(F.col("l_suppkey").alias("dataset_id"), F.concat("p_brand", F.when(F.col("l_quantity") > 45, "").otherwise("y")).alias("gene_symbol"))
+    mendelian = part.select(F.concat("p_brand", F.when(F.col("p_size") > 25, "").otherwise("x")).alias("symbol"), F.when(F.col("p_size") > 45, "assessed").otherwise("not_assessed").alias("confidence"), F.col("p_size").alias("score"))
     return disease.monogenic_hits(genes, mendelian)
 
 
@@ -149,8 +151,10 @@ def raw_effects(spark, sf):
     p = t(spark, sf, "part")
     s = F.col("p_size") % 5
     sig = F.when(s == 0, "Pathogenic").when(s == 1, "Uncertain significance").when(s == 2, "Likely benign").when(s == 3, "").otherwise("Likely pathogenic")
-    clin = p.where("p_partkey % 3 <> 0").select(F.col("p_partkey").cast("string").alias("variant_key"), F.col("p_brand").alias("gene_symbol"), F.lit("clinvar").alias("source"), F.lit("").alias("oncogenicity"), sig.alias("clinvar_significance"), F.lit(None).cast("double").alias("raw_magnitude"))
-    am = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("variant_key"), F.col("p_brand").alias("gene_symbol"), F.lit("alphamissense").alias("source"), F.lit("").alias("oncogenicity"), F.lit("").alias("clinvar_significance"), (F.col("p_size") / 40.0).alias("raw_magnitude"))
+    # a third of the variants of one source and half of the other's are not the other's
+    named = lambda absent, mark: F.concat(F.col("p_partkey").cast("string"), F.when(absent, mark).otherwise("")).alias("variant_key")
+    clin = p.select(named(F.col("p_partkey") % 3 == 0, "x"), F.col("p_brand").alias("gene_symbol"), F.lit("clinvar").alias("source"), F.lit("").alias("oncogenicity"), sig.alias("clinvar_significance"), F.lit(None).cast("double").alias("raw_magnitude"))
+    am = p.select(named(F.col("p_partkey") % 2 == 1, "y"), F.col("p_brand").alias("gene_symbol"), F.lit("alphamissense").alias("source"), F.lit("").alias("oncogenicity"), F.lit("").alias("clinvar_significance"), (F.col("p_size") / 40.0).alias("raw_magnitude"))
     return clin.unionByName(am)
 
 
@@ -161,8 +165,9 @@ def roles(spark, sf):
 
 
 _ROLE = "CASE right(p_brand, 1) WHEN '1' THEN 'oncogene' WHEN '2' THEN 'tsg' WHEN '3' THEN 'oncogene_and_tsg' ELSE 'neither' END"
-_EFFECTS = f"""e AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS variant_key, p_brand AS gene_symbol, {_ROLE} AS role, CASE WHEN p_partkey % 3 <> 0 THEN CASE p_size % 5 WHEN 0 THEN 1.0 WHEN 2 THEN 0.1 WHEN 4 THEN 0.9 END END AS c,
- CASE WHEN p_partkey % 2 = 0 THEN p_size / 40.0 END AS a FROM part), r AS (SELECT *, CASE WHEN c IS NOT NULL THEN 'clinvar' ELSE 'alphamissense' END AS source, CAST(least(1.0, coalesce(c, a)) AS DOUBLE) AS magnitude FROM e WHERE coalesce(c, a) IS NOT NULL)"""
+_EFFECTS = f"""e AS (SELECT variant_key, gene_symbol, role, max(c) AS c, max(a) AS a FROM (
+  SELECT p_partkey || CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE '' END AS variant_key, p_brand AS gene_symbol, {_ROLE} AS role, CASE p_size % 5 WHEN 0 THEN 1.0 WHEN 2 THEN 0.1 WHEN 4 THEN 0.9 END AS c, NULL AS a FROM part
+  UNION ALL SELECT p_partkey || CASE WHEN p_partkey % 2 = 1 THEN 'y' ELSE '' END, p_brand, {_ROLE}, NULL, p_size / 40.0 FROM part) GROUP BY ALL), r AS (SELECT *, CASE WHEN c IS NOT NULL THEN 'clinvar' ELSE 'alphamissense' END AS source, CAST(least(1.0, coalesce(c, a)) AS DOUBLE) AS magnitude FROM e WHERE coalesce(c, a) IS NOT NULL)"""
 
 
 @query(f"""WITH {_EFFECTS} SELECT variant_key, gene_symbol, source, round(magnitude, 9) AS magnitude, CAST(CASE source WHEN 'clinvar' THEN 0.9 ELSE 0.7 END AS DOUBLE) AS confidence,
@@ -176,11 +181,12 @@ def i21_resolved_effects(spark, sf):
 
 
 def copy_values(spark, sf):
-    line = t(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("sample"), F.col("l_partkey").alias("p_partkey"), ((F.col("l_quantity") - 25) / 25.0).alias("value"))
-    return line.join(t(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("gene")), "p_partkey").select("sample", "gene", "value")
+    line = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sample"), F.col("l_partkey").alias("p_partkey"), "l_quantity")
+    both = line.join(t(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("gene")), "p_partkey")
+    return both.groupBy("sample", "gene").agg(((F.max("l_quantity") - 25) / 25.0).alias("value"))
 
 
-_COPY = f"""v AS (SELECT l_orderkey AS sample, upper(p_brand) AS gene, (l_quantity - 25) / 25.0 AS value, {_ROLE} AS role FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1),
+_COPY = f"""v AS (SELECT l_orderkey AS sample, upper(p_brand) AS gene, (max(l_quantity) - 25) / 25.0 AS value, {_ROLE} AS role FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, p_brand),
  cnv AS (SELECT sample, gene, CASE WHEN role = 'oncogene' THEN 'activator' ELSE 'inactivator' END AS direction, CAST(abs(value) AS DOUBLE) AS magnitude FROM v WHERE (role = 'oncogene' AND value >= 0.3) OR (role = 'tsg' AND value <= -0.3))"""
 
 
@@ -192,7 +198,7 @@ def d10_copy_number_seeds(spark, sf):
 def occurrences(spark, sf):
     n = F.col("l_linenumber")
     kind = F.when(n == 2, "Nonsense_Mutation").when(n == 3, "Missense_Mutation").when(n == 4, "Silent").otherwise("Frame_Shift_Del")
-    line = t(spark, sf, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("sample"), F.col("l_partkey").alias("p_partkey"), kind.alias("classification"), F.col("l_linenumber").alias("seq"))
+    line = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sample"), F.col("l_partkey").alias("p_partkey"), kind.alias("classification"), F.col("l_linenumber").alias("seq"))
     return line.join(t(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("gene")), "p_partkey").select("sample", "gene", F.col("p_partkey").cast("string").alias("variant_key"), "classification", "seq")
 
 
@@ -202,7 +208,7 @@ def resolved(spark, sf):
 
 _SNV = f"""{_EFFECTS}, rd AS (SELECT variant_key, upper(gene_symbol) AS gene, magnitude, CASE source WHEN 'clinvar' THEN 0.9 ELSE 0.7 END AS confidence,
  CASE WHEN magnitude < 0.5 THEN 'neutral' WHEN role = 'tsg' THEN 'inactivator' WHEN role = 'oncogene' THEN 'activator' ELSE 'neutral' END AS direction FROM r),
- oc AS (SELECT l_orderkey AS sample, upper(p_brand) AS gene, CAST(l_partkey AS VARCHAR) AS variant_key, l_linenumber AS seq, {_ROLE} AS role FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber > 1),
+ oc AS (SELECT l_orderkey AS sample, upper(p_brand) AS gene, CAST(l_partkey AS VARCHAR) AS variant_key, l_linenumber AS seq, {_ROLE} AS role FROM lineitem JOIN part ON l_partkey = p_partkey),
  sn AS (SELECT oc.sample, oc.gene, oc.variant_key, seq, CASE WHEN seq <> 3 THEN CASE WHEN role = 'tsg' THEN 'inactivator' ELSE 'neutral' END ELSE rd.direction END AS direction, CAST(CASE WHEN seq <> 3 THEN 0.9 ELSE rd.magnitude END AS DOUBLE) AS magnitude,
  CAST(CASE WHEN seq <> 3 THEN 0.9 ELSE rd.confidence END AS DOUBLE) AS confidence FROM oc LEFT JOIN rd ON oc.variant_key = rd.variant_key AND oc.gene = rd.gene WHERE seq NOT IN (3, 4) OR (seq = 3 AND rd.direction IS NOT NULL)),
  snv AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY sample, gene, variant_key ORDER BY seq) AS n FROM sn) WHERE n = 1)"""
@@ -258,11 +264,11 @@ def d8_unpaired(spark, sf):
     return matrices.unpaired(line_samples(spark, sf), "l_orderkey", "l_linestatus", "O", "F")
 
 
-@query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 45), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity < 6)
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 25), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity <= 25)
  SELECT count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS n_common, count(*) FILTER (a.k IS NULL OR b.k IS NULL) AS n_discarded FROM a FULL JOIN b USING (k)""")
 def d9_alignment(spark, sf):
-    rows = t(spark, sf, "lineitem").withColumnRenamed("l_partkey", "feature")
-    return matrices.aligned(rows.where("l_quantity > 45"), rows.where("l_quantity < 6"))
+    rows = t(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "feature")
+    return matrices.aligned(rows.where("l_quantity > 25"), rows.where("l_quantity <= 25"))
 
 
 @query("""SELECT p_brand AS gene, o_orderstatus AS sample, CAST(count(DISTINCT l_suppkey) AS INTEGER) AS burden FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""")
@@ -281,10 +287,10 @@ def matrix(spark, sf):
     return t(spark, sf, "lineitem").select(F.col("l_partkey").alias("feature"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("sample"), F.col("l_quantity").cast("float").alias("value"), F.col("l_orderkey").alias("case"), F.col("l_linestatus").alias("role"))
 
 
-@query("""WITH f AS (SELECT l_suppkey AS feature, o_custkey AS tumor_sample, l_quantity - 10 AS delta FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A') SELECT feature, round(coalesce(stddev_samp(delta), 0), 6) AS sd FROM f GROUP BY 1""")
+@query("""WITH f AS (SELECT l_suppkey AS feature, o_custkey AS tumor_sample, l_quantity - 10 AS delta FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT feature, round(coalesce(stddev_samp(delta), 0), 6) AS sd FROM f GROUP BY 1""")
 def e20_cohort_sd(spark, sf):
     o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    rows = t(spark, sf, "lineitem").where("l_returnflag = 'A'").join(o, "l_orderkey").select(F.col("l_suppkey").alias("feature"), (F.col("l_quantity") - 10).alias("delta"))
+    rows = t(spark, sf, "lineitem").join(o, "l_orderkey").select(F.col("l_suppkey").alias("feature"), (F.col("l_quantity") - 10).alias("delta"))
     return matrices.cohort_sd(rows).withColumn("sd", F.round("sd", 6))
 
 
@@ -313,7 +319,7 @@ def j2_pathway_scores(spark, sf):
     """Walk, projection and permutation null over the nation graph; seeds by customer, readouts by nation."""
     n = nodes(spark, sf).select("pathway_id", "node_id", F.col("gene_symbol").alias("gene"))
     c = t(spark, sf, "customer").join(t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    s = c.select(F.col("c_custkey").alias("sample_id"), F.col("n_name").alias("gene"), (F.col("c_acctbal") / 10000).alias("weight")).where("weight > 0.2")
+    s = c.select(F.col("c_custkey").alias("sample_id"), F.col("n_name").alias("gene"), (F.col("c_acctbal") / 10000).alias("weight"))
     readouts = t(spark, sf, "customer").select((F.col("c_custkey") % 2 + 1).alias("pathway_id"), ((F.col("c_nationkey") + 1) % 25).cast("long").alias("node_id"), F.col("c_custkey").alias("sample_id"), (F.col("c_acctbal") / 5000).alias("value"))
     return scoring.score(n, edges(spark, sf), s, readouts, t(spark, sf, "customer").select(F.col("c_custkey").alias("sample_id")), n_permutations=100)
 
@@ -336,10 +342,10 @@ def d14_regulon_readouts(spark, sf):
     return readouts.by_regulon(nodes(spark, sf), regulon, n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("feature_key")))
 
 
-@query(f"""WITH {MENTIONS}, g AS (SELECT paper_id, symbol, sum(n) AS m FROM mentions GROUP BY 1, 2), l AS (SELECT DISTINCT l_orderkey AS paper_id, l_suppkey AS dataset_id FROM lineitem WHERE l_linenumber = 1)
+@query(f"""WITH {MENTIONS}, g AS (SELECT paper_id, symbol, sum(n) AS m FROM mentions GROUP BY 1, 2), l AS (SELECT DISTINCT l_orderkey AS paper_id, l_suppkey AS dataset_id FROM lineitem)
  SELECT dataset_id, symbol AS gene_symbol, CAST(sum(m) AS BIGINT) AS mention_count, count(*) AS n_papers FROM g JOIN l USING (paper_id) GROUP BY 1, 2""")
 def d15_dataset_genes(spark, sf):
-    found = t(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("paper_id"), F.col("l_suppkey").alias("dataset_id"))
+    found = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_suppkey").alias("dataset_id"))
     return readouts.genes_of_datasets(mentions(spark, sf).withColumnRenamed("symbol", "gene_symbol"), found)
 
 
@@ -370,12 +376,14 @@ def c20_resolved(spark, sf):
     return curation.resolve(rows, "id", decisions).select("id", "axis", F.col("confidence")["score"].alias("score"), "notes")
 
 
-@query("""WITH d AS (SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'sra' WHEN 1 THEN 'geo' ELSE 'pride' END AS db FROM supplier), n AS (SELECT l_suppkey AS id, count(*) AS n, max(CASE WHEN l_orderkey % 997 = 0 THEN 1 ELSE 0 END) AS r FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY 1)
+@query("""WITH d AS (SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'sra' WHEN 1 THEN 'geo' ELSE 'pride' END AS db FROM supplier), n AS (SELECT l_suppkey - CASE WHEN l_suppkey % 7 = 0 THEN 1 ELSE 0 END AS id, count(*) AS n, max(CASE WHEN l_orderkey % 997 = 0 THEN 1 ELSE 0 END) AS r FROM lineitem GROUP BY 1)
  SELECT id AS dataset_id, CASE WHEN db = 'sra' THEN 'fastq' WHEN db = 'geo' AND r = 1 THEN 'fastq' WHEN db = 'geo' THEN 'supplementary' ELSE 'processed' END AS kind, n AS n_samples FROM d JOIN n USING (id)""")
 def c21_download_targets(spark, sf):
     k = F.col("s_suppkey") % 3
     d = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("dataset_id"), F.when(k == 0, "sra").when(k == 1, "geo").otherwise("pride").alias("source_db"))
-    s = t(spark, sf, "lineitem").where("l_suppkey % 7 <> 0").select(F.col("l_suppkey").alias("dataset_id"), F.col("l_orderkey").alias("sample_id"))
+    # every seventh dataset's samples are its neighbour's, so some datasets have none
+    owner = F.col("l_suppkey") - F.when(F.col("l_suppkey") % 7 == 0, 1).otherwise(0)
+    s = t(spark, sf, "lineitem").select(owner.alias("dataset_id"), F.col("l_orderkey").alias("sample_id"))
     return curation.download_targets(d, s, t(spark, sf, "orders").where("o_orderkey % 997 = 0").select(F.col("o_orderkey").alias("sample_id")))
 
 

@@ -278,11 +278,13 @@ def _pathways(spark, sf):
     return t(spark, sf, "nation").select(F.col("n_nationkey").alias("pathway_id"), F.col("n_name").alias("name"))
 
 
-@query(f"""WITH {SCORES}, r AS (SELECT pathway_id, count(*) AS n, count(*) FILTER (NOT degenerate) AS e, count(*) FILTER (NOT degenerate AND p < 0.002) AS h FROM scores WHERE pathway_id % 4 <> 0 GROUP BY 1)
+@query(f"""WITH {SCORES}, r AS (SELECT pathway_id + CASE WHEN pathway_id % 4 = 0 THEN 1 ELSE 0 END AS pathway_id, count(*) AS n, count(*) FILTER (NOT degenerate) AS e, count(*) FILTER (NOT degenerate AND p < 0.002) AS h FROM scores GROUP BY 1)
  SELECT CASE WHEN n IS NULL THEN 'no_readout' WHEN e = 0 THEN 'no_seed' WHEN h > 0 THEN 'attributable' ELSE 'not_attributable' END AS class, count(*) AS n_pathways
  FROM nation LEFT JOIN r ON n_nationkey = pathway_id GROUP BY 1""")
 def d5_taxonomy(spark, sf):
-    return fdr.taxonomy(_pathways(spark, sf), _reported(spark, sf).where("pathway_id % 4 <> 0"), 0.002)
+    # every fourth pathway's rows are its neighbour's, so some pathways have none
+    moved = F.col("pathway_id") + F.when(F.col("pathway_id") % 4 == 0, 1).otherwise(0)
+    return fdr.taxonomy(_pathways(spark, sf), _reported(spark, sf).withColumn("pathway_id", moved), 0.002)
 
 
 @query(f"""WITH {SCORES}, e AS (SELECT n_nationkey AS pathway_id, avg(CASE WHEN c_custkey % 3 = 0 THEN 1.0 ELSE 0.0 END) AS u FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
