@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..session import scratch
 from ..sources.rows import numbered
+from .selection import medians
 
 SCOPES = {"population": ("pathway_id", "across_samples"), "individual": ("sample_id", "across_pathways")}
 
@@ -83,10 +84,13 @@ def population(pathways: DataFrame, scores: DataFrame, edges: DataFrame, thresho
     tested = F.col("null_sd") != 0
     per = scores.groupBy("pathway_id").agg(
         F.count_if(F.col("q_value_across_samples") < threshold).alias("n_attributable"), F.count_if(tested).alias("n_evaluable"),
-        F.percentile(F.when(tested, F.col("z_score")), 0.5).alias("z_median"), F.min("q_value_across_samples").alias("q_min"),
+        F.min("q_value_across_samples").alias("q_min"),
     ).where("n_attributable > 0")
+    middle = medians(scores.where(tested), ["pathway_id"], "z_score", "z_median")
     unsigned = edges.groupBy("pathway_id").agg(F.avg(F.when(F.col("sign") == 0, 1.0).otherwise(0.0)).alias("unsigned_fraction"))
-    return pathways.join(per, "pathway_id").join(unsigned, "pathway_id", "left").orderBy(F.asc_nulls_last("q_min"), "pathway_id")
+    columns = [*pathways.columns, *[c for c in per.columns if c != "pathway_id"]]
+    columns.insert(columns.index("q_min"), "z_median")
+    return pathways.join(per, "pathway_id").join(middle, "pathway_id", "left").select(columns).join(unsigned, "pathway_id", "left").orderBy(F.asc_nulls_last("q_min"), "pathway_id")
 
 
 def individual(scores: DataFrame, threshold: float = 0.05) -> DataFrame:

@@ -87,9 +87,16 @@ def curation_queue(rows: DataFrame, axis_column: str, confidence: str, axis: str
     return rows.where((F.col(axis_column) == "unknown") & score.isNotNull() & (score < limit)).orderBy("added_at", "id")
 
 
+def has_gene_hit(metadata: Column) -> Column:
+    """Whether the metadata's contract tells of a monogenic hit with one gene or more; false for what is absent, null, empty or no JSON."""
+    genes = F.get_json_object(metadata, "$.contract.monogenic_gene_hit.genes")
+    return F.coalesce(~F.regexp_replace(genes, r"\s", "").isin("", "[]", "{}", "null", "false", "0"), F.lit(False))
+
+
 def high_value_queue(rows: DataFrame) -> DataFrame:
-    """Mixed rows first, then discordant ones (a monogenic hit on another axis), each oldest first, with the reason."""
-    reason = F.when(F.col("axis") == "mixed", "mixed").when((F.col("axis") != "monogenic") & (F.col("n_hits") > 0), "discordance")
+    """Mixed rows first, then discordant ones (a monogenic hit on another axis), each oldest first, with the reason. The hit is that of the JSON in `metadata`, or n_hits where there is no such column."""
+    hit = has_gene_hit(F.col("metadata")) if "metadata" in rows.columns else F.col("n_hits") > 0
+    reason = F.when(F.col("axis") == "mixed", "mixed").when(F.coalesce(F.col("axis"), F.lit("")) != "monogenic", F.when(hit, "discordance"))
     return rows.withColumn("reason", reason).where("reason is not null").orderBy(F.when(F.col("reason") == "mixed", 0).otherwise(1), "added_at", "id")
 
 

@@ -45,10 +45,26 @@ def link_missing(ids: DataFrame, linked: DataFrame, key: str, status: str = "pen
 def co_occurring(rows: DataFrame, group: str, item: str) -> DataFrame:
     """Pairs of different items in one group, and in how many groups: (a, b, n_groups), a < b.
 
-    Items per group are few here (pathways, event types); the join is on the group, and each pair is made once."""
-    left = rows.select(group, F.col(item).alias("a")).distinct()
-    right = rows.select(group, F.col(item).alias("b")).distinct()
-    return left.join(right, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_groups"))
+    The pairs of a group are its result, so they are as many as it has pairs of items. Groups of more than TILE_ITEMS are cut into tiles of items, and a pair of tiles is what meets in a task: each item goes to as
+    many tasks as there are tiles, and no task gets more than two tiles."""
+    left, right = tiles(rows, group, item, "a"), tiles(rows, group, item, "b")
+    # a pair of items meets where their own tiles do, and nowhere else
+    met = left.join(right, [group, "_low", "_high"]).where("a < b and least(a_tile, b_tile) = _low and greatest(a_tile, b_tile) = _high")
+    return met.groupBy("a", "b").agg(F.count("*").alias("n_groups"))
+
+
+#: Items of a group that one task takes whole.
+TILE_ITEMS = 2000
+
+
+def tiles(rows: DataFrame, group: str, item: str, name: str) -> DataFrame:
+    """Each distinct item of a group with its tile, once for every pair of tiles (_low, _high) that it belongs to."""
+    each = rows.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(group, F.col(item).alias(name)).distinct()
+    large = each.groupBy(group).agg(F.ceil(F.count("*") / TILE_ITEMS).cast("int").alias("_n")).where("_n > 1")
+    tile = F.pmod(F.xxhash64(name), F.coalesce("_n", F.lit(1))).cast("int").alias(f"{name}_tile")
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)).alias("_other")
+    every = each.join(large, group, "left").select(group, name, tile, other)
+    return every.withColumns({"_low": F.least(f"{name}_tile", "_other"), "_high": F.greatest(f"{name}_tile", "_other")}).drop("_other")
 
 
 def resolved_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

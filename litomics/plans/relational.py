@@ -175,7 +175,10 @@ def c5_curation_queue(spark, sf):
 @query("""SELECT event_id, CASE WHEN event_type = 'click' THEN 'mixed' ELSE 'discordance' END AS reason FROM events WHERE event_type = 'click' OR (event_type <> 'purchase' AND CAST(props->>'$.k' AS INT) > 90)""")
 def c6_high_value_queue(spark, sf):
     axis = F.when(F.col("event_type") == "click", "mixed").when(F.col("event_type") == "purchase", "monogenic").otherwise(F.col("event_type"))
-    rows = t(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("added_at"), axis.alias("axis"), F.when(F.get_json_object("props", "$.k").cast("int") > 90, 1).otherwise(0).alias("n_hits"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    none = F.when(k % 3 == 0, '{"contract": {"monogenic_gene_hit": {"genes": [ ]}}}').when(k % 3 == 1, '{"contract": {"monogenic_gene_hit": null}}').otherwise('{"contract": {}}')
+    metadata = F.when(k > 90, F.concat(F.lit('{"contract": {"monogenic_gene_hit": {"genes": ["G'), k.cast("string"), F.lit('"], "n": 1}}}'))).otherwise(none)
+    rows = t(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("added_at"), axis.alias("axis"), metadata.alias("metadata"))
     return filters.high_value_queue(rows).select(F.col("id").alias("event_id"), "reason")
 
 
