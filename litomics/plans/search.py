@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import axis
 from ..operators.search import build_index, matching, search
 from ..session import scratch
 from .relational import query, t
@@ -43,3 +44,15 @@ def c4_index(spark, sf):
     for f in found[1:]:
         out = out.union(f)
     return out
+
+
+@query()
+def i17_disease_axis(spark, sf):
+    """Parts as datasets, their names and types as titles; names of parts as names of diseases, on either axis by their length. Similarity has no SQL; a test holds it against a plain version."""
+    p = t(spark, sf, "part")
+    title = F.concat_ws(" ", F.lit("A study of"), "p_name", F.lit("in"), F.lower("p_type"), F.lit("cells"))
+    raw = F.when(F.col("p_size") % 5 == 0, F.array(F.concat(F.upper("p_name"), F.lit("s"))))
+    datasets = p.select(F.col("p_partkey").alias("id"), title.alias("title"), F.concat_ws(", ", "p_brand", "p_type").alias("summary"), raw.alias("disease_raw"))
+    subjects = t(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"), F.concat(F.lit("Disease "), "l_returnflag", "l_linestatus").alias("descriptor"), (F.col("l_quantity") > 25).alias("is_major"))
+    names = p.select(F.when(F.length("p_name") % 2 == 0, "monogenic").otherwise("multifactorial").alias("axis"), F.initcap("p_name").alias("name")).distinct()
+    return axis.classify(datasets, subjects, names)

@@ -23,6 +23,27 @@ def summaries(spark: SparkSession, path: str) -> DataFrame:
     return each.select("file", F.array_position(F.coalesce("uids", F.array().cast("array<string>")), F.col("uid")).alias("position"), "uid", "entry")
 
 
+SERIES = "title string, summary string, organism string, taxon string, n_samples string, gpl string, gse string, accession string, bioproject string, pubmed_ids array<string>"
+
+
+def series_datasets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Datasets of an expression archive's summaries, and their links with papers (accession, pmid).
+
+    The series is the first of its list, else the accession; a project's id, the first of its list, stands in for it where there is one, so that records of one study meet. Entries without either are skipped, as
+    are those that cannot be read. Numbers of samples come as numbers or texts; what is no number is null."""
+    one = lambda c: F.trim(F.split_part(_text(c), F.lit(";"), F.lit(1)))
+    e = summaries(spark, path).withColumn("e", F.from_json("entry", SERIES)).where("e is not null")
+    own, project = one(F.coalesce("e.gse", "e.accession")), _text(F.col("e.bioproject"))
+    kinds = C.omic_types(F.concat_ws(" ", _text(F.col("e.title")), _text(F.col("e.summary"))))
+    rows = e.select(
+        F.when(project != "", one(project)).otherwise(own).alias("accession"), F.lit("geo").alias("source_db"), project.alias("bioproject_id"), _text(F.col("e.title")).alias("title"), _text(F.col("e.summary")).alias("summary"),
+        F.array_join(kinds, ",").alias("omic_type"), _text(F.col("e.organism")).alias("organism"), F.col("e.taxon").try_cast("int").alias("tax_id"), F.col("e.n_samples").try_cast("int").alias("n_samples"), _text(F.col("e.gpl")).alias("platform"),
+        F.create_map(F.lit("gds_uid"), F.col("uid"), F.lit("gse"), own, F.lit("gpl"), _text(F.col("e.gpl")), F.lit("bioproject"), project).alias("extra_metadata"), F.col("e.pubmed_ids").alias("pubmed_ids"), own.alias("_own"),
+    ).where("_own <> ''")
+    links = rows.select("accession", F.explode("pubmed_ids").alias("p")).select("accession", F.col("p").try_cast("long").alias("pmid")).where("pmid is not null")
+    return rows.drop("pubmed_ids", "_own"), links
+
+
 EXPERIMENT = """Summary struct<Title: string, Platform: struct<_VALUE: string, _instrument_model: string>, Statistics: struct<_total_runs: string>>, Study struct<_acc: string, _name: string>,
  Organism struct<_taxid: string, _ScientificName: string>, Library_descriptor struct<LIBRARY_STRATEGY: string>, Bioproject string"""
 

@@ -80,3 +80,25 @@ def test_names_and_gene_diseases(spark, tmp_path):
     assert sorted(r["name"] for r in tables.trait_names(spark, put(tmp_path, "g.tsv", tsv)).collect()) == ["Asthma", "Height"]
     csv = "gene symbol,hgnc id,disease name,confidence\nmecp2,6990,Rett,Definitive\nMECP2,HGNC:6990,Rett,strong\n,1,None,x\n"
     assert [tuple(r) for r in tables.gene_disease(spark, put(tmp_path, "g.csv", csv)).collect()] == [("Rett", "MECP2", "HGNC:6990", "definitive")]
+
+
+def test_series_datasets(spark, tmp_path):
+    import json
+
+    from litomics.sources import archives
+
+    entries = {
+        "uids": ["1", "2", "3", "4", "5"],
+        "1": {"accession": "GSE1", "gse": "1;2", "title": "RNA-seq of liver", "summary": "s", "organism": "Homo sapiens", "taxon": "9606", "n_samples": 12, "gpl": "570", "bioproject": "PRJNA7; PRJNA8", "pubmed_ids": ["11", "x", "12"]},
+        "2": {"accession": "GSE2; GSE9", "title": None, "n_samples": "7", "taxon": "many", "pubmed_ids": []}, "3": {"title": "no accession"}, "4": "no object", "5": {"gse": " ", "accession": "GSE5"},
+    }
+    (tmp_path / "a.json").write_text(json.dumps({"header": {}, "result": entries}))
+    (tmp_path / "b.json").write_text(json.dumps({"error": "none"}))
+    rows, links = archives.series_datasets(spark, str(tmp_path))
+    got = {r["accession"]: r for r in rows.collect()}
+    assert got.keys() == {"PRJNA7", "GSE2"}
+    a, b = got["PRJNA7"], got["GSE2"]
+    assert (a["title"], a["organism"], a["tax_id"], a["n_samples"], a["platform"], a["bioproject_id"], a["source_db"]) == ("RNA-seq of liver", "Homo sapiens", 9606, 12, "570", "PRJNA7; PRJNA8", "geo")
+    assert a["extra_metadata"] == {"gds_uid": "1", "gse": "1", "gpl": "570", "bioproject": "PRJNA7; PRJNA8"} and a["omic_type"]
+    assert (b["title"], b["tax_id"], b["n_samples"], b["organism"]) == ("", None, 7, "")
+    assert sorted(map(tuple, links.collect())) == [("PRJNA7", 11), ("PRJNA7", 12)]
