@@ -71,6 +71,9 @@ STRETCHED = re.compile(r"([a-z])\1\1")
 #: Every letter twice.
 DOUBLED = re.compile(r"(?:([a-z])\1){3,}+\Z")
 
+#: Words that `disguised` has no reading for, at a glance: letters with punctuation behind them, no letter three times in a row, not every letter twice.
+PLAIN = re.compile(r"(?!(?:([a-z])\1){3})(?:([a-z])(?!\2\2)|[\x80-\U0010ffff])+[.,;:?\"')\]}>]*\Z")
+
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
     """Counts of character trigrams over every text; N_CLASSES ** 3 numbers, whatever the input."""
@@ -194,6 +197,8 @@ def restored_words(text: bytes, model: CharModel, memo: dict[str, frozenset[byte
         if LETTER.search(w) and fits(w):
             words |= readings({w}, model)
     for w in set(line.split()):
+        if PLAIN.match(w):
+            continue
         found = memo.get(w)
         if found is None:
             found = readings({x for x in disguised(w) if fits(x)}, model)
