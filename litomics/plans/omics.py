@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, genomics, text
 from ..operators import curation, disease, entities, matrices, readouts, scoring, seeds
+from ..session import written
 from .relational import SCORES, edges, mentions, nodes, papers, query, t, EDGES, MENTIONS, QUERIES, ORACLES  # noqa: F401
 
 # --- texts ------------------------------------------------------------------------------------------------------------
@@ -238,8 +239,9 @@ def d11_allele_seeds(spark, sf):
 
 
 def all_seeds(spark, sf):
-    copy = seeds.copy_number_seeds(copy_values(spark, sf), roles(spark, sf))
-    snv = seeds.mutation_seeds(occurrences(spark, sf), roles(spark, sf), resolved(spark, sf))
+    """Both kinds of seeds go into the third, so they are worked out once."""
+    copy = written(seeds.copy_number_seeds(copy_values(spark, sf), roles(spark, sf)), "copy")
+    snv = written(seeds.mutation_seeds(occurrences(spark, sf), roles(spark, sf), resolved(spark, sf)), "snv")
     return copy.unionByName(snv).unionByName(seeds.allele_seeds(copy, snv))
 
 

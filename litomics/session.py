@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -37,3 +37,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         root = _own_dirs.setdefault(app, "") or tempfile.mkdtemp(prefix="litomics-")
         _own_dirs[app] = root
     return f"{root.rstrip('/')}/litomics/{uuid.uuid4().hex}-{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A frame written to a scratch path and read back, for one that several others are made of."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
