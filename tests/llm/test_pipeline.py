@@ -42,3 +42,18 @@ def test_awkward_rows_pass_every_stage(spark):
         assert len(rows) <= frame.count() and {r["kept"] for r in rows} <= {"k"}
         assert stage(spark, frame.limit(0), SF).collect() == []
     assert corpus_pipeline.STAGES[-1][1](spark, frame, SF).count() >= frame.count()
+
+
+def test_empty_labels_and_benchmark_and_null_ids(spark, tmp_path):
+    """Without labels the rules decide, without a benchmark nothing leaks, and rows without an id go through like others."""
+    texts = [t for t in sample("documents", 60) if t]
+    frame = spark.createDataFrame([(None if i % 7 == 0 else i, t) for i, t in enumerate([*texts, None, ""])], "doc_id long, text string")
+    for name in ("labels", "benchmark"):
+        table(spark, SF, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    kept = frame
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, kept, str(tmp_path))
+        assert out.columns == frame.columns and 0 < out.count() <= kept.count()
+        kept = out
+    assert {r["doc_id"] is None for r in kept.collect()} == {True, False}
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).count() >= kept.count()
