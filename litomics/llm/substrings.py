@@ -284,28 +284,32 @@ def first_documents(regions: DataFrame, window: int) -> DataFrame:
 
 
 def finer_regions(regions: DataFrame, window: int, gram: int) -> DataFrame:
-    """Regions cut again by anchors of a longer gram: p1, p2 and off, the region and the window in it where the new one begins, how many windows it has, and the new one.
+    """Regions cut again by anchors of a longer gram: p1, p2 and offs, the region and the windows in it where the new one begins, and the new one.
 
-    A gram of a whole window makes regions of equal windows only, of which one is kept."""
+    A gram of a whole window makes regions of one window: each window that a region has is one row, wherever and however often it stands there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("p1", "p2", "off", "n", "anchor", "words", "first", "r1", "r2")}
+            out: dict[str, list] = {k: [] for k in ("p1", "p2", "offs", "anchor", "words", "first", "r1", "r2")}
             for anchor, raw, first, p1, p2 in zip(*(batch.column(c).to_pylist() for c in ("anchor", "words", "first", "r1", "r2")), strict=True):
                 words = np.frombuffer(raw, "<u8")
                 _, finer = anchors_of(words, np.array([0, len(words)]), window, gram)
-                edge = np.ones(len(finer) + 1, bool)
-                edge[1:-1] = finer[1:] != finer[:-1]
-                cuts = np.flatnonzero(edge)
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    key = (int(mix(np.array([finer[a]]).view(np.uint64) + np.uint64(anchor & (2**64 - 1))).view(np.int64)[0]), words[a : (a if gram == window else b - 1) + window].tobytes())
+                if gram == window:
+                    order = np.argsort(finer, kind="stable")
+                    edge = np.flatnonzero(np.concatenate([[True], finer[order][1:] != finer[order][:-1], [True]]))
+                    parts = [(order[a], order[a], order[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+                else:
+                    edge = np.flatnonzero(np.concatenate([[True], finer[1:] != finer[:-1], [True]]))
+                    parts = [(a, b - 1, [a]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+                for a, last, offs in parts:
+                    key = (int(mix(np.array([finer[a]]).view(np.uint64) + np.uint64(anchor & (2**64 - 1))).view(np.int64)[0]), words[a : last + window].tobytes())
                     r1, r2 = (int.from_bytes(x, "little", signed=True) for x in _halves(key))
-                    for name, value in zip(out, (p1, p2, a, b - a, *key, first, r1, r2), strict=True):
+                    for name, value in zip(out, (p1, p2, offs, *key, first, r1, r2), strict=True):
                         out[name].append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return regions.select("anchor", "words", "first", "r1", "r2").mapInArrow(run, "p1 long, p2 long, off int, n int, anchor long, words binary, first long, r1 long, r2 long")
+    return regions.select("anchor", "words", "first", "r1", "r2").mapInArrow(run, "p1 long, p2 long, offs array<int>, anchor long, words binary, first long, r1 long, r2 long")
 
 
 def first_of_regions(regions: DataFrame, window: int, longer: list[int]) -> DataFrame:
@@ -317,9 +321,13 @@ def first_of_regions(regions: DataFrame, window: int, longer: list[int]) -> Data
     parts = staged(finer_regions(within(regions, hot, "anchor"), window, longer[0]), "parts")
     distinct = staged(parts.groupBy("anchor", "r1", "r2").agg(F.min("first").alias("first"), F.min("words").alias("words")), "distinct")
     found = first_of_regions(distinct, window, longer[1:]).withColumnRenamed("off", "by")
-    back = parts.select("p1", "p2", "off", "n", "r1", "r2").distinct().join(found, ["r1", "r2"])
-    firsts = F.array_repeat(F.col("firsts")[0], F.col("n")) if longer[0] == window else F.col("firsts")
-    back = back.select(F.col("p1").alias("r1"), F.col("p2").alias("r2"), (F.col("off") + F.col("by")).alias("off"), firsts.alias("firsts"))
+    back = parts.select("p1", "p2", "offs", "r1", "r2").distinct().join(found, ["r1", "r2"])
+    if longer[0] == window:
+        # the windows of a region, each with its places, as one row again
+        placed = F.flatten(F.collect_list(F.transform("offs", lambda o: F.struct(o.alias("o"), F.col("firsts")[0].alias("f")))))
+        back = back.groupBy("p1", "p2").agg(F.transform(F.array_sort(placed), lambda x: x["f"]).alias("firsts")).select(F.col("p1").alias("r1"), F.col("p2").alias("r2"), F.lit(0).alias("off"), "firsts")
+    else:
+        back = back.select(F.col("p1").alias("r1"), F.col("p2").alias("r2"), (F.col("offs")[0] + F.col("by")).alias("off"), "firsts")
     return first_documents(without(regions, hot, "anchor"), window).union(back)
 
 
