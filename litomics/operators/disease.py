@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import normal_name
-from .similarity import candidates, with_ratio
+from .similarity import with_best
 
 LEAST_TOKEN, MOST_TOKENS = 5, 3
+#: Groups that the terms of one token are dealt over.
+GROUPS = 1 << 12
 
 
 def exact_hits(terms: DataFrame, names: DataFrame) -> DataFrame:
@@ -22,8 +24,8 @@ def fuzzy_hits(terms: DataFrame, names: DataFrame, threshold: float = 0.85, most
     """(term, axis, name, ratio): the most similar name of each axis, if it reaches the threshold.
 
     A term meets only names that hold its rarest token (of its first MOST_TOKENS with LEAST_TOKEN characters), at most `most` of them in name order: a fixed
-    rule of the feature, so that a common token does not make all pairs. The ratio is that of longest matching blocks; pairs whose lengths or letters cannot reach the
-    threshold never get that far (see similarity)."""
+    rule of the feature, so that a common token does not make all pairs. The ratio is that of longest matching blocks; pairs whose common letters cannot reach the
+    threshold, or a term's best name so far, never get that far (see similarity)."""
     n = names.select("axis", "name", normal_name(F.col("name")).alias("n")).distinct()
     tokens = n.select("axis", "n", "name", F.explode(F.array_distinct(F.split("n", " "))).alias("token")).where(F.length("token") >= LEAST_TOKEN)
     ranked = tokens.withColumn("r", F.row_number().over(Window.partitionBy("axis", "token").orderBy("n", "name")))
@@ -32,10 +34,13 @@ def fuzzy_hits(terms: DataFrame, names: DataFrame, threshold: float = 0.85, most
     first = F.slice(F.filter(F.split("q", " "), lambda w: F.length(w) >= LEAST_TOKEN), 1, MOST_TOKENS)
     asked = t.select("term", "q", F.posexplode(first).alias("at", "token")).join(counts, "token")
     rarest = asked.groupBy("term", "q", "axis").agg(F.min_by("token", F.struct("names", "at")).alias("token"))
-    met = rarest.join(ranked.where(F.col("r") <= most), ["axis", "token"]).select("term", "q", "axis", "name", "n")
-
-    scored = with_ratio(candidates(met, "q", "n", threshold), "q", "n")
-    return scored.groupBy("term", "axis").agg(F.min_by("name", F.struct(-F.col("ratio"), F.col("n"), F.col("name"))).alias("name"), F.max("ratio").alias("ratio")).where(F.col("ratio") >= threshold)
+    # names of a token are one list, and its terms are dealt over groups that meet it, so that neither a row for each pair is made nor a common token is one task
+    lists = ranked.where(F.col("r") <= most).groupBy("axis", "token").agg(F.array_sort(F.collect_list(F.struct("r", "n", "name"))).alias("names"))
+    tasks = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = ("axis", "token", "part")
+    dealt = rarest.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(GROUPS))).repartition(tasks, *place)
+    groups = dealt.groupBy(*place).agg(F.collect_list(F.struct("term", "q")).alias("terms"))
+    return with_best(groups.join(lists, ["axis", "token"]).repartition(tasks, *place), threshold)
 
 
 def longest_only(hits: DataFrame, key: str = "id", name: str = "name") -> DataFrame:

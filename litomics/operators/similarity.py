@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 #: Cells that the search for common runs holds at once: pairs by characters of their second texts.
 CELLS = 2_000_000
+#: Pairs whose common letters are counted at once: few, so that they stay in the processor's cache.
+PAIRS = 16_000
+#: Pairs that are held against their best in one go.
+HELD = 1_000_000
 
 
 def length_bound(a: Column, b: Column) -> Column:
@@ -107,3 +111,93 @@ def with_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
     schema = ", ".join(f"`{c}` {k}" for c, k in pairs.dtypes)
     return pairs.mapInArrow(run, f"{schema}, ratio double")
+
+
+def common_letters(first: list[str], second: list[str]) -> np.ndarray:
+    """For each pair of a text of `first` and one of `second`, letters of their longest common sequence; a little more where the second is longer than 64. Matching blocks never have more.
+
+    A bit for each letter of the second text; a letter of the first moves on all second texts at once. Longer ones are counted in parts, and the parts summed."""
+    (a, _), (b, n_b) = _codes(first), _codes(second)
+    out = np.zeros((len(first), len(second)), np.int64)
+    letters = np.unique(b)
+    at = np.minimum(np.searchsorted(letters, a), max(0, len(letters) - 1))
+    # -1 stands behind ends, and letters that no second text has are nothing either
+    code = np.where((a >= 0) & (letters[at] == a), at, len(letters)) if len(letters) else np.zeros(a.shape, np.int64)
+    for start in range(0, b.shape[1], 64):
+        part = b[:, start : start + 64]
+        places = np.zeros((len(letters) + 1, len(second)), np.uint64)
+        for k in range(part.shape[1]):
+            own = np.flatnonzero(part[:, k] >= 0)
+            places[np.searchsorted(letters, part[own, k]), own] |= np.uint64(1 << k)
+        length = np.clip(n_b - start, 0, 64)
+        inside = np.where(length == 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(length, 63).astype(np.uint64)) - np.uint64(1))
+        step = max(1, PAIRS // max(1, len(second)))
+        for k in range(0, len(first), step):
+            some = code[k : k + step]
+            open_ = np.full((len(some), len(second)), 2**64 - 1, np.uint64)
+            for c in some.T:
+                met = places[c]
+                met &= open_
+                moved = open_ + met
+                open_ -= met
+                open_ |= moved
+            out[k : k + step] += np.bitwise_count(~open_ & inside)
+    return out
+
+
+def best_of(first: list[str], second: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each text of `first` the number of the most similar one of `second`, the first of equally similar ones, and its ratio; -1 where none reaches the threshold.
+
+    Pairs are taken by the most that their ratio can be. A text's search ends where no pair that is left can be better than the best so far, or as good and come before it."""
+    best, ratio = np.full(len(first), -1, np.int64), np.full(len(first), threshold, float)
+    step = max(1, HELD // max(1, len(second)))
+    for k in range(0, len(first), step):
+        some = first[k : k + step]
+        both = np.array([len(x) for x in some])[:, None] + np.array([len(y) for y in second], np.int64)
+        bound = np.where(both == 0, 1.0, 2 * common_letters(some, second) / np.where(both == 0, 1, both))
+        row, column = np.nonzero(bound >= threshold)
+        order = np.lexsort((column, -bound[row, column], row))
+        row, column = row[order], column[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        at, size = 0, 1
+        while len(row):
+            can = bound[row, column]
+            now, held = ratio[row + k], best[row + k]
+            open_ = (can > now) | ((can == now) & ((held < 0) | (column < held)))
+            row, column, place = row[open_], column[open_], place[open_]
+            turn = place < at + size
+            _judge(some, second, row[turn], column[turn], best[k : k + step], ratio[k : k + step])
+            row, column, place = row[~turn], column[~turn], place[~turn]
+            at, size = at + size, 2 * size
+    return best, np.where(best < 0, np.nan, ratio)
+
+
+def _judge(first: list[str], second: list[str], row: np.ndarray, column: np.ndarray, best: np.ndarray, ratio: np.ndarray) -> None:
+    """Puts the exact ratios of pairs into `best` and `ratio`."""
+    found = np.empty(len(row))
+    # pairs of like length meet, so that short ones don't wait for a long one
+    size = np.array([len(x) for x in first])[row] + np.array([len(y) for y in second], np.int64)[column]
+    order = np.argsort(size, kind="stable")
+    for at in range(0, len(row), 2048):
+        some = order[at : at + 2048]
+        found[some] = ratios([first[i] for i in row[some]], [second[j] for j in column[some]])
+    for i, j, r in zip(row.tolist(), column.tolist(), found.tolist(), strict=True):
+        if r > ratio[i] or (r == ratio[i] and (best[i] < 0 or j < best[i])):
+            best[i], ratio[i] = j, r
+
+
+def with_best(groups: DataFrame, threshold: float) -> DataFrame:
+    """(term, axis, name, ratio) of the most similar name of each term. groups: axis, terms (array of term, q), names (array of n, name in order of preference)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group in range(batch.num_rows):
+                axis, terms, names = (batch.column(c)[group] for c in ("axis", "terms", "names"))
+                terms, names = terms.values, names.values
+                best, ratio = best_of(terms.field("q").to_pylist(), names.field("n").to_pylist(), threshold)
+                hit = np.flatnonzero(best >= 0)
+                if len(hit):
+                    columns = [terms.field("term").take(pa.array(hit)), pa.array([axis.as_py()] * len(hit), pa.string()), names.field("name").take(pa.array(best[hit])), pa.array(ratio[hit])]
+                    yield pa.RecordBatch.from_arrays(columns, ["term", "axis", "name", "ratio"])
+
+    return groups.select("axis", "terms", "names").mapInArrow(run, "term string, axis string, name string, ratio double")

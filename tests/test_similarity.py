@@ -82,3 +82,29 @@ def test_fuzzy_hits_against_a_plain_version(spark):
             if -best[0] >= 0.85:
                 want[term, axis] = (best[2], round(-best[0], 9))
     assert got == want and len(want) > 10
+
+
+@pytest.mark.parametrize("threshold", [0, 0.5, 0.85])
+def test_best_of_against_all_pairs(threshold):
+    """Texts longer than the 64 letters of a part, of few letters so that many are equally similar, and empty ones."""
+    for alphabet in ALPHABETS:
+        rng = random.Random(8)
+        first, second = (["".join(rng.choices(alphabet, k=rng.randrange(rng.choice([5, 30, 64, 66, 150])))) for _ in range(40)] for _ in range(2))
+        best, ratio = similarity.best_of(first, second, threshold)
+        for k, a in enumerate(first):
+            every = [plain(a, b) for b in second]
+            if max(every) < threshold:
+                assert best[k] == -1
+            else:
+                assert best[k] == every.index(max(every)) and abs(ratio[k] - max(every)) < 1e-12
+
+
+def test_few_pairs_of_a_common_token_are_judged(monkeypatch):
+    """Many terms with one common token meet the same names; nearly all pairs are settled by their common letters."""
+    judged = []
+    exact = similarity.ratios
+    monkeypatch.setattr(similarity, "ratios", lambda a, b: judged.append(len(a)) or exact(a, b))
+    terms = [f"customer {k:09d} syndrome machinery" for k in range(50_000, 50_400)]
+    names = [f"customer {k:09d} syndrom machinery" for k in range(200)]
+    best, _ = similarity.best_of(terms, names, 0.8)
+    assert (best >= 0).all() and sum(judged) < 0.1 * len(terms) * len(names)
