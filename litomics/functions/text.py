@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +54,11 @@ def normal_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once a row: inside lambdas Spark works a column out again at each call, but not a lambda's own variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def word_list(text: Column) -> Column:
     """Words of letters, digits, apostrophes and hyphens."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)([\w'\-]+)"), F.lit(1))
@@ -61,16 +68,17 @@ def ngrams(text: Column, most: int = 4, blocked: tuple[str, ...] = (), least_cha
     """Distinct normalised 1- to `most`-grams that may name a disease.
 
     Dropped: blocked grams, grams of blocked words alone, single words shorter than `least_chars`."""
-    words = F.filter(F.transform(word_list(text), lambda w: normal_name(w)), lambda w: w != "")
     no = F.array(*[F.lit(b) for b in blocked]) if blocked else F.array().cast("array<string>")
+    # words are normalised once, and each tells whether it alone is blocked
+    words = F.filter(F.transform(word_list(text), lambda w: normal_name(w)), lambda w: w != "")
 
-    def of(n: int) -> Column:
+    def of(n: int, words: Column, free: Column) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        grams = F.transform(starts, lambda i: F.slice(words, i, n))
-        kept = F.filter(grams, lambda g: ~F.array_contains(no, F.array_join(g, " ")) & F.exists(g, lambda w: ~F.array_contains(no, w)) & ((F.lit(n) > 1) | (F.length(F.array_join(g, " ")) >= least_chars)))
-        return F.transform(kept, lambda g: F.array_join(g, " "))
+        grams = F.transform(F.filter(starts, lambda i: F.exists(F.slice(free, i, n), lambda x: x)), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.filter(grams, lambda g: ~F.array_contains(no, g) & ((F.lit(n) > 1) | (F.length(g) >= least_chars)))
 
-    return F.array_distinct(F.flatten(F.array(*[of(n) for n in range(1, most + 1)])))
+    every = lambda words, free: F.array_distinct(F.flatten(F.array(*[of(n, words, free) for n in range(1, most + 1)])))
+    return bound(words, lambda words: bound(F.transform(words, lambda w: ~F.array_contains(no, w)), lambda free: every(words, free)))
 
 
 def pmid(raw: Column) -> Column:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from litomics.functions import classify, genomics, text
-from litomics.operators import disease, entities, fdr, filters, links, matrices, scoring, seeds, stats, topology, upsert
+from litomics.operators import axis, disease, entities, fdr, filters, links, matrices, scoring, seeds, stats, topology, upsert
 from litomics.sources import sinks
 
 
@@ -252,3 +252,12 @@ def test_plain_text_artefacts(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(a).collect()] == ["sample_accession\tvariant_key\tgene_symbol\tvariant_classification", "S1\t1:2:A:T\tTP53\tMissense"]
     sinks.write_regulons(spark.createDataFrame([("MYC", "TP53", 1, 'a"b\nc', 3)], "tf string, target string, mode int, sources string, n_references int").coalesce(1), b)
     assert [r["value"] for r in spark.read.text(b).collect()] == ['{"tf":"MYC","target":"TP53","mode":1,"sources":"a\\"bc","n_references":3}']
+
+
+def test_words_of_grams_are_worked_out_once(spark):
+    """Inside lambdas a column is worked out at each call, so the words must be a variable of their own."""
+    for grams in (text.ngrams(F.col("t"), blocked=("study",)), axis.grams(F.col("t"))):
+        assert str(grams).count("regexp_extract_all") == 1
+    frame = spark.createDataFrame([("Study of the ABLATION study, re-run!",), ("",), (None,)], "t string").select(F.array_sort(text.ngrams(F.col("t"), 2, ("study",))).alias("g"))
+    want = ["ablation", "ablation study", "of the", "re-run", "study of", "study re-run", "the ablation"]
+    assert [r["g"] for r in frame.collect()] == [want, [], []]
