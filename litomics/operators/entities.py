@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 
 
 def entity_list(mentions: DataFrame, papers: DataFrame, key: str, extra: dict[str, Column] | None = None, q: str | None = None, included_only: bool = False, major: str | None = None) -> DataFrame:
@@ -68,13 +69,17 @@ def recognise_genes(papers: DataFrame, symbols: DataFrame, stop_words: list[str]
     A token counts as it stands; if it is no symbol and has a hyphen, its two parts joined count when the second is short, and its first
     part counts when the second is no symbol. Symbols of up to 3 characters need biomedical context in the text, 2-character ones upper case."""
     # the context is looked for once in a text, before its words are exploded
+    known = symbols.select(F.upper("symbol").alias("symbol")).where(~F.col("symbol").isin(stop_words) if stop_words else F.lit(True)).distinct()
     split = papers.select("paper_id", F.coalesce("text", F.lit("")).rlike(BIO_CONTEXT).alias("bio"), F.filter(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}\-]+"), lambda w: F.length(w).between(2, 15)).alias("words"))
     words = split.select("paper_id", "bio", F.explode("words").alias("word"))
-    known = symbols.select(F.upper("symbol").alias("symbol")).where(~F.col("symbol").isin(stop_words) if stop_words else F.lit(True)).distinct()
-    upper = words.withColumn("u", F.upper("word"))
     fits = lambda c, word: F.length(c).between(2, 15) & ((F.length(c) > 3) | F.col("bio")) & ((F.length(c) != 2) | (word == c))
-    counted = upper.groupBy("paper_id", "bio", "word", "u").count()
-    direct = counted.join(known.withColumnRenamed("symbol", "u"), "u").where(fits(F.col("u"), F.col("word"))).select("paper_id", F.col("u").alias("symbol"), "count")
+    # only words that are a symbol or have a hyphen can count, so the others leave before anything is grouped
+    known = written(known, "symbols")
+    upper = words.withColumn("u", F.upper("word"))
+    met = upper.join(known.select(F.col("symbol").alias("u"), F.lit(True).alias("is_known")), "u", "left").where(F.col("is_known") | F.col("u").contains("-"))
+    counted = met.groupBy("paper_id", "bio", "word", "u", F.coalesce("is_known", F.lit(False)).alias("is_known")).count()
+    counted = written(counted, "words")  # what follows reads it more than once, and not the texts
+    direct = counted.where(F.col("is_known") & fits(F.col("u"), F.col("word"))).select("paper_id", F.col("u").alias("symbol"), "count")
     # what was no mention as it stands, with a hyphen
     rest = counted.where(F.col("u").contains("-")).join(direct.select("paper_id", F.col("symbol").alias("u")), ["paper_id", "u"], "left_anti")
     head, tail = F.split_part("u", F.lit("-"), F.lit(1)), F.expr("substr(u, instr(u, '-') + 1)")
@@ -89,11 +94,14 @@ def recognise_phrases(papers: DataFrame, names: DataFrame) -> DataFrame:
     """(paper_id, name, mention_count) of dictionary phrases by whole words; where phrases overlap at a word, the longest counts.
 
     Word n-grams of the lengths that the dictionary has are hash-joined with it, so texts are not scanned once per name."""
-    known = names.select(F.lower("name").alias("name")).where("name is not null").distinct()
-    lengths = F.array(*[F.lit(r["n"]) for r in known.select(F.size(F.split("name", " ")).alias("n")).distinct().orderBy("n").collect()]).cast("array<int>")
+    known = written(names.select(F.lower("name").alias("name")).where("name is not null").distinct(), "names")
+    # a name's first word and its number of words: of all runs of words only those are made that begin as a name does
+    heads = known.groupBy(F.split_part("name", F.lit(" "), F.lit(1)).alias("head")).agg(F.array_sort(F.collect_set(F.size(F.split("name", " ")))).alias("lengths"))
     words = papers.select("paper_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)([\w\-]+)"), F.lit(1)).alias("w"))
-    grams = words.select("paper_id", F.explode(F.flatten(F.transform("w", lambda x, i: F.transform(lengths, lambda n: F.when(i + n <= F.size("w"), F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("w", i + 1, n), " ").alias("name"))))))).alias("g")).where("g is not null")
-    met = grams.select("paper_id", "g.*").join(known, "name")
+    longest = known.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
+    begun = words.select("paper_id", F.explode(F.transform("w", lambda x, i: F.struct(x.alias("head"), i.alias("at"), F.slice("w", i + 1, longest).alias("w")))).alias("g")).select("paper_id", "g.*").join(heads, "head")
+    grams = begun.select("paper_id", "at", "w", F.explode("lengths").alias("n")).where("n <= size(w)").select("paper_id", "at", "n", F.array_join(F.slice("w", 1, F.col("n")), " ").alias("name"))
+    met = grams.join(known, "name")
     per_paper = met.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(F.col("at"), (-F.col("n")).alias("minus"), F.col("name")))).alias("m"))
     start = F.expr("named_struct('until', 0, 'names', cast(array() as array<string>))")
     kept = F.aggregate("m", start, lambda a, x: F.when(x["at"] >= a["until"], F.struct((x["at"] - x["minus"]).alias("until"), F.array_append(a["names"], x["name"]).alias("names"))).otherwise(a), lambda a: a["names"])

@@ -261,3 +261,19 @@ def test_words_of_grams_are_worked_out_once(spark):
     frame = spark.createDataFrame([("Study of the ABLATION study, re-run!",), ("",), (None,)], "t string").select(F.array_sort(text.ngrams(F.col("t"), 2, ("study",))).alias("g"))
     want = ["ablation", "ablation study", "of the", "re-run", "study of", "study re-run", "the ablation"]
     assert [r["g"] for r in frame.collect()] == [want, [], []]
+
+
+def test_recognition_groups_only_words_that_can_count(spark, monkeypatch):
+    """Texts of many words, of which few are symbols or begin a name: the rest is left out before it is grouped."""
+    kept = {}
+    real = entities.written
+    monkeypatch.setattr(entities, "written", lambda df, name: kept.setdefault(name, real(df, name)))
+    papers = spark.createDataFrame([(i, " ".join(f"word{i * 100 + k}" for k in range(300)) + " TP53 brca1-x type 2 diabetes, type 2") for i in range(20)], "paper_id long, text string")
+    genes = entities.recognise_genes(papers, spark.createDataFrame([("TP53",), ("BRCA1",), ("NONE1",)], "symbol string"))
+    assert sorted((r["symbol"], r["mention_count"]) for r in genes.collect()) == [("BRCA1", 1)] * 20 + [("TP53", 1)] * 20
+    assert kept["words"].count() == 40
+    phrases = entities.recognise_phrases(papers, spark.createDataFrame([("type 2",), ("Type 2 diabetes",), (None,)], "name string"))
+    assert sorted((r["name"], r["mention_count"]) for r in phrases.collect()) == [("type 2", 1)] * 20 + [("type 2 diabetes", 1)] * 20
+    monkeypatch.undo()
+    none = spark.createDataFrame([], "name string")
+    assert entities.recognise_phrases(papers, none).count() == 0
