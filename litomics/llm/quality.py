@@ -8,8 +8,8 @@ statistic alone tell bad labelled rows from good ones; so a good text with an un
 than a bad one. And a document is kept if its path length is over the threshold at which the share of bad labelled rows that
 go, less PRICE times the share of good ones, is greatest. Nothing but the path length decides.
 
-Bounds: forest and threshold come from at most TRAIN_ROWS labelled documents, taken by a hash of doc_id, whatever
-the table's size. Everything else covers all rows.
+All labelled documents decide the chances and the threshold: their path lengths are counted in steps of 1 / STEPS, in tasks. Only the rows that
+trees are grown on, SAMPLE a tree as the method has it, are drawn: by a hash of doc_id from all of them, as many as all trees together take.
 
 Nulls: a null text has no words and fails the base rules; a null label is no label. Without LEAST_ROWS good labelled rows there is no forest
 and the base rules decide; without bad ones every statistic has the same chance and the threshold lets FALSE_REJECTS of the good
@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix, places, small_batches, table, text_chunks, word_hashes
+from .common import discard, gram_hashes, mix, places, small_batches, staged, table, text_chunks, word_hashes
 
-TRAIN_ROWS = 6000
 LEAST_ROWS = 32
+#: Steps of a path length in which labelled rows are counted.
+STEPS = 1024
 N_TREES = 150
 #: Rows that a tree is grown on; few, so that bad rows do not hide each other.
 SAMPLE = 64
@@ -154,21 +155,40 @@ def told_apart(length: np.ndarray, bad: np.ndarray) -> float:
     return float(1 - (middle[bad].sum() - n_bad * (n_bad + 1) / 2) / (n_bad * (len(bad) - n_bad)))
 
 
-def trained(rows: np.ndarray, bad: np.ndarray) -> tuple[IsolationForest, float]:
-    """The forest on labelled rows, and the least path length that is kept."""
-    if not bad.any():
-        forest = IsolationForest(rows)
-        return forest, float(np.quantile(forest.path_lengths(rows), FALSE_REJECTS)) - 1e-9
-    k = rows.shape[1]
-    alone = [told_apart(IsolationForest(rows, np.eye(k)[f], PROBES).path_lengths(rows), bad) for f in range(k)]
-    chances = np.maximum(2 * np.array(alone) - 1, 0.0)
-    forest = IsolationForest(rows, chances if chances.sum() > 0 else None)
-    length = forest.path_lengths(rows)
-    every = np.unique(length)
-    edges = np.concatenate([every[:1] - 1, (every[1:] + every[:-1]) / 2])
-    share = lambda x: np.searchsorted(np.sort(x), edges) / len(x)
-    gain = share(length[bad]) - PRICE * share(length[~bad])
-    return forest, float(edges[gain.argmax()])
+def told_apart_by_counts(n_bad: np.ndarray, n_good: np.ndarray) -> float:
+    """The same from the numbers of bad and good rows at each length, shortest first."""
+    longer = n_good.sum() - np.cumsum(n_good)
+    return float((n_bad * (longer + n_good / 2)).sum() / (n_bad.sum() * n_good.sum()))
+
+
+def least_kept(step: np.ndarray, n_bad: np.ndarray, n_good: np.ndarray) -> float:
+    """The least path length that is kept, from the numbers of rows at each step of length, shortest first."""
+    if not n_bad.sum():
+        gone = np.cumsum(n_good) <= FALSE_REJECTS * n_good.sum()
+        return float(step[int(gone.sum())]) / STEPS
+    gain = np.concatenate([[0.0], np.cumsum(n_bad) / n_bad.sum() - PRICE * np.cumsum(n_good) / n_good.sum()])
+    k = int(gain.argmax())
+    # any number behind the last step that goes and up to the first that stays parts the rows alike
+    first, last = (step[0] - STEPS if k == 0 else step[k - 1] + 1), (step[k] if k < len(step) else step[-1] + 1)
+    return float((first + last) // 2) / STEPS
+
+
+def lengths_counted(rows: DataFrame, forests: list[IsolationForest]) -> list[np.ndarray]:
+    """For each forest: step of path length, number of bad and of good rows, by step. rows: COUNTS, EXTRA, bad."""
+    sent = rows.sparkSession.sparkContext.broadcast(forests)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = features(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (*COUNTS, *EXTRA)], axis=1))
+            bad = batch.column("bad").to_numpy(zero_copy_only=False).astype(bool)
+            for k, forest in enumerate(sent.value):
+                step, at = np.unique(np.floor(forest.path_lengths(x) * STEPS).astype(np.int64), return_inverse=True)
+                n_bad, n = np.bincount(at[bad], minlength=len(step)), np.bincount(at, minlength=len(step))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(step), k)), pa.array(step), pa.array(n_bad), pa.array(n - n_bad)], ["forest", "step", "bad", "good"])
+
+    counted = rows.mapInArrow(run, "forest long, step long, bad long, good long").groupBy("forest", "step").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    found = counted.orderBy("forest", "step").toPandas().to_numpy(np.int64).reshape(-1, 4)
+    return [found[found[:, 0] == k, 1:] for k in range(len(forests))]
 
 
 def base_failed(counts: np.ndarray) -> np.ndarray:
@@ -190,20 +210,28 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ("," if rest else "") + STATS_SCHEMA)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[IsolationForest, float] | None:
-    """The forest and the least path length that is kept, from at most `train_rows` labelled documents."""
-    chosen = (
-        labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(train_rows)
-    )
-    order = [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id"), *(F.col(c) for c in COUNTS)]
-    rows = measured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).orderBy(*order).limit(train_rows).toPandas()
-    counts = rows[[*COUNTS, *EXTRA]].to_numpy(np.int64).reshape(-1, len(COUNTS) + len(EXTRA))
-    past = ~base_failed(counts)
-    bad = rows["quality"].to_numpy()[past] != 1
-    if (~bad).sum() < LEAST_ROWS:
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[IsolationForest, float] | None:
+    """The forest and the least path length that is kept, from all labelled documents."""
+    chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = staged(measured(docs.select("doc_id", "text").join(chosen, "doc_id")).withColumn("bad", F.col("quality") != 1), "labelled")
+    past = rows.where((F.col("n_words") >= LEAST_WORDS) & (100 * F.col("n_repeat_words") <= MOST_REPEATED * F.col("n_words")))
+    n, n_bad = past.agg(F.count("*"), F.count_if("bad")).first()
+    if n - n_bad < LEAST_ROWS:
+        discard(rows)
         return None
-    return trained(features(counts[past]), bad)
+    k = features(np.zeros((1, len(COUNTS) + len(EXTRA)))).shape[1]
+    order = [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id"), *(F.col(c) for c in COUNTS)]
+    drawn = past.orderBy(*order).limit((k * PROBES + N_TREES) * SAMPLE).select(*COUNTS, *EXTRA).toPandas()
+    grown = features(drawn.to_numpy(np.int64))
+    chances = None
+    if n_bad:
+        alone = lengths_counted(past, [IsolationForest(grown, np.eye(k)[f], PROBES) for f in range(k)])
+        chances = np.maximum(2 * np.array([told_apart_by_counts(c[:, 1], c[:, 2]) for c in alone]) - 1, 0.0)
+        chances = chances if chances.sum() > 0 else None
+    forest = IsolationForest(grown, chances)
+    least = least_kept(*lengths_counted(past, [forest])[0].T)
+    discard(rows)
+    return forest, least
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -96,3 +96,26 @@ def test_labelled_rows(spark):
     assert kept.columns == d.columns
     want = sorted(r["doc_id"] for r in quality.judge(d, labels).where("kept").collect())
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == want
+
+
+def test_counts_tell_apart_and_part_as_rows_do():
+    rng = np.random.default_rng(4)
+    step, bad = rng.integers(0, 40, 500), rng.random(500) < 0.2
+    each = np.unique(step)
+    n_bad, n_good = (np.array([(step[m] == x).sum() for x in each]) for m in (bad, ~bad))
+    assert abs(quality.told_apart_by_counts(n_bad, n_good) - quality.told_apart(step.astype(float), bad)) < 1e-12
+    least = quality.least_kept(each, n_bad, n_good) * quality.STEPS
+    gain = lambda e: (step[bad] < e).mean() - quality.PRICE * (step[~bad] < e).mean()
+    assert gain(least) == max(map(gain, range(-1, 42)))
+
+
+def test_every_labelled_row_counts(spark, monkeypatch):
+    """More labelled rows than trees are grown on: all of them are in the counts of the threshold."""
+    seen = []
+    real = quality.lengths_counted
+    monkeypatch.setattr(quality, "lengths_counted", lambda rows, forests: seen.append(real(rows, forests)) or seen[-1])
+    monkeypatch.setattr(quality, "SAMPLE", 1)
+    text = " ".join(f"w{k}" for k in range(60))
+    frame = spark.range(7000).selectExpr("id as doc_id", f"concat('{text} ', id, if(id % 7 = 0, ' ####', '')) as text")
+    quality.fit(frame, frame.selectExpr("doc_id", "cast(doc_id % 7 <> 0 as int) as quality"))
+    assert all(c[:, 1].sum() == 1000 and c[:, 2].sum() == 6000 for forests in seen for c in forests)
