@@ -15,30 +15,34 @@ BLOCK_IDS = 1 << 16
 #: Folders of an index; a query reads those of its terms.
 FOLDERS = 64
 #: Words that a task remembers the lexemes of.
-MEMO = 200_000
+MEMO = 50_000
+#: Rows whose terms leave a task at once, and bytes of a batch of texts that comes to it: a task's memory doesn't grow with its rows.
+ROWS, BATCH_BYTES = 200, 4 << 20
+
+
+def term_batches(batches: Iterator[pa.RecordBatch], key: str, fields: list[str]) -> Iterator[pa.RecordBatch]:
+    """The terms of a task's rows, of ROWS rows at a time."""
+    memo: dict[str, str | None] = {}
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        ids, terms, bits = [], [], []
+        for i, texts in enumerate(zip(*(batch.column(f).to_pylist() for f in fields), strict=True)):
+            found: dict[str, int] = {}
+            for b, text in enumerate(texts):
+                for x in lexemes(text or "", memo):
+                    found[x] = found.get(x, 0) | 1 << b
+            if len(memo) > MEMO:
+                memo.clear()
+            ids += [i] * len(found)
+            terms += found
+            bits += found.values()
+        yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(ids, pa.int64())), pa.array(terms, pa.string()), pa.array(bits, pa.int32())], [key, "term", "fields"])
 
 
 def terms_of(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """key, term, fields: the distinct lexemes of each row with a bit for each of `fields` that has it, the first field lowest. Null texts are empty."""
     kind = dict(rows.dtypes)[key]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, str | None] = {}
-        for batch in batches:
-            ids, terms, bits = [], [], []
-            for i, texts in enumerate(zip(*(batch.column(f).to_pylist() for f in fields), strict=True)):
-                found: dict[str, int] = {}
-                for b, text in enumerate(texts):
-                    for x in lexemes(text or "", memo):
-                        found[x] = found.get(x, 0) | 1 << b
-                if len(memo) > MEMO:
-                    memo.clear()
-                ids += [i] * len(found)
-                terms += found
-                bits += found.values()
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(ids, pa.int64())), pa.array(terms, pa.string()), pa.array(bits, pa.int32())], [key, "term", "fields"])
-
-    return rows.select(key, *fields).mapInArrow(run, f"`{key}` {kind}, term string, fields int")
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows.select(key, *fields).mapInArrow(lambda batches: term_batches(batches, key, fields), f"`{key}` {kind}, term string, fields int")
 
 
 def folder(term: Column) -> Column:

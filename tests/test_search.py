@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from litomics.functions.stemming import STOP_WORDS, lexemes, stem
@@ -62,3 +63,10 @@ def test_blocks_are_bounded_and_queries_read_no_text(spark, tmp_path, monkeypatc
     assert sorted(r["id"] for r in search.search(spark, path, "common word").collect()) == list(range(0, 1000, 2))
     plan = search.search(spark, path, "common word")._jdf.queryExecution().toString()
     assert "PartitionFilters: [folder" in plan and "PushedFilters" in plan and "In(term" in plan
+
+
+def test_terms_leave_a_task_in_small_batches():
+    rows = pa.RecordBatch.from_pydict({"id": list(range(1001)), "text": [f"mutation{i} gene{i} genes" for i in range(1001)]})
+    out = list(search.term_batches(iter([rows, rows.slice(0, 0)]), "id", ["text"]))
+    assert max(b.num_rows for b in out) <= 4 * search.ROWS
+    assert {r["id"] for b in out for r in b.to_pylist()} == set(range(1001))
