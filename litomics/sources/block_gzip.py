@@ -57,7 +57,7 @@ def unpacked(block: bytes) -> bytes | None:
 
 def packed(text: bytes) -> bytes:
     """A block that tells its size."""
-    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
     body = deflate.compress(text) + deflate.flush()
     head = HEAD + bytes(5) + b"\xff" + struct.pack("<H2sHH", 6, b"BC", 2, len(body) + 25)
     return head + body + struct.pack("<II", zlib.crc32(text), len(text) & 0xFFFFFFFF)
@@ -216,16 +216,17 @@ class BlockGzipWriter(DataSourceArrowWriter):
         with store.open_output_stream(name, compression=None) as file:
             held, size = [], 0
             for batch in batches:
-                for line in batch.column(0).to_pylist():
-                    data = (line or "").encode() + b"\n"
-                    held.append(data)
-                    size += len(data)
-                    if size >= BLOCK_TEXT:
-                        text = b"".join(held)
-                        whole = len(text) - len(text) % BLOCK_TEXT
-                        for k in range(0, whole, BLOCK_TEXT):
-                            file.write(packed(text[k : k + BLOCK_TEXT]))
-                        held, size = [text[whole:]], len(text) - whole
+                if not batch.num_rows:
+                    continue
+                data = "\n".join([line or "" for line in batch.column(0).to_pylist()]).encode() + b"\n"
+                held.append(data)
+                size += len(data)
+                if size >= BLOCK_TEXT:
+                    text = b"".join(held)
+                    whole = len(text) - len(text) % BLOCK_TEXT
+                    for k in range(0, whole, BLOCK_TEXT):
+                        file.write(packed(text[k : k + BLOCK_TEXT]))
+                    held, size = [text[whole:]], len(text) - whole
             if size:
                 file.write(packed(b"".join(held)))
             file.write(LAST)
