@@ -10,6 +10,7 @@ go, less PRICE times the share of good ones, is greatest. Nothing but the path l
 
 All labelled documents decide the chances and the threshold: their path lengths are counted in steps of 1 / STEPS, in tasks. Only the rows that
 trees are grown on, SAMPLE a tree as the method has it, are drawn: by a hash of doc_id from all of them, as many as all trees together take.
+Labels meet the counts of the rules, never the texts: a filter of fixed size says which texts are counted, and their rows without text are shuffled.
 
 Nulls: a null text has no words and fails the base rules; a null label is no label. Without LEAST_ROWS good labelled rows there is no forest
 and the base rules decide; without bad ones every statistic has the same chance and the threshold lets FALSE_REJECTS of the good
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, gram_hashes, mix, places, small_batches, staged, table, text_chunks, word_hashes
+from .common import LISTED, discard, gram_hashes, marked, mix, places, small_batches, staged, table, text_chunks, word_hashes
 
 LEAST_ROWS = 32
 #: Steps of a path length in which labelled rows are counted.
@@ -210,19 +211,33 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ("," if rest else "") + STATS_SCHEMA)
 
 
+def drawn(rows: DataFrame, n: int, most: int) -> np.ndarray:
+    """COUNTS and EXTRA of the `most` rows of least hash of doc_id, or of all n if they are fewer.
+
+    Only rows under a bound that lets about twice as many pass leave their tasks; where many rows share an id and too few pass, there is no bound."""
+    place = F.xxhash64("doc_id", F.lit(17))
+    low = rows.where(place < F.lit(min((1 << 63) - 1, 2 * most * (1 << 64) // n - (1 << 63))))
+    for some in (low, rows):
+        found = some.orderBy(place, "doc_id", *COUNTS).limit(most).select(*COUNTS, *EXTRA).toPandas().to_numpy(np.int64)
+        if len(found) == min(most, n):
+            break
+    return found
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[IsolationForest, float] | None:
     """The forest and the least path length that is kept, from all labelled documents."""
-    chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = staged(measured(docs.select("doc_id", "text").join(chosen, "doc_id")).withColumn("bad", F.col("quality") != 1), "labelled")
+    # ids of one type have one hash
+    ids = labels.withColumn("doc_id", F.col("doc_id").try_cast(dict(docs.dtypes)["doc_id"]))
+    chosen = ids.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    counted = measured(marked(docs.select("doc_id", "text"), chosen).where(LISTED).drop(LISTED))
+    rows = staged(counted.join(chosen, "doc_id").withColumn("bad", F.col("quality") != 1), "labelled")
     past = rows.where((F.col("n_words") >= LEAST_WORDS) & (100 * F.col("n_repeat_words") <= MOST_REPEATED * F.col("n_words")))
     n, n_bad = past.agg(F.count("*"), F.count_if("bad")).first()
     if n - n_bad < LEAST_ROWS:
         discard(rows)
         return None
     k = features(np.zeros((1, len(COUNTS) + len(EXTRA)))).shape[1]
-    order = [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id"), *(F.col(c) for c in COUNTS)]
-    drawn = past.orderBy(*order).limit((k * PROBES + N_TREES) * SAMPLE).select(*COUNTS, *EXTRA).toPandas()
-    grown = features(drawn.to_numpy(np.int64))
+    grown = features(drawn(past, n, (k * PROBES + N_TREES) * SAMPLE))
     chances = None
     if n_bad:
         alone = lengths_counted(past, [IsolationForest(grown, np.eye(k)[f], PROBES) for f in range(k)])

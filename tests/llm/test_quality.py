@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from litomics.llm import quality
 
@@ -119,3 +120,34 @@ def test_every_labelled_row_counts(spark, monkeypatch):
     frame = spark.range(7000).selectExpr("id as doc_id", f"concat('{text} ', id, if(id % 7 = 0, ' ####', '')) as text")
     quality.fit(frame, frame.selectExpr("doc_id", "cast(doc_id % 7 <> 0 as int) as quality"))
     assert all(c[:, 1].sum() == 1000 and c[:, 2].sum() == 6000 for forests in seen for c in forests)
+
+
+def test_texts_are_not_shuffled(spark, monkeypatch, capsys):
+    """However many labels there are, what is dealt anew to meet them has no text; ids may be of another type than the documents'."""
+    seen = []
+    real = quality.staged
+    monkeypatch.setattr(quality, "staged", lambda df, label: seen.append(df) or real(df, label))
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        capsys.readouterr()
+        quality.fit(d, labels)
+        seen[0].explain("formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [x for x in capsys.readouterr().out.split("\n\n") if re.match(r"\(\d+\) Exchange\n", x.strip())]
+    assert dealt and not any("text#" in x for x in dealt)
+    want = sorted(tuple(r) for r in quality.measured(d.join(labels.where("quality is not null"), "doc_id").select("doc_id", "text", "quality")).drop("quality").collect())
+    quality.fit(d, labels.selectExpr("cast(doc_id as string) doc_id", "quality"))
+    for frame in seen:
+        assert sorted(tuple(r) for r in frame.drop("quality", "bad").collect()) == want
+
+
+def test_drawn_rows_are_those_of_least_hash(spark):
+    """A bound on the hash keeps rows in their tasks and changes none of those drawn, also where all share an id."""
+    rows = spark.range(3000).selectExpr("id as doc_id", *[f"id * {k + 1} as {c}" for k, c in enumerate((*quality.COUNTS, *quality.EXTRA))])
+    for frame in (rows, rows.selectExpr("7L as doc_id", *rows.columns[1:])):
+        order = [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id"), *quality.COUNTS]
+        want = [tuple(r)[1:] for r in frame.orderBy(*order).collect()]
+        for most in (1, 100, 2000, 5000):
+            assert [tuple(r) for r in quality.drawn(frame, 3000, most)] == want[:most]
