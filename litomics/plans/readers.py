@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import disease, topology
 from ..session import scratch
@@ -11,6 +12,10 @@ from ..sources import archives, documents, sinks, tables
 from .relational import query, t
 
 
+#: Records of an XML document that a query writes; every file costs the driver a listing, a folder and a rename, so documents are of some MB.
+XML_RECORDS = 20_000
+
+
 def _text(rows: DataFrame, *parts: str | Column) -> str:
     """Rows as a text file, each the parts one after the other: texts as they stand, columns as text."""
     path = scratch(rows.sparkSession, "lines")
@@ -20,12 +25,14 @@ def _text(rows: DataFrame, *parts: str | Column) -> str:
 
 
 def _xml(rows: DataFrame, order: str, *parts: str | Column) -> str:
-    """Rows as XML documents of 500 records, in order of a number, one document a file; the files' names keep the order."""
+    """Rows as XML documents of XML_RECORDS records, in order of a number, one document a file; the files' names keep the order. Records are written one by one, so that no document is held whole."""
     path = scratch(rows.sparkSession, "xml")
     value = F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
-    each = rows.select(F.lpad(F.floor(F.col(order) / 500).cast("string"), 12, "0").alias("chunk"), F.struct(F.col(order).alias("k"), value.alias("v")).alias("r"))
-    docs = each.groupBy("chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["v"]), "\n").alias("v"))
-    docs.select("chunk", F.concat(F.lit("<Set>"), "v", F.lit("</Set>")).alias("value")).repartition("chunk").write.partitionBy("chunk").text(path)
+    each = rows.withColumn("_chunk", F.lpad(F.floor(F.col(order) / XML_RECORDS).cast("string"), 12, "0")).withColumn("_tie", F.xxhash64(value))
+    in_order = Window.partitionBy("_chunk").orderBy(order, "_tie")
+    ends = each.withColumn("_head", F.lag(F.lit("")).over(in_order)).withColumn("_foot", F.lead(F.lit("")).over(in_order))
+    text = F.concat(F.coalesce("_head", F.lit("<Set>")), value, F.coalesce("_foot", F.lit("</Set>")))
+    ends.sortWithinPartitions("_chunk", order, "_tie").select(F.col("_chunk").alias("chunk"), text.alias("value")).write.partitionBy("chunk").text(path)
     return path
 
 

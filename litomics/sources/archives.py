@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
-from .rows import ROW_INDEX, numbered
+from .rows import ROW_INDEX, placed
 
 # Names of file places, the first that a file has counts; and of what marks phosphorylation.
 FTP, ASPERA = "PRIDE:0000469", "PRIDE:0000468"
@@ -154,7 +154,7 @@ SAMPLE = "_accession string, TITLE string, SAMPLE_NAME struct<SCIENTIFIC_NAME: s
 
 def sequence_samples(spark: SparkSession, path: str) -> DataFrame:
     """accession, title, organism, tax_id, characteristics of a sequence archive's sample XML; each accession once, as it stands first, of equal tags the last counts."""
-    raw = numbered(spark.read.format("xml").option("rowTag", "SAMPLE").schema(SAMPLE).load(path))
+    raw = placed(spark.read.format("xml").option("rowTag", "SAMPLE").schema(SAMPLE).load(path))
     pairs = F.filter(F.coalesce("SAMPLE_ATTRIBUTES.SAMPLE_ATTRIBUTE", F.array().cast("array<struct<TAG: string, VALUE: string>>")), lambda x: (_text(x["TAG"]) != "") & x["VALUE"].isNotNull())
     entries = F.transform(pairs, lambda x: F.struct(F.regexp_replace(F.lower(F.trim(x["TAG"])), " ", "_").alias("k"), F.trim(x["VALUE"]).alias("v")))
     last = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: y["k"] == x["k"]))

@@ -1,5 +1,11 @@
 import json
+from pathlib import Path
+from xml.etree import ElementTree
 
+import pytest
+from pyspark.sql import functions as F
+
+from litomics.plans import readers
 from litomics.sources import archives, documents, tables
 
 
@@ -61,6 +67,29 @@ def test_sequence_samples(spark, tmp_path):
     assert rows == {"SRS1": ("one", "Homo sapiens", 9606, {"cell_line": "K562", "age": "3"}), "SRS2": ("two", "Homo sapiens", 9606, {})}
 
 
+def test_first_sample_over_files_read_once(spark, tmp_path, capsys):
+    """Of a repeated accession the first counts, files by path, and no file is read again to number its rows."""
+    for k in (3, 1, 2):
+        put(tmp_path, f"{k}.xml", "<SAMPLE_SET>" + "".join(f'<SAMPLE accession="S{i % 50}"><TITLE>{k}.{i}</TITLE></SAMPLE>' for i in range(30 * k, 100)) + "</SAMPLE_SET>")
+    found = archives.sequence_samples(spark, str(tmp_path))
+    capsys.readouterr()
+    found.explain()
+    assert capsys.readouterr().out.count("FileScan xml") == 1
+    want = {f"S{i % 50}": f"1.{i}" for i in range(30, 80)}
+    assert {r["accession"]: r["title"] for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("records", [20_000, 400])
+def test_xml_documents_of_many_records(spark, monkeypatch, records):
+    """Records stand in order, each document is whole, and 1,500 records are one file, not three."""
+    assert readers.XML_RECORDS >= 20_000
+    monkeypatch.setattr(readers, "XML_RECORDS", records)
+    path = readers._xml(spark.range(0, 1500, 1, 7).orderBy(F.rand(1)), "id", '<R id="', F.col("id"), '"/>')
+    files = sorted(Path(path).rglob("*.txt"))
+    ids = [[int(r.get("id")) for r in ElementTree.parse(f).getroot()] for f in files]
+    assert ids == [list(range(at, min(at + records, 1500))) for at in range(0, 1500, records)]
+
+
 def test_series_summaries(spark, tmp_path):
     rows = [{"accession": "A1", "bioproject": "PRJ9;PRJ8", "gse": "12", "title": "t", "taxon": "Homo sapiens", "n_samples": "7"}, {"gse": "34;35", "n_samples": "many"}, {"gse": "GSE5"}, {"accession": "A2"}, {"title": "no accession"}]
     got = {r["accession"]: (r["organism"], r["n_samples"]) for r in documents.series_summaries(spark, put(tmp_path, "s.jsonl", "\n".join(map(json.dumps, rows)))).collect()}
