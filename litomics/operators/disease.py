@@ -10,8 +10,8 @@ from ..functions.text import normal_name
 from .similarity import with_best
 
 LEAST_TOKEN, MOST_TOKENS = 5, 3
-#: Groups that the terms of one token are dealt over.
-GROUPS = 1 << 12
+#: Names of a tile, terms of a part, and pairs of a part and a tile, of one token: all about so many at most.
+TILE, PART, PAIRS = 1 << 14, 1 << 14, 1 << 26
 
 
 def exact_hits(terms: DataFrame, names: DataFrame) -> DataFrame:
@@ -20,27 +20,35 @@ def exact_hits(terms: DataFrame, names: DataFrame) -> DataFrame:
     return t.join(names.select("axis", "name", normal_name(F.col("name")).alias("n")), "n").select("term", "axis", "name")
 
 
-def fuzzy_hits(terms: DataFrame, names: DataFrame, threshold: float = 0.85, most: int = 200) -> DataFrame:
+def fuzzy_hits(terms: DataFrame, names: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(term, axis, name, ratio): the most similar name of each axis, if it reaches the threshold.
 
-    A term meets only names that hold its rarest token (of its first MOST_TOKENS with LEAST_TOKEN characters), at most `most` of them in name order: a fixed
-    rule of the feature, so that a common token does not make all pairs. The ratio is that of longest matching blocks; pairs whose common letters cannot reach the
-    threshold, or a term's best name so far, never get that far (see similarity)."""
+    A term meets the names that hold its rarest token (of its first MOST_TOKENS with LEAST_TOKEN characters), all of them however common that is. The ratio is that of longest matching blocks; pairs whose
+    common letters cannot reach the threshold, or a term's best name so far, never get that far (see similarity). Of equally similar names the first counts."""
     n = names.select("axis", "name", normal_name(F.col("name")).alias("n")).distinct()
     tokens = n.select("axis", "n", "name", F.explode(F.array_distinct(F.split("n", " "))).alias("token")).where(F.length("token") >= LEAST_TOKEN)
-    ranked = tokens.withColumn("r", F.row_number().over(Window.partitionBy("axis", "token").orderBy("n", "name")))
     counts = tokens.groupBy("axis", "token").agg(F.count("*").alias("names"))
     t = terms.select("term", normal_name(F.col("term")).alias("q")).distinct()
     first = F.slice(F.filter(F.split("q", " "), lambda w: F.length(w) >= LEAST_TOKEN), 1, MOST_TOKENS)
     asked = t.select("term", "q", F.posexplode(first).alias("at", "token")).join(counts, "token")
     rarest = asked.groupBy("term", "q", "axis").agg(F.min_by("token", F.struct("names", "at")).alias("token"))
-    # names of a token are one list, and its terms are dealt over groups that meet it, so that neither a row for each pair is made nor a common token is one task
-    lists = ranked.where(F.col("r") <= most).groupBy("axis", "token").agg(F.array_sort(F.collect_list(F.struct("r", "n", "name"))).alias("names"))
-    tasks = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = ("axis", "token", "part")
-    dealt = rarest.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(GROUPS))).repartition(tasks, *place)
+    # a token's names are cut into tiles and its terms into parts; each part meets each tile, so that neither a row for each pair is made nor a common token is one task
+    loads = counts.join(rarest.groupBy("axis", "token").agg(F.count("*").alias("terms")), ["axis", "token"], "left")
+    pairs = F.col("terms") * F.least(F.col("names"), F.lit(TILE))
+    cuts = loads.select("axis", "token", F.ceil(F.col("names") / TILE).alias("tiles"), F.greatest(F.ceil(F.col("terms") / PART), F.ceil(pairs / PAIRS)).alias("parts"))
+    # few, for each is of many names or terms; one that no term asks for has no parts
+    cut = F.broadcast(cuts.select("axis", "token", "tiles", F.coalesce("parts", F.lit(0)).alias("parts")).where("tiles > 1 or parts > 1"))
+    tasks, place = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")), ("axis", "token", "part")
+    of = lambda text, count: F.pmod(F.xxhash64(text), F.coalesce(count, F.lit(1)))
+    dealt = rarest.join(cut, ["axis", "token"], "left").select("axis", "token", of("q", "parts").alias("part"), "term", "q").repartition(tasks, *place)
     groups = dealt.groupBy(*place).agg(F.collect_list(F.struct("term", "q")).alias("terms"))
-    return with_best(groups.join(lists, ["axis", "token"]).repartition(tasks, *place), threshold)
+    held = tokens.join(cut, ["axis", "token"], "left").select("axis", "token", of("n", "tiles").alias("tile"), F.coalesce("parts", F.lit(1)).alias("parts"), "n", "name").where("parts > 0")
+    each = held.groupBy("axis", "token", "tile", "parts", "n").agg(F.min("name").alias("name"))
+    tiles = each.groupBy("axis", "token", "tile", "parts").agg(F.array_sort(F.collect_list(F.struct("n", "name"))).alias("names"))
+    spread = tiles.select("axis", "token", "names", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")).repartition(tasks, *place)
+    hits = with_best(groups.join(spread, list(place)), threshold)
+    best = hits.groupBy("term", "axis").agg(F.min_by(F.struct("name", "ratio"), F.struct(-F.col("ratio"), "n", "name")).alias("b"))
+    return best.select("term", "axis", "b.name", "b.ratio")
 
 
 def longest_only(hits: DataFrame, key: str = "id", name: str = "name") -> DataFrame:

@@ -6,6 +6,7 @@ the same again left and right of it."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,13 @@ from pyspark.sql import functions as F
 #: Cells that the search for common runs holds at once: pairs by characters of their second texts.
 CELLS = 2_000_000
 #: Pairs whose common letters are counted at once: few, so that they stay in the processor's cache.
-PAIRS = 16_000
-#: Pairs that are held against their best in one go.
-HELD = 1_000_000
+PAIRS = 32_000
+#: Pairs whose bounds are held at once.
+HELD = 100_000
+#: Sets of places that are kept, by what texts begin and end with.
+KEPT_PLACES = 8
+#: Bytes of a batch of groups that comes to a task, beside its last group.
+BATCH_BYTES = 4 << 20
 
 
 def length_bound(a: Column, b: Column) -> Column:
@@ -113,70 +118,128 @@ def with_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.mapInArrow(run, f"{schema}, ratio double")
 
 
-def common_letters(first: list[str], second: list[str]) -> np.ndarray:
-    """For each pair of a text of `first` and one of `second`, letters of their longest common sequence; a little more where the second is longer than 64. Matching blocks never have more.
-
-    A bit for each letter of the second text; a letter of the first moves on all second texts at once. Longer ones are counted in parts, and the parts summed."""
-    (a, _), (b, n_b) = _codes(first), _codes(second)
-    out = np.zeros((len(first), len(second)), np.int64)
-    letters = np.unique(b)
-    at = np.minimum(np.searchsorted(letters, a), max(0, len(letters) - 1))
-    # -1 stands behind ends, and letters that no second text has are nothing either
-    code = np.where((a >= 0) & (letters[at] == a), at, len(letters)) if len(letters) else np.zeros(a.shape, np.int64)
-    for start in range(0, b.shape[1], 64):
-        part = b[:, start : start + 64]
-        places = np.zeros((len(letters) + 1, len(second)), np.uint64)
-        for k in range(part.shape[1]):
-            own = np.flatnonzero(part[:, k] >= 0)
-            places[np.searchsorted(letters, part[own, k]), own] |= np.uint64(1 << k)
-        length = np.clip(n_b - start, 0, 64)
-        inside = np.where(length == 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(length, 63).astype(np.uint64)) - np.uint64(1))
-        step = max(1, PAIRS // max(1, len(second)))
-        for k in range(0, len(first), step):
-            some = code[k : k + step]
-            open_ = np.full((len(some), len(second)), 2**64 - 1, np.uint64)
-            for c in some.T:
-                met = places[c]
-                met &= open_
-                moved = open_ + met
-                open_ -= met
-                open_ |= moved
-            out[k : k + step] += np.bitwise_count(~open_ & inside)
-    return out
+class Letters:
+    """Texts that others are held against by their common letters. What all texts of both sides begin and end with is common and counted once for all; the rest is searched."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts, self.lengths = texts, np.array([len(t) for t in texts], np.int64)
+        back = [t[::-1] for t in texts]
+        self.sides = [[min(texts), max(texts)], [min(back), max(back)]]
+        self.places: dict[tuple[int, int], tuple] = {}
+
+    def _places(self, head: int, tail: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The letters of the texts without beginning and end, and for each part of at most 64 letters a bit for each place of a letter in each text, and the bits that a text has."""
+        if (head, tail) not in self.places:
+            if len(self.places) >= KEPT_PLACES:
+                self.places.clear()
+            b, n_b = _codes([t[head : len(t) - tail] for t in self.texts])
+            letters, parts = np.unique(b[b >= 0]), []
+            for start in range(0, b.shape[1], 64):
+                part = b[:, start : start + 64]
+                bits = next(k for k in (np.uint16, np.uint32, np.uint64) if part.shape[1] <= 8 * k().itemsize)
+                # the last row is of letters that no text has
+                places = np.zeros((len(letters) + 1, len(b)), bits)
+                for k in range(part.shape[1]):
+                    own = np.flatnonzero(part[:, k] >= 0)
+                    places[np.searchsorted(letters, part[own, k]), own] |= bits(1 << k)
+                inside = np.array([(1 << k) - 1 for k in range(part.shape[1] + 1)], bits)[np.clip(n_b - start, 0, part.shape[1])]
+                parts.append((places, inside))
+            self.places[head, tail] = letters, parts
+        return self.places[head, tail]
+
+    def common(self, first: list[str]) -> np.ndarray:
+        """For each pair of a text of `first` and one of these, letters of their longest common sequence; a little more where the latter is longer than 64. Matching blocks never have more.
+
+        A bit for each letter of these texts; a letter of the first moves on all of them at once. Longer ones are counted in parts, and the parts summed."""
+        back = [t[::-1] for t in first]
+        head, tail = (len(commonprefix([min(some), max(some), *own])) for some, own in zip((first, back), self.sides, strict=True))
+        tail = min(tail, min(map(len, first)) - head, int(self.lengths.min()) - head)
+        letters, parts = self._places(head, tail)
+        a, _ = _codes([t[head : len(t) - tail] for t in first])
+        at = np.minimum(np.searchsorted(letters, a), max(0, len(letters) - 1))
+        # -1 stands behind ends, and letters that none of these texts has are nothing either
+        code = np.where((a >= 0) & (letters[at] == a), at, len(letters)) if len(letters) else np.zeros(a.shape, np.int64)
+        out = np.full((len(first), len(self.texts)), head + tail, np.int32)
+        step = max(1, PAIRS // len(self.texts))
+        for places, inside in parts:
+            for k in range(0, len(first), step):
+                some = code[k : k + step]
+                open_ = np.full((len(some), len(self.texts)), ~places.dtype.type(0), places.dtype)
+                for c in some.T[(some != len(letters)).any(axis=0)]:
+                    met = places[c]
+                    met &= open_
+                    moved = open_ + met
+                    open_ -= met
+                    open_ |= moved
+                out[k : k + step] += np.bitwise_count(~open_ & inside)
+        return out
 
 
 def best_of(first: list[str], second: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """For each text of `first` the number of the most similar one of `second`, the first of equally similar ones, and its ratio; -1 where none reaches the threshold.
 
-    Pairs are taken by the most that their ratio can be. A text's search ends where no pair that is left can be better than the best so far, or as good and come before it."""
+    A text is held against the one that by its letters can be most similar, and then only against those that can be better than that, or as good and come before it. These are taken by the most
+    that their ratio can be, until none that is left can be better than the best so far."""
     best, ratio = np.full(len(first), -1, np.int64), np.full(len(first), threshold, float)
-    step = max(1, HELD // max(1, len(second)))
-    for k in range(0, len(first), step):
-        some = first[k : k + step]
-        both = np.array([len(x) for x in some])[:, None] + np.array([len(y) for y in second], np.int64)
-        bound = np.where(both == 0, 1.0, 2 * common_letters(some, second) / np.where(both == 0, 1, both))
-        row, column = np.nonzero(bound >= threshold)
-        order = np.lexsort((column, -bound[row, column], row))
-        row, column = row[order], column[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        at, size = 0, 1
-        while len(row):
-            can = bound[row, column]
-            now, held = ratio[row + k], best[row + k]
-            open_ = (can > now) | ((can == now) & ((held < 0) | (column < held)))
-            row, column, place = row[open_], column[open_], place[open_]
-            turn = place < at + size
-            _judge(some, second, row[turn], column[turn], best[k : k + step], ratio[k : k + step])
-            row, column, place = row[~turn], column[~turn], place[~turn]
-            at, size = at + size, 2 * size
+    if not first or not second:
+        return best, np.full(len(first), np.nan)
+    letters, n_a = Letters(second), np.array([len(x) for x in first], np.int64)
+    step = max(1, HELD // len(second))
+
+    def bounds(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in range(0, len(rows), step):
+            some = rows[k : k + step]
+            shared, both = letters.common([first[i] for i in some]), np.add.outer(n_a[some], letters.lengths, dtype=float)
+            shared *= 2
+            none = both == 0 if n_a[some].min() + letters.lengths.min() == 0 else None
+            if none is not None:
+                shared[none] = both[none] = 1
+            yield some, np.divide(shared, both, out=both)
+
+    # texts that end alike are neighbours
+    rows, top = np.array(sorted(range(len(first)), key=lambda k: first[k][::-1])), np.full(len(first), -1, np.int64)
+    for some, bound in bounds(rows):
+        column = bound.argmax(axis=1)
+        top[some] = np.where(bound[np.arange(len(some)), column] >= threshold, column, -1)
+    rows = rows[top[rows] >= 0]
+    _judge(first, second, rows, top[rows], best, ratio)
+    left, n = [], 0
+    for some, bound in bounds(rows):
+        now, held, column = ratio[some][:, None], best[some][:, None], np.arange(len(second))
+        can = (bound > now) | ((bound == now) & ((held < 0) | (column < held)))
+        can[np.arange(len(some)), top[some]] = False
+        row, column = np.nonzero(can)
+        left.append((some[row], column, bound[row, column]))
+        n += len(row)
+        if n >= HELD:
+            _search(first, second, *map(np.concatenate, zip(*left, strict=True)), best, ratio)
+            left, n = [], 0
+    if n:
+        _search(first, second, *map(np.concatenate, zip(*left, strict=True)), best, ratio)
     return best, np.where(best < 0, np.nan, ratio)
 
 
+def _search(first: list[str], second: list[str], row: np.ndarray, column: np.ndarray, can: np.ndarray, best: np.ndarray, ratio: np.ndarray) -> None:
+    """Judges pairs of whole rows by the most that their ratio can be, until those that are left can be no better than the best of their row."""
+    order = np.lexsort((column, -can, row))
+    row, column, can = row[order], column[order], can[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    at, size = 0, 1
+    while len(row):
+        now, held = ratio[row], best[row]
+        open_ = (can > now) | ((can == now) & ((held < 0) | (column < held)))
+        row, column, can, place = row[open_], column[open_], can[open_], place[open_]
+        turn = place < at + size
+        _judge(first, second, row[turn], column[turn], best, ratio)
+        row, column, can, place = row[~turn], column[~turn], can[~turn], place[~turn]
+        at, size = at + size, 2 * size
+
+
 def _judge(first: list[str], second: list[str], row: np.ndarray, column: np.ndarray, best: np.ndarray, ratio: np.ndarray) -> None:
     """Puts the exact ratios of pairs into `best` and `ratio`."""
     found = np.empty(len(row))
     # pairs of like length meet, so that short ones don't wait for a long one
-    size = np.array([len(x) for x in first])[row] + np.array([len(y) for y in second], np.int64)[column]
+    size = np.array([len(first[i]) + len(second[j]) for i, j in zip(row.tolist(), column.tolist(), strict=True)], np.int64)
     order = np.argsort(size, kind="stable")
     for at in range(0, len(row), 2048):
         some = order[at : at + 2048]
@@ -187,7 +250,8 @@ def _judge(first: list[str], second: list[str], row: np.ndarray, column: np.ndar
 
 
 def with_best(groups: DataFrame, threshold: float) -> DataFrame:
-    """(term, axis, name, ratio) of the most similar name of each term. groups: axis, terms (array of term, q), names (array of n, name in order of preference)."""
+    """(term, axis, n, name, ratio) of the most similar name of each term in its group. groups: axis, terms (array of term, q), names (array of n, name in order of preference)."""
+    groups.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +261,7 @@ def with_best(groups: DataFrame, threshold: float) -> DataFrame:
                 best, ratio = best_of(terms.field("q").to_pylist(), names.field("n").to_pylist(), threshold)
                 hit = np.flatnonzero(best >= 0)
                 if len(hit):
-                    columns = [terms.field("term").take(pa.array(hit)), pa.array([axis.as_py()] * len(hit), pa.string()), names.field("name").take(pa.array(best[hit])), pa.array(ratio[hit])]
-                    yield pa.RecordBatch.from_arrays(columns, ["term", "axis", "name", "ratio"])
+                    columns = [terms.field("term").take(pa.array(hit)), pa.array([axis.as_py()] * len(hit), pa.string()), *(names.field(f).take(pa.array(best[hit])) for f in ("n", "name")), pa.array(ratio[hit])]
+                    yield pa.RecordBatch.from_arrays(columns, ["term", "axis", "n", "name", "ratio"])
 
-    return groups.select("axis", "terms", "names").mapInArrow(run, "term string, axis string, name string, ratio double")
+    return groups.select("axis", "terms", "names").mapInArrow(run, "term string, axis string, n string, name string, ratio double")

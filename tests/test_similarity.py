@@ -108,3 +108,23 @@ def test_few_pairs_of_a_common_token_are_judged(monkeypatch):
     names = [f"customer {k:09d} syndrom machinery" for k in range(200)]
     best, _ = similarity.best_of(terms, names, 0.8)
     assert (best >= 0).all() and sum(judged) < 0.1 * len(terms) * len(names)
+
+
+def test_every_name_of_a_common_token_is_met(spark, monkeypatch):
+    """Hundreds of names of one token, cut into tiles and parts: the most similar one counts wherever it stands, and the first of equally similar ones."""
+    for size, value in (("TILE", 64), ("PART", 16), ("PAIRS", 600)):
+        monkeypatch.setattr(disease, size, value)
+    rng = random.Random(9)
+    names = sorted({("monogenic", f"Dystrophy {''.join(rng.choices('abcd', k=6))}") for _ in range(400)} | {("multifactorial", f"dystrophy, {k}") for k in range(300)} | {("monogenic", "dystrophy: dddddd"), ("monogenic", "unasked token")})
+    terms = ["dystrophy dddddd", "dystrophy 299", "dystrophy"] + [f"dystrophy {''.join(rng.choices('abcd', k=6))}" for _ in range(60)]
+    rows = disease.fuzzy_hits(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame(names, "axis string, name string"), 0.8).collect()
+    got = {(r["term"], r["axis"]): (r["name"], round(r["ratio"], 9)) for r in rows}
+    clean = lambda t: t.lower().replace(",", "").replace(":", "")
+    want = {}
+    for term in set(terms):
+        for axis in ("monogenic", "multifactorial"):
+            r, _, name = min((-plain(term, clean(name)), clean(name), name) for a, name in names if a == axis and "ystrophy" in name)
+            if -r >= 0.8:
+                want[term, axis] = (name, round(-r, 9))
+    assert got == want and len(rows) == len(want) > 60
+    assert got["dystrophy 299", "multifactorial"] == ("dystrophy, 299", 1.0)
