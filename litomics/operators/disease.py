@@ -11,7 +11,7 @@ from .similarity import with_best
 
 LEAST_TOKEN, MOST_TOKENS = 5, 3
 #: Names of a tile, terms of a part, and pairs of a part and a tile, of one token: all about so many at most.
-TILE, PART, PAIRS = 1 << 14, 1 << 14, 1 << 26
+TILE, PART, PAIRS = 1 << 16, 1 << 14, 1 << 28
 
 
 def exact_hits(terms: DataFrame, names: DataFrame) -> DataFrame:

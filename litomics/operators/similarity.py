@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from os.path import commonprefix
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,10 @@ PAIRS = 32_000
 HELD = 100_000
 #: Sets of places that are kept, by what texts begin and end with.
 KEPT_PLACES = 8
+#: Texts that are worth blocks, letters in which those of a block differ at most, and texts of a block that are worth it, on average.
+LEAST_TEXTS, MOST_OTHER, BLOCK = 512, 4, 24
+#: Texts that are held against all blocks in one go.
+ROWS = 4_096
 #: Bytes of a batch of groups that comes to a task, beside its last group.
 BATCH_BYTES = 4 << 20
 
@@ -118,13 +123,42 @@ def with_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.mapInArrow(run, f"{schema}, ratio double")
 
 
+class Texts(NamedTuple):
+    """Characters of texts as rows, from their beginnings and from their ends, -1 behind; and their lengths."""
+
+    codes: np.ndarray
+    back: np.ndarray
+    lengths: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str]) -> Texts:
+        codes, lengths = _codes(texts)
+        at = lengths[:, None] - 1 - np.arange(codes.shape[1])
+        return Texts(codes, np.where(at >= 0, np.take_along_axis(codes, np.maximum(at, 0), axis=1), -1), lengths)
+
+    def take(self, rows: np.ndarray) -> Texts:
+        width = int(self.lengths[rows].max(initial=0))
+        return Texts(self.codes[rows, :width], self.back[rows, :width], self.lengths[rows])
+
+    def within(self, head: int, tail: int) -> np.ndarray:
+        """The characters but for `head` at the beginning and `tail` at the end."""
+        left = self.lengths - head - tail
+        some = self.codes[:, head : head + int(left.max(initial=0))]
+        return np.where(np.arange(some.shape[1]) < left[:, None], some, -1)
+
+
+def _leading(equal: np.ndarray) -> int:
+    """Columns up to the first that is not true everywhere."""
+    every = equal.all(axis=0)
+    return len(every) if every.all() else int(every.argmin())
+
+
 class Letters:
     """Texts that others are held against by their common letters. What all texts of both sides begin and end with is common and counted once for all; the rest is searched."""
 
-    def __init__(self, texts: list[str]) -> None:
-        self.texts, self.lengths = texts, np.array([len(t) for t in texts], np.int64)
-        back = [t[::-1] for t in texts]
-        self.sides = [[min(texts), max(texts)], [min(back), max(back)]]
+    def __init__(self, texts: Texts) -> None:
+        self.texts, self.least = texts, int(texts.lengths.min())
+        self.head, self.tail = (side[0, : _leading(side[:, : self.least] == side[0, : self.least])] for side in (texts.codes, texts.back))
         self.places: dict[tuple[int, int], tuple] = {}
 
     def _places(self, head: int, tail: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -132,39 +166,41 @@ class Letters:
         if (head, tail) not in self.places:
             if len(self.places) >= KEPT_PLACES:
                 self.places.clear()
-            b, n_b = _codes([t[head : len(t) - tail] for t in self.texts])
+            b, n_b = self.texts.within(head, tail), self.texts.lengths - head - tail
             letters, parts = np.unique(b[b >= 0]), []
+            at = np.searchsorted(letters, b)
             for start in range(0, b.shape[1], 64):
-                part = b[:, start : start + 64]
-                bits = next(k for k in (np.uint16, np.uint32, np.uint64) if part.shape[1] <= 8 * k().itemsize)
+                width = min(64, b.shape[1] - start)
+                bits = next(k for k in (np.uint16, np.uint32, np.uint64) if width <= 8 * k().itemsize)
                 # the last row is of letters that no text has
                 places = np.zeros((len(letters) + 1, len(b)), bits)
-                for k in range(part.shape[1]):
-                    own = np.flatnonzero(part[:, k] >= 0)
-                    places[np.searchsorted(letters, part[own, k]), own] |= bits(1 << k)
-                inside = np.array([(1 << k) - 1 for k in range(part.shape[1] + 1)], bits)[np.clip(n_b - start, 0, part.shape[1])]
+                for k in range(width):
+                    own = np.flatnonzero(b[:, start + k] >= 0)
+                    places[at[own, start + k], own] |= bits(1 << k)
+                inside = np.array([(1 << k) - 1 for k in range(width + 1)], bits)[np.clip(n_b - start, 0, width)]
                 parts.append((places, inside))
             self.places[head, tail] = letters, parts
         return self.places[head, tail]
 
-    def common(self, first: list[str]) -> np.ndarray:
+    def common(self, first: Texts) -> np.ndarray:
         """For each pair of a text of `first` and one of these, letters of their longest common sequence; a little more where the latter is longer than 64. Matching blocks never have more.
 
         A bit for each letter of these texts; a letter of the first moves on all of them at once. Longer ones are counted in parts, and the parts summed."""
-        back = [t[::-1] for t in first]
-        head, tail = (len(commonprefix([min(some), max(some), *own])) for some, own in zip((first, back), self.sides, strict=True))
-        tail = min(tail, min(map(len, first)) - head, int(self.lengths.min()) - head)
+        shortest = int(first.lengths.min())
+        head, tail = (_leading(side[:, : min(len(own), shortest)] == own[:shortest]) for side, own in ((first.codes, self.head), (first.back, self.tail)))
+        tail = min(tail, min(shortest, self.least) - head)
         letters, parts = self._places(head, tail)
-        a, _ = _codes([t[head : len(t) - tail] for t in first])
+        a = first.within(head, tail)
         at = np.minimum(np.searchsorted(letters, a), max(0, len(letters) - 1))
         # -1 stands behind ends, and letters that none of these texts has are nothing either
         code = np.where((a >= 0) & (letters[at] == a), at, len(letters)) if len(letters) else np.zeros(a.shape, np.int64)
-        out = np.full((len(first), len(self.texts)), head + tail, np.int32)
-        step = max(1, PAIRS // len(self.texts))
+        n = len(self.texts.lengths)
+        out = np.full((len(a), n), head + tail, np.int32)
+        step = max(1, PAIRS // n)
         for places, inside in parts:
-            for k in range(0, len(first), step):
+            for k in range(0, len(a), step):
                 some = code[k : k + step]
-                open_ = np.full((len(some), len(self.texts)), ~places.dtype.type(0), places.dtype)
+                open_ = np.full((len(some), n), ~places.dtype.type(0), places.dtype)
                 for c in some.T[(some != len(letters)).any(axis=0)]:
                     met = places[c]
                     met &= open_
@@ -175,50 +211,92 @@ class Letters:
         return out
 
 
+def _blocks(texts: list[str]) -> tuple[list[np.ndarray], list[str], np.ndarray]:
+    """Blocks of texts that are equal but for a few letters in one place before their common end: their numbers, what they have in common, and the most letters that one has besides. One block of all where there are no such."""
+    tail = len(commonprefix([min(back := [t[::-1] for t in texts]), max(back)]))
+    for few in range(1, MOST_OTHER + 1) if len(texts) >= LEAST_TEXTS else ():
+        found: dict[str, list[int]] = {}
+        for k, t in enumerate(texts):
+            found.setdefault(t[: max(0, len(t) - tail - few)], []).append(k)
+        if len(found) * BLOCK <= len(texts):
+            end = texts[0][len(texts[0]) - tail :]
+            return [np.array(own) for own in found.values()], [head + end for head in found], np.full(len(found), few)
+    return [np.arange(len(texts))], [""], np.array([max(map(len, texts))])
+
+
 def best_of(first: list[str], second: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """For each text of `first` the number of the most similar one of `second`, the first of equally similar ones, and its ratio; -1 where none reaches the threshold.
 
-    A text is held against the one that by its letters can be most similar, and then only against those that can be better than that, or as good and come before it. These are taken by the most
-    that their ratio can be, until none that is left can be better than the best so far."""
+    A text is held against one that by its letters can be most similar, and then only against those that can be better than that, or as good and come before it. These are taken by the most
+    that their ratio can be, until none that is left can be better than the best so far. What texts of `second` have in common bounds them all: a letter more adds one common letter at most."""
     best, ratio = np.full(len(first), -1, np.int64), np.full(len(first), threshold, float)
     if not first or not second:
         return best, np.full(len(first), np.nan)
-    letters, n_a = Letters(second), np.array([len(x) for x in first], np.int64)
-    step = max(1, HELD // len(second))
-
-    def bounds(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    texts, held_texts = Texts.of(first), Texts.of(second)
+    n_a, n_b = texts.lengths, held_texts.lengths
+    blocks, shared, others = _blocks(second)
+    own, least = [None] * len(blocks), np.array([n_b[members].min() for members in blocks])
+    outline = Letters(Texts.of(shared))
+
+    def bounds(rows: np.ndarray, letters: Letters, lengths: np.ndarray, more: np.ndarray | int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max(1, HELD // len(lengths))
         for k in range(0, len(rows), step):
             some = rows[k : k + step]
-            shared, both = letters.common([first[i] for i in some]), np.add.outer(n_a[some], letters.lengths, dtype=float)
-            shared *= 2
-            none = both == 0 if n_a[some].min() + letters.lengths.min() == 0 else None
-            if none is not None:
-                shared[none] = both[none] = 1
-            yield some, np.divide(shared, both, out=both)
+            common, both = letters.common(texts.take(some)) + more, np.add.outer(n_a[some], lengths, dtype=float)
+            common *= 2
+            if n_a[some].min() + lengths.min() == 0:
+                none = both == 0
+                common[none] = both[none] = 1
+            yield some, np.divide(common, both, out=both)
+
+    def within(rows: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if own[block] is None:
+            own[block] = Letters(held_texts.take(blocks[block]))
+        return bounds(rows, own[block], n_b[blocks[block]])
 
     # texts that end alike are neighbours
     rows, top = np.array(sorted(range(len(first)), key=lambda k: first[k][::-1])), np.full(len(first), -1, np.int64)
-    for some, bound in bounds(rows):
-        column = bound.argmax(axis=1)
-        top[some] = np.where(bound[np.arange(len(some)), column] >= threshold, column, -1)
-    rows = rows[top[rows] >= 0]
-    _judge(first, second, rows, top[rows], best, ratio)
+    nearest = np.full(len(first), -1, np.int64)
+    for some, bound in bounds(rows, outline, least, others):
+        block = bound.argmax(axis=1)
+        nearest[some] = np.where(bound[np.arange(len(some)), block] >= threshold, block, -1)
+    rows = rows[nearest[rows] >= 0]
+    for block, mine in _dealt(nearest[rows], rows):
+        for some, bound in within(mine, block):
+            column = bound.argmax(axis=1)
+            top[some] = np.where(bound[np.arange(len(some)), column] >= threshold, blocks[block][column], -1)
+    held = rows[top[rows] >= 0]
+    _judge(first, second, held, top[held], best, ratio)
+
     left, n = [], 0
-    for some, bound in bounds(rows):
-        now, held, column = ratio[some][:, None], best[some][:, None], np.arange(len(second))
-        can = (bound > now) | ((bound == now) & ((held < 0) | (column < held)))
-        can[np.arange(len(some)), top[some]] = False
-        row, column = np.nonzero(can)
-        left.append((some[row], column, bound[row, column]))
-        n += len(row)
-        if n >= HELD:
-            _search(first, second, *map(np.concatenate, zip(*left, strict=True)), best, ratio)
-            left, n = [], 0
+    for at in range(0, len(rows), ROWS):
+        near = [np.nonzero(bound >= ratio[some][:, None]) + (some,) for some, bound in bounds(rows[at : at + ROWS], outline, least, others)]
+        for block, mine in _dealt(np.concatenate([k for _, k, _ in near]), np.concatenate([some[r] for r, _, some in near])):
+            members = blocks[block]
+            for some, bound in within(mine, block):
+                now, held = ratio[some][:, None], best[some][:, None]
+                row, column = np.nonzero((bound > now) | ((bound == now) & ((held < 0) | (members < held))))
+                new = top[some[row]] != members[column]
+                left.append((some[row][new], members[column][new], bound[row, column][new]))
+                n += len(left[-1][0])
+                if n >= HELD:
+                    _search(first, second, *map(np.concatenate, zip(*left, strict=True)), best, ratio)
+                    left, n = [], 0
     if n:
         _search(first, second, *map(np.concatenate, zip(*left, strict=True)), best, ratio)
     return best, np.where(best < 0, np.nan, ratio)
 
 
+def _dealt(keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key with its rows, in their order."""
+    if not len(keys):
+        return
+    order = np.argsort(keys, kind="stable")
+    found, starts = np.unique(keys[order], return_index=True)
+    for key, some in zip(found.tolist(), np.split(rows[order], starts[1:]), strict=True):
+        yield key, some
+
+
 def _search(first: list[str], second: list[str], row: np.ndarray, column: np.ndarray, can: np.ndarray, best: np.ndarray, ratio: np.ndarray) -> None:
     """Judges pairs of whole rows by the most that their ratio can be, until those that are left can be no better than the best of their row."""
     order = np.lexsort((column, -can, row))

@@ -98,3 +98,11 @@ def test_against_a_plain_version(spark):
     datasets = [(i, phrase(rng.randrange(0, 9)), rng.choice([None, phrase(40)]), rng.choice([None, [phrase(2), phrase(3)]])) for i in range(60)]
     subjects = [(rng.randrange(60), phrase(2), rng.random() < 0.5) for _ in range(40)]
     check(spark, datasets, subjects, names)
+
+
+def test_every_name_of_a_common_token_is_met(spark):
+    """More names than 200 hold a term's rarest token, on either axis, and the best ones stand behind them."""
+    names = [("monogenic", f"Dystrophy {k:03d}") for k in range(260)] + [("multifactorial", f"Retinal dystrophy {k:03d}") for k in range(260)]
+    datasets = [(1, None, None, ["dystrophy 2599"]), (2, None, None, ["retinal dystrophies 257"]), (3, None, "x", [f"dystrophy {k}" for k in ("2558", "25")]), (4, "Retinal dystrophy 3258", None, None)]
+    got = check(spark, datasets, [], names)
+    assert got[1][4] == "Dystrophy 259" and got[2][5] == "Retinal dystrophy 257"

@@ -128,3 +128,26 @@ def test_every_name_of_a_common_token_is_met(spark, monkeypatch):
                 want[term, axis] = (name, round(-r, 9))
     assert got == want and len(rows) == len(want) > 60
     assert got["dystrophy 299", "multifactorial"] == ("dystrophy, 299", 1.0)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.85])
+def test_best_of_in_blocks_of_like_texts(threshold):
+    """Numbered texts are bounded by what a block of them has in common; the result is that of all pairs, as it is where others among them leave one block."""
+    rng = random.Random(4)
+    second = [*sorted(f"type {k} fever" for k in range(900)), "", "type", " fever", "type fever"]
+    first = [f"type {rng.randrange(3000)} {rng.choice(['fever', 'fevers', 'gout'])}" for _ in range(40)] + ["", "e", "type 5", "99 fever", "type \U0001f600 fever"]
+    for names in (second, second[:900]):
+        best, ratio = similarity.best_of(first, names, threshold)
+        for k, a in enumerate(first):
+            every = [plain(a, b) for b in names]
+            if max(every) < threshold:
+                assert best[k] == -1
+            else:
+                assert best[k] == every.index(max(every)) and abs(ratio[k] - max(every)) < 1e-12
+    assert len(similarity._blocks(second[:900])[0]) > 1 and len(similarity._blocks(second)[0]) == 1
+
+
+def test_best_of_where_nothing_is_near():
+    best, ratio = similarity.best_of(["abc", "x"], ["defg", "hi"], 0.8)
+    assert best.tolist() == [-1, -1] and all(r != r for r in ratio)
+    assert [len(x) for x in (*similarity.best_of([], ["a"], 0.8), *similarity.best_of(["a"], [], 0.8))] == [0, 0, 1, 1]
