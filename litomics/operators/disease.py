@@ -10,8 +10,8 @@ from ..functions.text import normal_name
 from .similarity import with_best
 
 LEAST_TOKEN, MOST_TOKENS = 5, 3
-#: Names of a tile, terms of a part, and pairs of a part and a tile, of one token: all about so many at most.
-TILE, PART, PAIRS = 1 << 16, 1 << 14, 1 << 28
+#: Names of a tile, terms of a part, and pairs of a part and a tile, of one token: all about so many at most. Between its least and most, a part has as many terms as a tile has names.
+TILE, LEAST_PART, PART, PAIRS = 1 << 16, 1 << 9, 1 << 14, 1 << 28
 
 
 def exact_hits(terms: DataFrame, names: DataFrame) -> DataFrame:
@@ -34,8 +34,8 @@ def fuzzy_hits(terms: DataFrame, names: DataFrame, threshold: float = 0.85) -> D
     rarest = asked.groupBy("term", "q", "axis").agg(F.min_by("token", F.struct("names", "at")).alias("token"))
     # a token's names are cut into tiles and its terms into parts; each part meets each tile, so that neither a row for each pair is made nor a common token is one task
     loads = counts.join(rarest.groupBy("axis", "token").agg(F.count("*").alias("terms")), ["axis", "token"], "left")
-    pairs = F.col("terms") * F.least(F.col("names"), F.lit(TILE))
-    cuts = loads.select("axis", "token", F.ceil(F.col("names") / TILE).alias("tiles"), F.greatest(F.ceil(F.col("terms") / PART), F.ceil(pairs / PAIRS)).alias("parts"))
+    pairs, size = F.col("terms") * F.least(F.col("names"), F.lit(TILE)), F.least(F.greatest(F.col("names"), F.lit(LEAST_PART)), F.lit(PART))
+    cuts = loads.select("axis", "token", F.ceil(F.col("names") / TILE).alias("tiles"), F.greatest(F.ceil(F.col("terms") / size), F.ceil(pairs / PAIRS)).alias("parts"))
     # few, for each is of many names or terms; one that no term asks for has no parts
     cut = F.broadcast(cuts.select("axis", "token", "tiles", F.coalesce("parts", F.lit(0)).alias("parts")).where("tiles > 1 or parts > 1"))
     tasks, place = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")), ("axis", "token", "part")
